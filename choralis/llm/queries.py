@@ -27,6 +27,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.minhash import near_classes
+
+    return near_classes(common.documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from choralis.llm.bpe import token_digests
 
