@@ -49,6 +49,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.mixing import mixed_sizes
+
+    return mixed_sizes(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from choralis.llm.lines import dedup_lines
 
@@ -57,6 +63,16 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", "emptied", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.language import learn_languages, predict_languages
+
+    docs = common.documents(spark, sf_dir)
+    seen = common.crc_mod(F.col("doc_id"), 3) != 1
+    model = learn_languages(docs.where(seen).select("text", "lang"))
+    out = predict_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~seen).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

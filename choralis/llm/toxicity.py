@@ -9,8 +9,8 @@ A text's evidence is the largest length-normalised difference of the two log-lik
 words that overlap by half, besides that of the whole text. Toxic language in a small part of a long text thus isn't
 thinned out. A logistic curve, fitted on training texts that the counts had not seen, turns both into a score.
 
-Learning is bounded: at most `max_docs` distinct labelled texts of each class, those with the least hash of their text,
-go to the driver. Scoring covers every row and whole texts. Null and empty texts have no evidence. Without labels of
+Learning is bounded: about `max_docs` distinct labelled texts of each class at most, taken by the hash of their text, go
+to the driver. Scoring covers every row and whole texts. Null and empty texts have no evidence. Without labels of
 both classes each text gets score 0. A doc_id with several labels counts as toxic if one of them says so.
 """
 
@@ -84,19 +84,19 @@ class ToxicModel:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """text, toxic (0/1) and fold (0 to 3) of at most max_docs distinct labelled texts of each class."""
+    """text, toxic (0/1) and fold (0 to 3) of about max_docs distinct labelled texts of each class at most.
+
+    A text is taken by its hash, with the share of its class that the bound allows. Only ids and hashes meet the labels.
+    """
     wide = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = docs.where("text is not null and text <> ''").select("doc_id", "text").join(wide, "doc_id")
-    told = told.withColumn("h", F.xxhash64("text"))
-    one = told.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    kept = None
-    for c in (0, 1):  # orderBy + limit keeps the least hashes in each task, no single task sees all rows
-        part = one.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(max_docs)
-        kept = part if kept is None else kept.unionByName(part)
-    kept = kept.select("h", "toxic", "doc_id")
-    return told.drop("toxic").join(kept, ["h", "doc_id"]).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select(
-        "text", "toxic", F.pmod(F.shiftright("h", 7), F.lit(4)).alias("fold")
-    )
+    told = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h")).join(wide, "doc_id")
+    n = {r[0]: r[1] for r in told.groupBy("toxic").count().collect()}
+    share = [min(1.0, max_docs / max(1, n.get(c, 0))) for c in (0, 1)]
+    draw = F.pmod("h", F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
+    one = told.where(draw).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # at most 2 * max_docs rows of 20 bytes
+    texts = texts.where(F.xxhash64("text") == F.col("h")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return texts.select("text", "toxic", F.pmod(F.shiftright("h", 20), F.lit(4)).alias("fold"))
 
 
 def near_key(tokens: list[str]) -> int:
