@@ -49,6 +49,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.quality import judge_quality, learn_references
+
+    docs = common.documents(spark, sf_dir)
+    return judge_quality(docs, learn_references(docs.select("text", "lang")))
+
+
+def op5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.ngrams import learn_ngrams, score_ngrams
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    out = common.crc_mod(F.col("doc_id"), 10) == 0
+    scored = score_ngrams(docs, learn_ngrams(docs.where(~out).select("text")))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from choralis.llm.mixing import mixed_sizes
 
