@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choralis.llm import common
@@ -89,6 +89,23 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~seen).alias("held_out"), "lang_pred", "score")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.topk import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.private import KINDS, find_private, joined
+
+    found = find_private(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("spans", "terms")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -108,5 +125,15 @@ FROM d LEFT JOIN t USING (r)
 """
 
 
+OP9_SQL = """
+WITH r AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": OP7_SQL}
+    return {"op7_lines": OP7_SQL, "op9_topk": OP9_SQL}
