@@ -18,6 +18,11 @@ def round3(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
 
+def mean3(x: Column) -> Column:
+    """Rounded mean of values of three decimals, the same in whatever order they are added."""
+    return F.floor(F.avg(F.round(x * 1000).cast("long")) + 0.5) / 1000
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

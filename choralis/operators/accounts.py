@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.functions.exact import round3
+from choralis.functions.exact import mean3, round3
 
 
 def with_metadata(accounts: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def account_features(similar: DataFrame, timing: DataFrame, in_reply: DataFrame,
         F.max_by("reply_id", F.struct("max_sim", -F.col("pos"))).alias("representative"),
         F.max_by("pos", F.struct("max_sim", -F.col("pos"))).alias("representative_pos"),
         F.max("max_sim").alias("max_sim"),
-        round3(F.avg("lex")).alias("lex"),
+        mean3(F.col("lex")).alias("lex"),
         F.max(neighbours).alias("neighbour_mean"),
         F.bool_or("near_duplicate").alias("near_duplicate"),
         F.max("within30").alias("within30"),

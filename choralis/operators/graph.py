@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.functions.exact import round3
+from choralis.functions.exact import mean3, round3
 from choralis.functions.settle import settled
 from choralis.operators.coordination import directed
 
@@ -127,14 +127,14 @@ def cluster_density(edges: DataFrame, in_cluster: DataFrame) -> DataFrame:
 def cluster_stats(edges: DataFrame, in_cluster: DataFrame, timing: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """Means over internal edges, and first and span of the evidence replies' times; over members their likelihoods."""
     inner = internal_edges(edges, in_cluster)
-    means = inner.groupBy("conv_id", "cluster_id").agg(round3(F.avg("text_similarity")).alias("similarity"), round3(F.avg("score")).alias("score"))
+    means = inner.groupBy("conv_id", "cluster_id").agg(mean3(F.col("text_similarity")).alias("similarity"), mean3(F.col("score")).alias("score"))
     seen = inner.select("conv_id", "cluster_id", F.explode(F.array("source_reply", "target_reply")).alias("reply_id")).distinct()
     times = seen.join(timing.select("conv_id", "reply_id", "seconds_after"), ["conv_id", "reply_id"])
     times = times.groupBy("conv_id", "cluster_id").agg(F.min("seconds_after").alias("first_seconds"), (F.max("seconds_after") - F.min("seconds_after")).alias("span_seconds"))
     out = means.join(times, ["conv_id", "cluster_id"])
     if classified is not None:
         rows = in_cluster.join(classified.select("conv_id", "account_id", "automation", "coordination"), ["conv_id", "account_id"])
-        out = out.join(rows.groupBy("conv_id", "cluster_id").agg(round3(F.avg("automation")).alias("automation"), round3(F.avg("coordination")).alias("coordination")), ["conv_id", "cluster_id"])
+        out = out.join(rows.groupBy("conv_id", "cluster_id").agg(mean3(F.col("automation")).alias("automation"), mean3(F.col("coordination")).alias("coordination")), ["conv_id", "cluster_id"])
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choralis.config import Thresholds
-from choralis.functions.exact import label, percent, round3
+from choralis.functions.exact import label, mean3, percent, round3
 
 #: Fixed value: kinds of posting, from personal posts to scams.
 CATEGORIES = [
@@ -70,7 +70,7 @@ def feed_groups(classified: DataFrame) -> DataFrame:
     """conv_id, category, index, members, automation, share: one group for each kind of posting."""
     kind = category_or_label(F.col("category"), F.col("label"))
     order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    by = classified.withColumn("category", kind).groupBy("conv_id", "category").agg(F.count("*").alias("members"), round3(F.avg("automation")).alias("automation"))
+    by = classified.withColumn("category", kind).groupBy("conv_id", "category").agg(F.count("*").alias("members"), mean3(F.col("automation")).alias("automation"))
     total = F.sum("members").over(Window.partitionBy("conv_id"))
     return by.select("conv_id", "category", F.row_number().over(Window.partitionBy("conv_id").orderBy(order)).alias("index"), "members", "automation", round3(F.col("members") / total).alias("share"))
 

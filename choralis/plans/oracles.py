@@ -30,6 +30,10 @@ def _r3(x: str) -> str:
     return f"floor(({x}) * 1000 + 0.5) / 1000"
 
 
+def _m3(x: str) -> str:
+    return f"floor(avg(CAST(round({x} * 1000) AS BIGINT)) + 0.5) / 1000"
+
+
 def _clamp(x: str, a: float = 0, b: float = 1) -> str:
     return f"least(greatest({x}, {a}::DOUBLE), {b}::DOUBLE)"
 
@@ -122,7 +126,7 @@ PARTS["mb"] = "SELECT conv_id, cluster_id, account_id, row_number() OVER (PARTIT
 PARTS["ie"] = "SELECT co.*, x.cluster_id FROM co JOIN mb x ON x.conv_id = co.conv_id AND x.account_id = source JOIN mb y ON y.conv_id = co.conv_id AND y.account_id = target AND y.cluster_id = x.cluster_id"
 PARTS["ss"] = f"SELECT p.conv_id, x.account_id, {_r3('max(sim)')} AS self_similarity FROM p JOIN r x ON x.conv_id = p.conv_id AND x.pos = i JOIN r y ON y.conv_id = p.conv_id AND y.pos = j AND y.account_id = x.account_id GROUP BY ALL"
 PARTS["f"] = f"""SELECT s.conv_id, s.account_id, count(*) AS reply_count, min(s.pos) AS first_pos, arg_max(s.reply_id, (max_sim, -s.pos)) AS representative, max(max_sim) AS max_sim,
-  {_r3('avg(lex)')} AS lex, max(neighbour_mean) AS neighbour_mean, bool_or(near_duplicate) AS near_duplicate, max(within30) AS within30, max(within60) AS within60,
+  {_m3('lex')} AS lex, max(neighbour_mean) AS neighbour_mean, bool_or(near_duplicate) AS near_duplicate, max(within30) AS within30, max(within60) AS within60,
   bool_or(in_burst) AS in_burst, max(regularity) AS regularity, min(seconds_after) AS first_seconds, coalesce(any_value(self_similarity), 0) AS self_similarity,
   flatten(list(coalesce(ranks, []) ORDER BY s.pos)) AS ranks FROM s JOIN tm USING (conv_id, pos) LEFT JOIN rp ON rp.conv_id = s.conv_id AND rp.reply_id = s.reply_id
   LEFT JOIN ss ON ss.conv_id = s.conv_id AND ss.account_id = s.account_id GROUP BY s.conv_id, s.account_id"""
@@ -257,10 +261,10 @@ SELECTS: dict[str, str] = {
     "graph_counts": """SELECT nq.conv_id, coalesce(x.n, 0) AS accounts, nq.n AS replies, coalesce(y.n, 0) AS edges, coalesce(z.n, 0) AS clusters FROM nq
       LEFT JOIN (SELECT conv_id, count(*) AS n FROM a GROUP BY conv_id) x USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS n FROM co GROUP BY conv_id) y USING (conv_id)
       LEFT JOIN (SELECT conv_id, count(*) AS n FROM cl GROUP BY conv_id) z USING (conv_id)""",
-    "cluster_stats": f"""SELECT conv_id, cluster_id, similarity, score, first_seconds, span_seconds FROM (SELECT conv_id, cluster_id, {_r3('avg(text_similarity)')} AS similarity, {_r3('avg(score)')} AS score FROM ie GROUP BY ALL) JOIN
+    "cluster_stats": f"""SELECT conv_id, cluster_id, similarity, score, first_seconds, span_seconds FROM (SELECT conv_id, cluster_id, {_m3('text_similarity')} AS similarity, {_m3('score')} AS score FROM ie GROUP BY ALL) JOIN
       (SELECT q.conv_id, cluster_id, min(seconds_after) AS first_seconds, max(seconds_after) - min(seconds_after) AS span_seconds FROM (SELECT conv_id, cluster_id, source_reply AS reply_id FROM ie UNION SELECT conv_id, cluster_id, target_reply FROM ie) q
       JOIN tm USING (conv_id, reply_id) GROUP BY ALL) USING (conv_id, cluster_id)""",
-    "cluster_likelihoods": f"""SELECT *, {_labels(0.4, 0.65)} AS label FROM (SELECT mb.conv_id, cluster_id, {_r3('avg(automation)')} AS automation, {_r3('avg(coordination)')} AS coordination FROM mb JOIN c USING (conv_id, account_id) GROUP BY ALL)""",
+    "cluster_likelihoods": f"""SELECT *, {_labels(0.4, 0.65)} AS label FROM (SELECT mb.conv_id, cluster_id, {_m3('automation')} AS automation, {_m3('coordination')} AS coordination FROM mb JOIN c USING (conv_id, account_id) GROUP BY ALL)""",
     "cluster_density": f"""SELECT conv_id, cluster_id, size, coalesce(k, 0) AS internal_edges, {_r3('coalesce(k, 0) / (size * (size - 1) / 2.0)::DOUBLE')} AS density
       FROM (SELECT conv_id, cluster_id, count(*) AS size FROM mb GROUP BY ALL) LEFT JOIN (SELECT conv_id, cluster_id, count(*) AS k FROM ie GROUP BY ALL) USING (conv_id, cluster_id)""",
     "cluster_top_phrases": """SELECT conv_id, cluster_id, place, text, uses FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, cluster_id ORDER BY uses * len(string_split(text, ' ')) DESC, rank) AS place FROM (
@@ -287,7 +291,7 @@ SELECTS: dict[str, str] = {
     "sensitivity_relabel": f"SELECT conv_id, account_id, {_labels(0.4 + 0.2, 0.65 + 0.2)} AS at_0, {_labels(0.4, 0.65)} AS at_50, {_labels(0.4 - 0.2, 0.65 - 0.2)} AS at_100 FROM c",
     "coordinated_filter": "SELECT conv_id, account_id FROM g LEFT JOIN mb USING (conv_id, account_id) WHERE cluster_id IS NOT NULL OR coordinated > 0",
     "feed_groups": f"""SELECT conv_id, category, row_number() OVER (PARTITION BY conv_id ORDER BY {ORDER}) AS index, members, automation, {_r3('members::DOUBLE / sum(members) OVER (PARTITION BY conv_id)')} AS share
-      FROM (SELECT conv_id, category, count(*) AS members, {_r3('avg(automation)')} AS automation FROM c GROUP BY ALL)""",
+      FROM (SELECT conv_id, category, count(*) AS members, {_m3('automation')} AS automation FROM c GROUP BY ALL)""",
     "group_members": "SELECT conv_id, category, account_id, automation, row_number() OVER (PARTITION BY conv_id, category ORDER BY automation DESC, first_pos) AS place FROM c",
     "hidden_counts": f"SELECT conv_id, category, sum(reply_count) AS hidden_posts FROM c WHERE category IN (SELECT unnest({_str(views.HIDEABLE)})) GROUP BY ALL",
     "badges": "SELECT r.conv_id, r.reply_id, r.account_id AS username, label, automation, coordination, cl.index AS cluster FROM r JOIN c USING (conv_id, account_id) LEFT JOIN mb ON mb.conv_id = r.conv_id AND mb.account_id = r.account_id LEFT JOIN cl ON cl.conv_id = mb.conv_id AND cl.cluster_id = mb.cluster_id",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config, Thresholds
 from choralis.functions import signals, text
-from choralis.functions.exact import epoch, floor_seconds, label, round3
+from choralis.functions.exact import epoch, floor_seconds, label, mean3, round3
 from choralis.operators import accounts as acc
 from choralis.operators import classify, coordination, graph, phrases, similarity, timing, views
 from choralis.plans import fixtures
@@ -253,7 +253,7 @@ def _(a):
 @over("cluster_likelihoods")
 def _(a):
     rows = a.members.join(a.classified.select("conv_id", "account_id", "automation", "coordination"), ["conv_id", "account_id"])
-    by = rows.groupBy("conv_id", "cluster_id").agg(round3(F.avg("automation")).alias("automation"), round3(F.avg("coordination")).alias("coordination"))
+    by = rows.groupBy("conv_id", "cluster_id").agg(mean3(F.col("automation")).alias("automation"), mean3(F.col("coordination")).alias("coordination"))
     return by.withColumn("label", views.cluster_label(F.col("automation")))
 
 
