@@ -323,8 +323,8 @@ SELECTS: dict[str, str] = {
     "item_times": f"""WITH x AS (SELECT id::VARCHAR AS id, relative::VARCHAR AS relative, try_cast(id AS BIGINT) // 4194304 AS ms FROM ({_values(fixtures.TIMES)}) AS v(id, relative)), y AS (SELECT *, regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 1, 'i') AS n, lower(regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 2, 'i')) AS u FROM x)
       SELECT id, relative, CASE WHEN ms > 1325376000000 AND ms < 1767225600000 + 86400000 THEN ms ELSE 1767225600000 - coalesce(CASE WHEN n <> '' THEN n::BIGINT * 1000 * CASE u {" ".join(f"WHEN '{k}' THEN {v}" for k, v in targets.UNIT_SECONDS.items())} END END, 0) END AS ms FROM y""",
     "threshold_labels": f"SELECT p, {_labels(0.4, 0.65, 'p')} AS label, {_labels(0.2, 0.9, 'p')} AS wide FROM (SELECT id / 100.0::DOUBLE AS p FROM range(0, 101) AS v(id))",
-    "duration_texts": """SELECT n, CASE WHEN n < 90 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', n / 3600.0::DOUBLE) END AS duration,
-      CASE WHEN n % 5 = 0 THEN 'account metadata not available' WHEN n >= 365 THEN printf('%.1f years old', n / 365.0::DOUBLE) ELSE n || ' days old' END AS age FROM (SELECT id * 97 AS n FROM range(0, 200) AS v(id))""",
+    "duration_texts": """SELECT n, CASE WHEN n < 90 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', floor(n / 3600.0::DOUBLE * 10 + 0.5) / 10) END AS duration,
+      CASE WHEN n % 5 = 0 THEN 'account metadata not available' WHEN n >= 365 THEN printf('%.1f years old', floor(n / 365.0::DOUBLE * 10 + 0.5) / 10) ELSE n || ' days old' END AS age FROM (SELECT id * 97 AS n FROM range(0, 200) AS v(id))""",
     "sent_texts": "SELECT doc_id, length(coalesce(nullif(left(text, 5000), ''), '(post without text)')) AS sent FROM documents",
     "validation_report": "SELECT conv_id, 0 AS duplicate_ids, count(*) FILTER (e < 1704067200) AS early, 0 AS two_names, 0 AS reused FROM r GROUP BY conv_id",
     "document_violations": """SELECT CAST(conv_id AS VARCHAR) AS conv_id, (count(*) > 400)::INT + bool_or(trim(text) = '' OR length(text) > 5000)::INT AS n,
