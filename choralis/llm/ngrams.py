@@ -72,7 +72,9 @@ def save(uri: str, arrays: list[np.ndarray]) -> None:
 
 
 def load(uri: str, shapes: list[tuple[str, int]]) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory; shapes: their types and lengths."""
+    """The arrays of a file, mapped into memory; shapes: their types and lengths. Without entries there is no file."""
+    if not any(n for _, n in shapes):
+        return [np.zeros(0, kind) for kind, _ in shapes]
     path = _local(uri)
     if path:
         f = open(path, "rb")
@@ -309,6 +311,7 @@ def words_of(m: Bigrams) -> Words:
     if m.at not in _words:
         _words.clear()
         _words[m.at] = Words(m)
+    _words[m.at].m = m  # the worker may know an earlier state, from before the pairs were counted
     return _words[m.at]
 
 
