@@ -31,7 +31,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("doc"),
         row_key("doc_id", "text", "source").alias("row"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("site"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none")).alias("site"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     )
     trimmed = F.regexp_replace("line", EDGE, "")

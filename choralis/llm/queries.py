@@ -113,7 +113,7 @@ def queries() -> dict[str, Query]:
 OP7_SQL = r"""
 WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
 l AS (
-  SELECT r, doc_id, coalesce('s' || source, '') AS site, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k
+  SELECT r, doc_id, coalesce('s' || source, 'none') AS site, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k
   FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
 b AS (SELECT k, min((r, pos)) AS f FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 3),
 m AS (SELECT l.*, b.k IS NOT NULL AND (l.r, l.pos) <> b.f AS gone FROM l LEFT JOIN b ON l.k = b.k),
