@@ -1,15 +1,28 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative and long plans."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the checkpoint folder: computed once, read as often as needed, with a short plan."""
+    _folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir; only where none is set (one machine), in a temporary one."""
+    _folder(df)
+    return df.checkpoint()
+
+
+def _folder(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="choralis-"))
-    return df.checkpoint()

@@ -5,39 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choralis.config import Config
+from choralis.functions.settle import kept
 from choralis.operators import accounts as acc
 from choralis.operators import classify, coordination, graph, phrases, score, similarity, timing
 
 
 class Analysis:
     """Tables derived from posts, replies and accounts (see choralis.sources.ingest.flatten), each built when first
-    asked for. Tables that many others read are kept in memory or on disk for reuse; release() lets them go."""
+    asked for. Tables that many others read are written to the checkpoint folder once, which also keeps plans short."""
 
     def __init__(self, posts: DataFrame, replies: DataFrame, accounts: DataFrame, config: Config = Config(), scorer: Callable[[str], str] | None = None, model: similarity.SimilarityModel = similarity.tfidf_pairs):
         self.posts, self.replies, self.config, self.scorer, self.model = posts, replies, config, scorer, model
         self.accounts = acc.with_metadata(accounts)
-        self.held: list[DataFrame] = []
 
     @cached_property
     def words(self) -> DataFrame:
-        return self._kept(similarity.tokenised(self.replies))
+        return kept(similarity.tokenised(self.replies), "words")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self._kept(self.model(self.words))
+        return kept(self.model(self.words), "pairs")
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
-    def release(self) -> None:
-        while self.held:
-            self.held.pop().unpersist()
 
     @cached_property
     def directed(self) -> DataFrame:
@@ -45,19 +37,19 @@ class Analysis:
 
     @cached_property
     def top_edges(self) -> DataFrame:
-        return self._kept(similarity.top_edges(self.directed, self.config))
+        return kept(similarity.top_edges(self.directed, self.config), "top_edges")
 
     @cached_property
     def similar(self) -> DataFrame:
-        return self._kept(similarity.reply_similarity(self.words, self.directed, self.config))
+        return kept(similarity.reply_similarity(self.words, self.directed, self.config), "similar")
 
     @cached_property
     def timing(self) -> DataFrame:
-        return self._kept(timing.reply_timing(self.replies, self.posts, self.directed, self.config))
+        return kept(timing.reply_timing(self.replies, self.posts, self.directed, self.config), "timing")
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return self._kept(phrases.patterns(self.words, self.config))
+        return kept(phrases.patterns(self.words, self.config), "patterns")
 
     @cached_property
     def reply_patterns(self) -> DataFrame:
@@ -65,12 +57,12 @@ class Analysis:
 
     @cached_property
     def coordination(self) -> DataFrame:
-        return self._kept(coordination.coordination_edges(self.pairs, self.replies, self.accounts, self.reply_patterns, self.config))
+        return kept(coordination.coordination_edges(self.pairs, self.replies, self.accounts, self.reply_patterns, self.config), "coordination")
 
     @cached_property
     def features(self) -> DataFrame:
         own = acc.self_similarity(self.pairs, self.replies)
-        return self._kept(acc.account_features(self.similar, self.timing, self.reply_patterns, own))
+        return kept(acc.account_features(self.similar, self.timing, self.reply_patterns, own), "features")
 
     @cached_property
     def components(self) -> DataFrame:
@@ -84,7 +76,7 @@ class Analysis:
     def graph(self) -> DataFrame:
         basic = self.timing.join(self.replies.select("conv_id", "pos", "account_id"), ["conv_id", "pos"])
         basic = basic.groupBy("conv_id", "account_id").agg(F.count("*").alias("reply_count"), F.min("seconds_after").alias("first_seconds"), F.min("pos").alias("first_pos"))
-        return self._kept(graph.graph_features(basic, self.coordination, self.similar_accounts, self.components))
+        return kept(graph.graph_features(basic, self.coordination, self.similar_accounts, self.components), "graph")
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -92,7 +84,7 @@ class Analysis:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._kept(graph.members(self.graph, self.clusters))
+        return kept(graph.members(self.graph, self.clusters), "members")
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -100,7 +92,7 @@ class Analysis:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return self._kept(classify.scored(self.requests, self.config, self.scorer))
+        return kept(classify.scored(self.requests, self.config, self.scorer), "classified")
 
     @cached_property
     def scores(self) -> DataFrame:

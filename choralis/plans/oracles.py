@@ -253,7 +253,7 @@ SELECTS: dict[str, str] = {
     "components": "SELECT conv_id, account_id, component FROM cm",
     "components_iterative": "SELECT conv_id, account_id, component FROM cm",
     "account_links": f"SELECT conv_id, account_id, {_r3('similarity')} AS similarity, links, max_score FROM al",
-    "graph_features": "SELECT conv_id, account_id, component, component_size, component_similarity, coordinated, max_score, "similar", degree, first_seconds FROM g",
+    "graph_features": """SELECT conv_id, account_id, component, component_size, component_similarity, coordinated, max_score, "similar", degree, first_seconds FROM g""",
     "similar_account_edges": "SELECT * FROM sa",
     "account_edges": "SELECT * FROM ed",
     "clusters": "SELECT * FROM cl",

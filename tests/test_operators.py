@@ -116,7 +116,6 @@ def test_pairs_match_plain_version(spark, seed):
     a = Analysis(*build(spark, rows))
     got = {(r.conv_id, r.i, r.j): round(r.sim, 9) for r in a.pairs.collect()}
     assert got == plain_pairs(rows)
-    a.release()
 
 
 def test_pruned_coordination_equals_unpruned(spark):
@@ -126,7 +125,6 @@ def test_pruned_coordination_equals_unpruned(spark):
     assert a.coordination.count() > 0
     settled = graph.components_iterative(a.accounts, a.coordination)
     assert sorted(map(tuple, settled.select("conv_id", "account_id", "component").collect())) == sorted(map(tuple, a.components.select("conv_id", "account_id", "component").collect()))
-    a.release()
 
 
 def test_conversations_do_not_mix(spark):
@@ -137,8 +135,6 @@ def test_conversations_do_not_mix(spark):
         want = sorted(str(r.asDict()) for r in getattr(alone, name).collect())
         got = sorted(str(r.asDict()) for r in getattr(twice, name).where("conv_id = '0'").collect())
         assert got == want
-    alone.release()
-    twice.release()
 
 
 def test_top_edges_of_identical_replies(spark):
@@ -147,7 +143,6 @@ def test_top_edges_of_identical_replies(spark):
     edges = a.top_edges.collect()
     assert len(edges) < 45 and all(e.sim >= 0.72 for e in edges)
     assert sum(0 in (e.i, e.j) for e in edges) >= 6
-    a.release()
 
 
 def test_phrases(spark):
@@ -170,7 +165,6 @@ def test_burst_forms_a_cluster_and_self_does_not(spark):
     assert 0 <= a.scores.first().score <= 1
     path = graph.shortest_paths(spark.createDataFrame([("0", "b0", "b2"), ("0", "h", "b0")], "conv_id string, source string, target string"), a.links).collect()
     assert [(r.source, r.length) for r in path] == [("b0", 1)]
-    a.release()
     own = Analysis(*build(spark, [("0", "a", words, i) for i in range(3)]))
     assert own.coordination.count() == 0
 
@@ -209,7 +203,6 @@ def test_scorer_answers_and_falls_back(spark):
     got = {r.account_id: r for r in classify.scored(a.requests, a.config, scorer).collect()}
     assert (got["a"].label, got["a"].source) == ("automation_like", "SCORER")  # labels follow the thresholds
     assert (got["b"].label, got["b"].source) == ("uncertain", "HEURISTIC_FALLBACK") and "down" in got["b"].signals_for[0] and got["b"].confidence <= 0.3
-    a.release()
 
 
 def test_embedding_model_is_pluggable(spark):
@@ -217,4 +210,3 @@ def test_embedding_model_is_pluggable(spark):
     a = Analysis(posts, replies, accounts, model=lambda words: similarity.embedding_pairs(words.select("conv_id", "pos", F.array(F.lit(1.0), F.col("pos").cast("double")).alias("embedding"))))
     assert a.pairs.count() == 15
     assert phrases.trigrams(a.words).count() >= 0
-    a.release()
