@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from choralis.config import Config
 from choralis.sources.schema import CONVERSATION
@@ -12,8 +11,7 @@ from choralis.sources.schema import CONVERSATION
 
 def read_conversations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """conv_id (hash of the document), kind, post, replies, corrupt (the text of a document that isn't one)."""
-    schema = T.StructType([*CONVERSATION.fields, T.StructField("corrupt", T.StringType())])
-    read = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
+    read = spark.read.schema(f"{CONVERSATION}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
     rows = read.option("multiLine", multi_line).json(path)
     key = F.md5(F.concat_ws("\x1f", F.to_json(F.struct("kind", "post", "replies")), "corrupt"))
     return rows.select(key.alias("conv_id"), F.coalesce("kind", F.lit("thread")).alias("kind"), "post", "replies", "corrupt")

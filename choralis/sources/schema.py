@@ -1,9 +1,7 @@
 """Schemas of the input document and of the flat tables; nothing is inferred."""
 
-from pyspark.sql import types as T
-
 ACCOUNT = "struct<id:string,username:string,accountAgeDays:int,followers:int,following:int,totalPosts:int>"
-CONVERSATION = T.StructType.fromDDL(
+CONVERSATION = (
     "kind string, post struct<id:string,author:string,text:string,createdAt:timestamp>, "
     f"replies array<struct<id:string,author:{ACCOUNT},text:string,createdAt:timestamp>>"
 )
