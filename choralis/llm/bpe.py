@@ -27,8 +27,8 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Words whose ids a worker remembers; further words are encoded anew in each chunk.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers; further words are encoded anew in each chunk.
+REMEMBERED = 300_000
 #: Marks an added token among the words; no word can begin with it, as a lone surrogate is not text.
 ADDED = "\udc00"
 OTHER_SPACE = re.compile(r" (?:\s|$)")
@@ -202,6 +202,8 @@ def bpe_encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids")
         for batch, texts in chunks(batches, text):
             kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids}
             yield pa.RecordBatch.from_pydict(kept | {ids: pa.array(pairs.encode(texts), pa.binary())})
+        pairs.known.clear()  # the worker's memory is for other operators' tasks too
+        pairs.pieces.clear()
 
     return docs.mapInArrow(run, schema)
 

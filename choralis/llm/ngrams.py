@@ -513,6 +513,7 @@ def score_ngrams(docs: DataFrame, m: Bigrams) -> DataFrame:
         for batch, texts in chunks(batches):
             if texts:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {k: pa.array(v) for k, v in log10_probability(m, texts).items()})
+        _words.clear()
 
     out = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("train_tokens", F.lit(m.tokens).cast("long"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
