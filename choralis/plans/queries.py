@@ -607,7 +607,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"merged_{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     at = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp()
-    capture.merge_scans(items).writeStream.format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    capture.merge_scans(items, idle_ms=None).writeStream.format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).groupBy("conv_id").agg(F.count("*").alias("items"))
 
 

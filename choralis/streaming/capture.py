@@ -45,10 +45,11 @@ def merge_items(seen: list[str], post: tuple[str, bool] | None, skipped: set[str
     return out, post
 
 
-def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int = 360_000) -> DataFrame:
+def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int | None = 360_000) -> DataFrame:
     """A stream of scanned items to a stream of new posts and replies, with at most max_replies for each conversation.
 
-    A conversation's state goes when nothing has come for idle_ms, after the given number of idle batches, or once full.
+    A conversation's state goes when nothing has come for idle_ms; it is full at the cap or after config.idle_scans scans
+    without news. idle_ms None: no timer, for streams that end (a timer keeps an availableNow stream running).
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,10 +64,11 @@ def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int = 360_
         idle = 0 if out else idle + 1
         full = len(seen) >= config.max_replies or idle >= config.idle_scans
         state.update((SEP.join(seen), post[0] if post else None, bool(post and post[1]), SEP.join(sorted(left)), idle, full))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["conv_id", "kind", "pos", "id", "handle", "text", "created_at"])
 
-    return items.groupBy("conv_id").applyInPandasWithState(step, MERGED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return items.groupBy("conv_id").applyInPandasWithState(step, MERGED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def merge_batch(items: DataFrame, config: Config = Config()) -> DataFrame:

@@ -101,7 +101,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(2):
         items.where(F.col("seq") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    capture.merge_scans(stream).writeStream.format("memory").queryName("merged_test").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    capture.merge_scans(stream, idle_ms=None).writeStream.format("memory").queryName("merged_test").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     got = {(r.conv_id, r.id) for r in spark.table("merged_test").where("kind = 'reply'").collect()}
     assert got == {(r.conv_id, r.id) for r in capture.merge_batch(items).collect()}
 
