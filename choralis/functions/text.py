@@ -19,7 +19,7 @@ STOP_WORDS = (
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return pd.Series([unicodedata.normalize("NFKC", t) if isinstance(t, str) and not t.isascii() else t for t in texts], dtype=object)
 
 
 def normalised(text: Column, compose: bool = True) -> Column:

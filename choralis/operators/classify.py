@@ -359,14 +359,13 @@ def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            out = []
+            names, out = [f.split()[0] for f in ANSWER.split(", ")], []
             for payload in rows["payload"]:
                 try:
                     out.append({"payload": payload, "reason": None, **parse(scorer(payload))})
                 except Exception as e:  # whatever an external scorer does wrong marks its row, it doesn't end the job
                     out.append({"payload": payload, "reason": str(e) or type(e).__name__})
-            names = [f.split()[0] for f in ANSWER.split(", ")]
-            yield pd.DataFrame(out, columns=["payload", "reason", *names])
+            yield pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in ("payload", "reason", *names)})
 
     got = local.select("payload").distinct().repartition(config.scorer_partitions, "payload").mapInPandas(ask, f"payload string, reason string, {ANSWER}")
     names = [f.split()[0] for f in ANSWER.split(", ")]

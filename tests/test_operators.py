@@ -170,7 +170,7 @@ def test_burst_forms_a_cluster_and_self_does_not(spark):
 
 
 SIGNS = [
-    (["Kindly message us on Telegram to unlock your locked account"], {"messaging", "urgency"}),
+    (["Kindly message us on Telegram about your locked account"], {"messaging", "urgency"}),
     (["Thanks to @mentor, I made $12,000 in 7 days"], {"money"}),
     (["Comment Interested to earn $300 per day"], {"job"}),
     (["The index rebuild took nine minutes."], set()),
