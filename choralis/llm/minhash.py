@@ -9,9 +9,10 @@ Points are drawn in the order of time, for all shingles of many texts at once, u
 place of its text.
 
 Classes. Texts with one multiset form one node. Nodes that agree in all rows of a band are candidates. First each is
-compared with the least node of its bucket; verified links are joined to components; then all candidates that still
-lie in different components are compared. A link needs a multiset Jaccard similarity of at least `similarity`, computed
-exactly. Every bucket is thus settled without pairs within what is already one class.
+compared with the leader of its bucket, the node that meets the most others; verified links are joined to components.
+Then all nodes that met one leader but lie in different components are compared if what each shares with the leader
+leaves it possible that they are similar. A link needs a multiset Jaccard similarity of at least `similarity`, computed
+exactly. So every bucket is settled, without pairs within what is already one class and without a cap.
 
 A text without a word is in a class of its own. A class's id is the least doc_id in it. Rows that repeat are copies.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from choralis.llm.common import WORD, chunks, row_key, written
@@ -121,7 +122,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], places: int = PLACES)
 
 
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), -1, rows)
+    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), sig.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(bits.shape[1], dtype=np.uint64), bits.shape[:2])
     for k in range(rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, k])
@@ -141,6 +142,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 nodes[i] = xxhash.xxh3_64_intdigest(bags[i][0].tobytes() + bags[i][1].tobytes()) - 2**63
                 keys[i] = k
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row": batch.column(1), "node": pa.array(nodes, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+        _hashes.clear()
 
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, node long, bands array<long>")
@@ -172,13 +174,60 @@ def _members_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.select("row", "node").join(sets, "row").select("node", "set").dropDuplicates(["node"])
 
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb (sizes of their sets), met (of what they share) and extra (members of b that a lacks)."""
+    x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    y = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(y, "b").join(x, "a").withColumn("extra", F.array_except("sb", "sa"))
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), (F.size("sb") - F.size("extra")).alias("met"), "extra")
+
+
+def _alike(met, n, similarity: float):
+    """Whether `met` of `n` members in both sets together make them similar enough."""
+    return met * (1 + similarity) >= similarity * n - 1e-9
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a")
-    met = F.size(F.array_intersect("sa", "sb"))
-    return both.where(met >= similarity * (F.size("sa") + F.size("sb") - met) - 1e-9).select("a", "b")
+    return _compared(pairs, sets).where(_alike(F.col("met"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
+
+
+def _still_open(tested: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that met one leader, lie in different components and may yet be similar enough.
+
+    What two nodes x, y share is either in their leader's set or extra to both. So they are similar enough only if they
+    share enough extra members, or if the smaller of their overlaps with the leader alone is large enough for their sizes,
+    which bounds the size of each by the other's. The first is a join on those extra members that more than one component
+    has, of each node only so many of the rarest that two nodes which share enough must share one of these; the second
+    is a join on bins of size.
+    """
+    at = roots.withColumnRenamed("node", "b")
+    placed = tested.join(at, "b", "left").withColumn("root", F.coalesce("root", "b"))
+    own = tested.select("a").distinct().join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("ra"))
+    mixed = placed.join(own, "a").groupBy("a").agg(F.min(F.least("root", "ra")).alias("x"), F.max(F.greatest("root", "ra")).alias("y")).where("x < y").select("a")
+    open_ = written(placed.join(mixed, "a").select("a", "b", "nb", "met", "root"), "near-open")
+    extra = _compared(open_.select("a", "b"), sets).select("a", "b", F.explode("extra").alias("m")).join(open_, ["a", "b"])
+    extra = written(extra.select("a", "m", "b", "root", "nb", "met"), "near-extra")
+    told = extra.groupBy("a", "m").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("often")).where("x < y").select("a", "m", "often")
+    least = open_.groupBy("a").agg(F.min("nb").alias("least"))
+    extra = extra.join(told, ["a", "m"]).join(least, "a")
+    # what a partner must share at least in extra members, as no partner is smaller than the least of them all
+    size = F.col("nb") + F.greatest(F.col("nb") * similarity, F.col("least"))
+    need = F.greatest(F.lit(1), F.ceil(size * similarity / (1 + similarity) - F.col("met") - 1e-6))
+    rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "m"))
+    extra = extra.withColumn("rank", rarest).withColumn("own", F.count("*").over(Window.partitionBy("a", "b")))
+    extra = extra.where(F.col("rank") <= F.col("own") - need + 1)
+    x = extra.select("a", "m", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("nb").alias("nx"), F.col("met").alias("mx"))
+    y = extra.select("a", "m", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("nb").alias("ny"), F.col("met").alias("my"))
+    most = F.least("mx", "my") + F.least(F.col("nx") - F.col("mx"), F.col("ny") - F.col("my"))
+    sharing = x.join(y, ["a", "m"]).where("rx < ry").where(_alike(most, F.col("nx") + F.col("ny"), similarity)).select("x", "y")
+    within = open_.where(F.col("met") >= similarity * F.col("nb") - 1e-9)
+    step = 1.03
+    low = F.floor(F.log(step, F.col("nb") * similarity - 1e-6))
+    high = F.floor(F.log(step, F.col("met") * (1 + 1 / similarity) - F.col("nb") + 1e-6))
+    x = within.select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("nb").alias("nx"), F.col("met").alias("mx"), F.explode(F.sequence(low, F.greatest(high, low))).alias("bin"))
+    y = within.select("a", F.col("b").alias("y"), F.col("root").alias("ry"), F.col("nb").alias("ny"), F.col("met").alias("my"), F.floor(F.log(step, F.col("nb").cast("double"))).alias("bin"))
+    close = x.join(y, ["a", "bin"]).where("rx < ry").where(_alike(F.least("mx", "my"), F.col("nx") + F.col("ny"), similarity)).select("x", "y")
+    return sharing.unionByName(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -205,21 +254,18 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketched = written(sketch(docs), "near-sketch")
     one = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row", "bands")).alias("r"))
-    one = one.select("node", "r.doc_id", "r.row", F.explode("r.bands").alias("band"))
-    shared = one.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    near = written(one.join(shared, "band").select("band", "node", "row", "least"), "near-candidates")
-    reps = near.select("row", "node").distinct()
+    one = one.select("node", "r.row", F.explode("r.bands").alias("band"))
+    shared = one.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    near = written(one.join(shared, "band").select("band", "node", "row", "n"), "near-candidates")
+    reps = near.groupBy("node", "row").agg(F.sum("n").alias("meets"))
     sets = written(_members_of(docs, reps), "near-sets")
-    first = near.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_linked(first, sets, similarity), "near-links")
+    ranked = near.select("band", "node").join(reps.select("node", "meets"), "node")
+    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("leader"))
+    first = near.select("band", "node").join(leaders, "band").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tested = written(_compared(first, sets).drop("extra"), "near-tested")
+    links = tested.where(_alike(F.col("met"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
     roots = components(links)
-    placed = near.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    open_ = written(placed.join(mixed, "band"), "near-open")
-    x = open_.select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "band").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_linked(rest, sets, similarity), "near-more")
+    more = written(_linked(_still_open(tested, roots, sets, similarity), sets, similarity), "near-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
