@@ -9,15 +9,16 @@ CONVERSATIONS = 32
 
 
 def documents_as_replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents of up to 5,000 characters as replies by their source; exact copies share a conversation.
+    """Documents as replies by their source, whole and of any length; exact copies share a conversation.
 
-    Accounts of every fourth source have no metadata, others have some that follows from the source's number.
+    A row without n_chars takes the length of its text. Accounts of every fourth source have no metadata, others have some that follows from the source's number.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars <= 5000")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n_chars = F.coalesce("n_chars", F.length("text"), F.lit(0))
     start = F.timestamp_seconds(F.lit(1704067200))
     order = Window.partitionBy("conv_id").orderBy("doc_id")
     replies = docs.select(
-        (F.col("n_chars") % CONVERSATIONS).cast("string").alias("conv_id"),
+        (n_chars % CONVERSATIONS).cast("string").alias("conv_id"),
         "doc_id",
         F.concat(F.lit("d"), "doc_id").alias("reply_id"),
         F.col("source").alias("account_id"),

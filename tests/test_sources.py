@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config
 from choralis.plans import fixtures
-from choralis.sources import ingest, names, pages, store, targets
+from choralis.plans.analysis import Analysis
+from choralis.sources import adapters, ingest, names, pages, store, targets
 from choralis.streaming import capture
 
 ACCOUNT = {"id": "a", "username": "ann"}
@@ -122,3 +123,16 @@ def test_entry_module(name):
     import __spark_entry__
 
     assert callable(getattr(__spark_entry__, name))
+
+
+def test_documents_of_any_length(spark, tmp_path):
+    """Long documents and rows without n_chars are replies too, and near copies among them are found."""
+    long = " ".join(f"word{i}" for i in range(1500))
+    texts = {1: "short text here", 2: long, 3: long + " end", 4: "no length given", 5: None}
+    n_chars = {1: len(texts[1]), 2: 32 * 400, 3: 32 * 401, 4: None, 5: None}
+    rows = [(d, t, "en", f"src{d}", n_chars[d]) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    a = Analysis(*adapters.documents_as_replies(spark, str(tmp_path)))
+    want = {"d1": "15", "d2": "0", "d3": "0", "d4": "15", "d5": "0"}
+    assert {r.reply_id: (r.conv_id, r.text) for r in a.replies.collect()} == {k: (c, texts[int(k[1:])]) for k, c in want.items()}
+    assert {(r.conv_id, r.i, r.j) for r in a.top_edges.collect()} == {("0", 0, 1)}
