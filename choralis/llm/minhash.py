@@ -106,7 +106,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], places: int = PLACES)
         drawn += step
         r = _mix(seed[:, None] + k[None, :] * np.uint64(0x9E3779B97F4A7C15))
         gap = -np.log1p(-(r >> np.uint64(11)).astype(np.float64) * 2.0**-53) / width[:, None]
-        times = time[:, None] + np.cumsum(gap, axis=1)
+        times = np.cumsum(np.c_[time, gap], axis=1)[:, 1:]  # gap after gap: sums don't depend on how many are drawn at once
         r = _mix(r)
         place = (r >> np.uint64(40)).astype(np.int64) % places
         at = doc[:, None] * places + place

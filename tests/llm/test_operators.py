@@ -58,6 +58,14 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_signatures_do_not_depend_on_the_chunk():
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=n)) for n in [*range(1, 40), 300, 300] for _ in range(40)]
+    bags = [minhash.bag(t) for t in texts]
+    together = minhash.band_keys(minhash.signatures(bags))
+    assert all((minhash.band_keys(minhash.signatures([bags[i]]))[0] == together[i]).all() for i in range(0, len(bags), 7))
+
+
 def test_near_classes_match_brute_force(spark):
     rng = random.Random(2)
     texts = documents(rng, 40)
