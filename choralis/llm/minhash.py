@@ -14,7 +14,8 @@ Then all nodes that met one leader but lie in different components are compared
 leaves it possible that they are similar. A link needs a multiset Jaccard similarity of at least `similarity`, computed
 exactly. So every bucket is settled, without pairs within what is already one class and without a cap.
 
-A text without a word is in a class of its own. A class's id is the least doc_id in it. Rows that repeat are copies.
+A text without a word is in a class of its own. A class's id is the least doc_id in it; classes of rows without an id,
+or of unlike texts that share one, have the same id and differ in their root. Rows that repeat are copies.
 """
 
 from __future__ import annotations
@@ -250,7 +251,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, row (key of doc_id and text), node and class_id, one row for each of docs (doc_id, text)."""
+    """doc_id, row (key of doc_id and text), node, root and class_id, one row for each of docs (doc_id, text).
+
+    root is the least node of the class (null without a word) and, unlike class_id, tells any two classes apart."""
     docs = docs.select("doc_id", "text")
     sketched = written(sketch(docs), "near-sketch")
     one = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row", "bands")).alias("r"))
@@ -271,10 +274,10 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    named = written(rooted.join(classes, "root").select("node", "class_id"), "near-classes")
+    named = written(rooted.join(classes, "root").select("node", "root", "class_id"), "near-classes")
     known = sketched.select("doc_id", "row", "node").where("node is not null").join(named, "node")
-    alone = sketched.where("node is null").select("node", "doc_id", "row", F.col("doc_id").alias("class_id"))
-    return known.unionByName(alone).select("doc_id", "row", "node", "class_id")
+    alone = sketched.where("node is null").select("node", "doc_id", "row", F.col("node").alias("root"), F.col("doc_id").alias("class_id"))
+    return known.unionByName(alone).select("doc_id", "row", "node", "root", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -283,6 +286,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("whole"), row_key("doc_id", "text").alias("row"))
     found = near_classes(docs, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")
-    first = found.where("node is not null").groupBy("class_id").agg(least).select("m.row")
+    first = found.where("node is not null").groupBy("root").agg(least).select("m.row")
     kept = first.unionByName(found.where("node is null").select("row")).distinct()
     return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("whole.*")

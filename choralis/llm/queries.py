@@ -30,7 +30,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from choralis.llm.minhash import near_classes
 
-    return near_classes(common.documents(spark, sf_dir)).select("doc_id", "class_id")
+    return near_classes(common.documents(spark, sf_dir)).select("doc_id", "class_id", F.col("root").alias("class_root"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

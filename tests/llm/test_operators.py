@@ -103,6 +103,17 @@ def test_near_odd(odd, none):
     assert kept.columns == odd.columns and kept.count() == 8
 
 
+def test_keep_one_with_missing_and_shared_ids(spark):
+    """Unlike texts are of different classes, also without an id or under one id."""
+    texts = documents(random.Random(15), 8)
+    rows = [*((None, t) for t in texts[:5]), (None, texts[0]), (7, texts[5]), (7, texts[6]), (8, texts[6]), (9, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(docs).collect()]
+    assert Counter(kept) == Counter([*((None, t) for t in texts[:5]), (7, texts[5]), (7, texts[6]), (9, texts[7])])
+    found = minhash.near_classes(docs).select("doc_id", "class_id", "root").collect()
+    assert len({r.root for r in found}) == 8 and len({r.root for r in found if r.class_id == 7}) == 2
+
+
 # -- 2
 
 
