@@ -3,19 +3,20 @@
 Base. E-mail addresses, IPv4 addresses, card numbers and phone numbers are found by pattern, leftmost and without
 overlap for each kind, in whole texts and in time linear in the text.
 
-Disclosure. What a match says (its text in lower case) is a protected entity. Terms are the words within `window` words
-of a mention. Over the corpus, an entity e with document frequency d(e) carries log2(N / d(e)) bits; a term t that shares
-d(e, t) documents with it reveals log2(N d(e, t) / (d(e) d(t))) of them. A term that reveals at least `share` of an
-entity's bits, and did so in at least `support` different texts, is marked as kind `term` near the entity's mentions.
+Disclosure. What a match says (its text in lower case) is a protected entity. Terms are all words of the documents that
+hold one, outside its identifiers. Over the corpus, an entity e with document frequency d(e) carries log2(N / d(e)) bits;
+a term t that shares d(e, t) documents with it reveals log2(N d(e, t) / (d(e) d(t))) of them. A term that reveals at least
+`share` of an entity's bits is marked as kind `term` wherever it occurs, also in documents without the entity.
 Sanitised texts have the identifiers generalised to their kind and such terms removed.
 
-Document frequencies count all documents; d(t) is counted for every term near an entity. Null texts are empty and have
-no spans. Offsets count code points; ends are exclusive.
+Document frequencies count all documents; d(t) is counted for every term that shares a document with an entity. Null
+texts are empty and have no spans. Offsets count code points; ends are exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -90,60 +91,54 @@ def term_of(word: str) -> str:
     return EDGE.sub("", word).lower()
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """entity, term, start, end of the terms around each mention, those within a base span left out."""
-    if not spans:
-        return []
-    words = [m.span() for m in WORDS.finditer(text)]
-    begins = np.array([a for a, _ in words])
-    covered = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, a, b in spans:
-        entity = _hash(f"{kind}:{text[a:b].lower()}")
-        first = int(np.searchsorted(begins, a, side="right")) - 1
-        last = int(np.searchsorted(begins, b, side="left"))
-        for x, y in words[max(0, first - window) : last + window]:
-            if not any(x < d and c < y for c, d in covered) and (t := term_of(text[x:y])):
-                out.append((entity, _hash(t), x, y))
-    return out
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the base spans' union."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
-MENTION = "struct<e:long,t:long,a:int,b:int>"
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words that no base span touches."""
+    starts, ends = _merged(spans)
+    for m in WORDS.finditer(text):
+        k = bisect_right(ends, m.start())
+        if k == len(starts) or starts[k] >= m.end():
+            yield m
 
 
-def find_base(docs: DataFrame, window: int = 5) -> DataFrame:
-    """doc_id, row, text_hash, spans (kind, a, b), entities and mentions of docs (doc_id, text)."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
-    mention = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+def find_holders(docs: DataFrame) -> DataFrame:
+    """text_hash, entities and terms (distinct hashes) of those of docs (doc_id, text) that have an identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            spans = [base_spans(t) for t in texts]
-            near = [near_terms(t, s, window) for t, s in zip(texts, spans, strict=True)]
-            entities = [sorted({_hash(f"{k}:{t[a:b].lower()}") for k, a, b in s}) for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "row": batch.column(1),
-                    "text_hash": pa.array([_hash(t) if s else 0 for t, s in zip(texts, spans, strict=True)], pa.int64()),
-                    "spans": pa.array([[dict(zip(("kind", "a", "b"), x, strict=True)) for x in s] for s in spans], span),
-                    "entities": pa.array(entities, pa.list_(pa.int64())),
-                    "mentions": pa.array([[dict(zip("etab", x, strict=True)) for x in m] for m in near], mention),
-                }
-            )
+        for _, texts in chunks(batches):
+            found = [(t, s) for t in texts if (s := base_spans(t))]
+            entities = [sorted({_hash(f"{k}:{t[a:b].lower()}") for k, a, b in s}) for t, s in found]
+            terms = [sorted({_hash(x) for w in {m[0] for m in free_words(t, s)} if (x := term_of(w))}) for t, s in found]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict({"text_hash": pa.array([_hash(t) for t, _ in found], pa.int64()), "entities": pa.array(entities, longs), "terms": pa.array(terms, longs)})
 
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, text_hash long, spans array<struct<kind:string,a:int,b:int>>, entities array<long>, mentions array<{MENTION}>")
+    return docs.select("text").mapInArrow(run, "text_hash long, entities array<long>, terms array<long>")
 
 
 #: Term hashes up to this number (8 bytes each) are sent to the workers, more are joined.
 SENT_TERMS = 1_000_000
 
 
+def _sent(terms: DataFrame) -> np.ndarray | None:
+    """The sorted hashes in terms (t), or None if they are too many to be sent."""
+    return np.sort(terms.toArrow().column("t").to_numpy()) if terms.count() <= SENT_TERMS else None
+
+
 def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """t and the number of documents that hold the term, for the hashes in terms (t)."""
-    wanted = np.sort(np.array([r[0] for r in terms.collect()], dtype=np.int64)) if terms.count() <= SENT_TERMS else None
+    wanted = _sent(terms)
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,26 +175,67 @@ def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("t").agg(F.sum("n").alias("n_t")).join(terms, "t", "left_semi")
 
 
-def find_private(docs: DataFrame, window: int = 5, share: float = 0.8, support: int = 3) -> DataFrame:
+def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, row, spans (base spans) and terms (spans of all words whose hash is in terms (t)) of docs (doc_id, text)."""
+    wanted = _sent(terms)
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+    word = pa.list_(pa.struct([("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value
+        known: dict[str, int | None] = {}
+        for batch, texts in chunks(batches):
+            spans = [base_spans(t) for t in texts]
+            found = []
+            for text, s in zip(texts, spans, strict=True):
+                words = set(WORDS.findall(text))
+                new = [w for w in words if w not in known]
+                if new:
+                    if len(known) > 400_000:
+                        known.clear()
+                        new = list(words)
+                    names = [term_of(w) for w in new]
+                    h = np.array([_hash(x) for x in names], dtype=np.int64)
+                    hit = np.ones(len(h), bool)
+                    if keys is not None:
+                        hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else ~hit
+                    known.update((w, x if y and n else None) for w, x, y, n in zip(new, h.tolist(), hit.tolist(), names, strict=True))
+                here = any(known[w] is not None for w in words)
+                found.append([{"t": t, "a": m.start(), "b": m.end()} for m in free_words(text, s) if (t := known[m[0]]) is not None] if here else [])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0),
+                    "row": batch.column(1),
+                    "spans": pa.array([[dict(zip(("kind", "a", "b"), x, strict=True)) for x in s] for s in spans], span),
+                    "words": pa.array(found, word),
+                }
+            )
+
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"doc_id {kind}, row long, spans array<struct<kind:string,a:int,b:int>>, words array<struct<t:long,a:int,b:int>>")
+    if wanted is not None:
+        return out.select("doc_id", "row", "spans", F.transform("words", lambda w: F.struct(F.lit("term").alias("kind"), w["a"].alias("a"), w["b"].alias("b"))).alias("terms"))
+    added = out.select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "t", "left_semi")
+    added = added.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "a", "b"))).alias("terms"))
+    none = F.array().cast("array<struct<kind:string,a:int,b:int>>")
+    return out.join(added, "row", "left").select("doc_id", "row", "spans", F.coalesce("terms", none).alias("terms"))
+
+
+def find_private(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """doc_id, row, spans (base spans) and terms (spans of revealing terms) of docs (doc_id, text)."""
-    found = written(find_base(docs, window), "private-base")
-    n = found.count()
-    holders = found.where(F.size("entities") > 0)
-    d_e = holders.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = F.array_distinct(F.transform("mentions", lambda m: F.struct(m["e"].alias("e"), m["t"].alias("t"))))
-    met = holders.select("text_hash", F.explode(pairs).alias("p")).groupBy("p.e", "p.t", "text_hash").agg(F.count("*").alias("n"))
-    met = met.groupBy("e", "t").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support)
-    met = written(met, "private-pairs")
-    d_t = term_frequency(docs, met.select("t").distinct())
-    told = met.join(d_e, "e").join(d_t, "t")
+    n = docs.count()
+    holders = find_holders(docs).groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    holders = written(holders, "private-holders")
+    each = holders.select("n", "terms", F.explode("entities").alias("e"))
+    d_e = each.groupBy("e").agg(F.sum("n").alias("n_e"))
+    met = each.select("n", "e", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.sum("n").alias("n_et"))
+    d_t = written(term_frequency(docs, holders.select(F.explode("terms").alias("t")).distinct()), "private-terms")
     bits = F.log2(F.lit(float(n)) / F.col("n_e"))
+    told = met.join(d_e, "e").join(d_t, "t")
     told = told.where((bits > 0) & (F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= share * bits))
-    told = told.select(F.col("e").alias("e2"), F.col("t").alias("t2"))
-    here = holders.select("row", F.explode("mentions").alias("m"))
-    added = here.join(told, (F.col("m.e") == F.col("e2")) & (F.col("m.t") == F.col("t2")))
-    added = added.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "m.a", "m.b"))).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,a:int,b:int>>")
-    return found.join(added, "row", "left").select("doc_id", "row", "spans", F.coalesce("terms", none).alias("terms"))
+    return marked(docs, written(told.select("t").distinct(), "private-told"))
 
 
 def joined(spans: Column) -> Column:

@@ -469,6 +469,20 @@ def test_revealing_terms(spark):
     assert "boss@" not in clean[1000] and "[EMAIL]" in clean[1000] and "zanzibar" not in clean[1000] and clean[0] == text[0]
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_revealing_terms_in_whole_texts(spark, monkeypatch, sent):
+    """Terms far from an identifier, of an entity in one text only, and in texts without the identifier, as brute force."""
+    monkeypatch.setattr(private, "SENT_TERMS", sent)
+    plain = documents(random.Random(16), 120)
+    texts = [*plain, f"Heading-Kuala {plain[0]} x@one.org {plain[1]} footer.", f"again heading-kuala {plain[2]}", f"{plain[3]} y@two.org", f"{plain[4]} y@two.org z1z", None]
+    held = [({t[a:b].lower() for _, a, b in private.base_spans(t or "")}, {private.term_of(w) for w in WORD.findall(t or "")} - {""}) for t in texts]
+    d_t, d_e, d_et = Counter(t for _, w in held for t in w), Counter(e for s, _ in held for e in s), Counter((e, t) for s, w in held for e in s for t in w if t not in s)
+    told = {t for (e, t), k in d_et.items() if math.log2(len(texts) * k / (d_e[e] * d_t[t])) >= 0.8 * math.log2(len(texts) / d_e[e])}
+    assert {"heading-kuala", "footer", "z1z"} <= told
+    got = {r.doc_id: [(s["a"], s["b"]) for s in r.terms] for r in private.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [m.span() for m in WORD.finditer(t or "") if private.term_of(m[0]) in told] for i, t in enumerate(texts)}
+
+
 def test_private_odd(odd, none):
     rows = {r.doc_id: r for r in private.find_private(odd.select("doc_id", "text")).collect()}
     assert [s["kind"] for s in rows[8].spans] == ["email", "phone"] and rows[2].spans == []
