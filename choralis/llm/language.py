@@ -149,7 +149,7 @@ def _kinds(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 def learn_languages(docs: DataFrame, max_docs: int = 800, order: int = 3) -> LanguageModel:
     """docs: text, lang; only rows that may be learnt from."""
     told = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
-    n = {r[0]: r[1] for r in told.groupBy("lang").count().collect()}
+    n = {r[0]: r[1] for r in told.select("lang", "h").distinct().groupBy("lang").count().collect()}  # copies count once
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, max_docs / v) * (1 << 20)))]) if n else None
     if share is None:
         return LanguageModel([], [], order)

@@ -90,10 +90,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFra
     """
     wide = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h")).join(wide, "doc_id")
-    n = {r[0]: r[1] for r in told.groupBy("toxic").count().collect()}
+    each = told.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))  # copies count once
+    n = {r[0]: r[1] for r in each.groupBy("toxic").count().collect()}
     share = [min(1.0, max_docs / max(1, n.get(c, 0))) for c in (0, 1)]
     draw = F.pmod("h", F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
-    one = told.where(draw).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    one = each.where(draw)
     texts = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # at most 2 * max_docs rows of 20 bytes
     texts = texts.where(F.xxhash64("text") == F.col("h")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     return texts.select("text", "toxic", F.pmod(F.shiftright("h", 20), F.lit(4)).alias("fold"))

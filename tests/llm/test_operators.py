@@ -169,6 +169,18 @@ def test_toxicity_held_out(spark):
     assert model.score([long])[0] > 0.7  # a small toxic part of a long text
 
 
+def test_copies_do_not_shrink_the_samples(spark, monkeypatch):
+    texts = ["a copied text"] * 600 + [f"text number {i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    assert {r.text for r in toxicity.training_texts(docs, labels, 40).collect()} == set(texts)
+    learnt = []
+    monkeypatch.setattr(language.ContextTree, "learn", lambda texts, order: learnt.extend(texts))
+    monkeypatch.setattr(language, "LanguageModel", lambda *x: None)
+    language.learn_languages(docs.select("text", "lang"), 40)
+    assert set(learnt) == {t.encode() for t in texts}
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int")
     model = toxicity.learn_toxicity(odd, labels)
