@@ -1,49 +1,66 @@
 """Mixing sources to target weights by balanced sampling with the cube method.
 
-Every document of a source gets the expected number of copies r = target / size of its source, between 0 and 3: its
-whole part for certain, the rest as an inclusion probability. The flight phase moves the probabilities of three units at
-a time along the null-space of the constraints (number of documents, number of words) until one of them is 0 or 1, in
-either direction with the odds that keep each expectation. It runs in blocks of about `block` units; the at most two
-units that a block leaves open meet those of other blocks of their source in the next round, until a source has at
-most two. These land on the choice that comes nearest to the source's words. All draws come from hashes of the rows, so
-reruns agree.
-
-Rows that agree in doc_id, text and source are one unit: each of them gets the same copies. Null sources are a source,
-the last one. Texts without words, and sources without words, are taken 0 times at least and count 0 words.
+Every document of a source gets the expected number of copies r = target / size of its source, between 0 and 3. Rows
+that agree in all columns are one unit: k of them are worth k r copies. The whole part of that is taken for certain, the
+rest is the unit's inclusion probability, which is worth one copy of its size. The flight phase moves the probabilities
+of three units at a time along the null-space of the constraints (number of documents, number of words) until one of
+them is 0 or 1, in either direction with the odds that keep each expectation. It runs in blocks of about `block` units;
+the at most two units that a block leaves open meet those of other blocks of their source in the next round, until a
+source has at most two. These land on the choice that comes nearest to the source's words. All draws come from hashes of
+the rows, so reruns agree.
+
+Defined cases. Null sources are a source, the last one; null and empty texts have size 0, and sources without words are
+taken 0 times. The copies of a unit of equal rows are dealt out evenly among them. An empty table gives an empty mix.
+Texts of any length count whole; columns besides doc_id, text and source only tell rows apart, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.llm.common import row_key, word_count, written
+from choralis.llm.common import lean_worker, row_key_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 NEAR = 1e-9
+#: Copies of one unit that a task puts out.
+COPIES = 100_000
+
+
+def ranked_sources(sized: DataFrame) -> DataFrame:
+    """source, n, source_size and sid, the source's rank by code point, nulls last. Ranks are counted within ranges of
+    sources, behind the numbers of the ranges before, so sources may be many."""
+    by = sized.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    order = F.col("source").asc_nulls_last()
+    ranged = written(by.repartitionByRange(order).select("*", F.spark_partition_id().alias("range")), "mix-sources")
+    count = ranged.groupBy("range").agg(F.count("*").alias("in_range"))
+    before = F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    within = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    placed = ranged.withColumn("within", within).join(count.withColumn("before", before), "range")
+    return placed.select("source", "n", "source_size", (F.col("before") + F.col("within") - 1).cast("long").alias("sid"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, sid, n (rows), source_size, target: one row for each source, of sized (source, size).
+    """source, sid, n (rows), source_size, target: one row for each source, of sized (source, size, n).
 
-    The level to which the weights are filled is found in one pass: by rising cap for each weight, the first source
-    whose share of what the capped ones before it leave doesn't reach its cap.
+    Weights are filled up to a common level; sources that reach `most` times their size leave the rest to the others,
+    whose level rises, until none is above.
     """
-    by = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    by = by.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     cases = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
-    by = by.withColumn("w", cases.cast("double")).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "sid")
-    everything = Window.partitionBy(F.lit(1))
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - before) / rest
-    by = by.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
-    by = by.withColumn("fill", F.min_by("level", F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), "sid"))).over(everything))
-    return by.select("source", "sid", "n", "source_size", F.least("cap", F.col("fill") * F.col("w")).alias("target"))
+    by = ranked_sources(sized).withColumn("w", cases.cast("double")).withColumn("cap", F.col("source_size") * float(most))
+    by = written(by, "mix-weights")
+    total = float(by.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        row = by.agg(F.sum(F.when(full, F.col("cap"))).alias("held"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if not row.open or (total - (row.held or 0.0)) / row.open <= level:
+            break
+        level = (total - (row.held or 0.0)) / row.open
+    return by.select("source", "sid", "n", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -91,27 +108,28 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _round(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "key"], kind="stable")
-        p = fly(rows["p"].to_numpy(), rows["size"].to_numpy(), rows["draw"].to_numpy())
-        return rows.assign(p=land(p, rows["size"].to_numpy()) if last else p)
+        with lean_worker():
+            rows = rows.sort_values(["draw", "key"], kind="stable")
+            p = fly(rows["p"].to_numpy(), rows["size"].to_numpy(), rows["draw"].to_numpy())
+            return rows.assign(p=land(p, rows["size"].to_numpy()) if last else p)
 
     return run
 
 
-def copies(sized: DataFrame, seed: int = 1, block: int = 2048) -> DataFrame:
-    """key, copies, sid, source_size, target; sized: key, source, size, one row for each document."""
-    targets = written(source_targets(sized), "mix-targets")
-    units = sized.groupBy("key").agg(F.first("source").alias("source"), (F.first("size") * F.count("*")).alias("size"))
-    told = targets.select(F.col("source").alias("its"), "sid", "n", "source_size", "target")
-    units = units.join(told, F.col("source").eqNullSafe(F.col("its")))
-    r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+def copies(units: DataFrame, seed: int = 1, block: int = 2048) -> DataFrame:
+    """units (key, doc_id, source, size, n: one row for each unit of n equal rows) with source_size, target and copies,
+    which all rows of the unit have together."""
+    targets = written(source_targets(units), "mix-targets")
+    told = targets.select(F.col("source").alias("its"), "sid", F.col("n").alias("in_source"), "source_size", "target")
+    units = units.join(told, F.col("source").eqNullSafe(F.col("its"))).drop("its")
+    r = F.col("n") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     r = F.when(F.abs(r - F.round(r)) < NEAR, F.round(r)).otherwise(r)
     units = units.withColumn("whole", F.floor(r)).withColumn("p", r - F.floor(r))
     h = F.xxhash64(F.lit(seed), "key")
     units = units.withColumn("draw", F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    blocks = F.ceil(F.col("n") / block)
+    blocks = F.ceil(F.col("in_source") / block)
     units = written(units.withColumn("part", F.pmod(F.shiftright(h, 20), blocks)), "mix-units")
-    schema = "key long, sid int, size long, p double, draw double, part long"
+    schema = "key long, sid long, size long, p double, draw double, part long"
     open_ = units.where("p > 0").select("key", "sid", "size", "p", "draw", "part")
     most = targets.agg(F.max("n")).first()[0] or 0
     done = None
@@ -126,24 +144,37 @@ def copies(sized: DataFrame, seed: int = 1, block: int = 2048) -> DataFrame:
         open_ = flown.where("p > 0 and p < 1").withColumn("part", F.floor(F.col("part") / (block // 2)))
         most = 2 * (most // block + 1)
     out = units.join(done, "key", "left").withColumn("copies", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long"))
-    return out.select("key", "copies", "source_size", "target")
+    return out.select("key", "doc_id", "size", "n", "copies", "source_size", "target")
+
+
+def units_of(docs: DataFrame) -> DataFrame:
+    """key, doc_id, source, size in words, and n, how many of docs (doc_id, text, source and any others) are this row."""
+    rows = docs.select(row_key_of(docs).alias("key"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    units = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("n"))
+    return written(units, "mix-sizes")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source and size, in words, of docs (doc_id, text, source)."""
-    return docs.select("doc_id", row_key("doc_id", "text", "source").alias("key"), "source", word_count(F.col("text")).alias("size"))
+def _times(rows: DataFrame, n: str) -> DataFrame:
+    """rows, each n times, with k from 0; rows that come very often are dealt to several tasks."""
+    zero = F.lit(0).cast("long")
+    few = rows.where(F.col(n).between(1, COPIES)).select("*", F.explode(F.sequence(zero, F.col(n) - 1)).alias("k"))
+    many = rows.where(F.col(n) > COPIES).select("*", F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / COPIES))).alias("lot"))
+    lot: Column = F.col("lot") * COPIES
+    many = many.repartition("key", "lot").select(*rows.columns, F.explode(F.sequence(lot, F.least(lot + COPIES, F.col(n)) - 1)).alias("k"))
+    return few.unionByName(many)
 
 
 def mixed_sizes(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    sized = written(sizes(docs), "mix-sizes")
-    got = copies(sized.select("key", "source", "size"), seed)
-    return sized.join(got, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = _times(copies(units_of(docs), seed), "n")
+    own = F.floor(F.col("copies") / F.col("n")) + (F.col("k") < F.col("copies") % F.col("n")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * own).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
-    sized = written(sizes(docs), "mix-sizes")
-    got = copies(sized.select("key", "source", "size"), seed).where("copies > 0").select("key", "copies")
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), row_key("doc_id", "text", "source").alias("key"))
-    return whole.join(got, "key").select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("whole.*")
+    got = copies(units_of(docs), seed).where("copies > 0").select("key", "n", "copies")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key_of(docs).alias("key")).join(got, "key")
+    # rows that agree in all columns are taken together, from one of them
+    twins = whole.where("n > 1").groupBy("key").agg(F.first("whole").alias("whole"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    return _times(whole.where("n = 1").unionByName(twins.select(*whole.columns)), "copies").select("whole.*")
