@@ -5,12 +5,15 @@ component and binary digit a bitmap over the block's rows, after the block's lea
 are built for all rows of a block at once by bitmap arithmetic: each set digit of a query component adds the component's
 slices, shifted (their complements where the component is negative), and carry-save adders reduce what has equal weight
 to one bitmap a digit. The top rows are then found from the most significant slice downward; the rows that still tie at
-the k-th score are told apart by id. Blocks of queries meet blocks of the index; of each pair k rows for a query are
-passed on, and the best k of all blocks remain.
-
-Null vectors, and vectors with null or non-finite components, take no part, nor do rows with a null id. Vectors meet
-those of equal length. A query's own row is no candidate, nor are other rows with its id. Fewer than k candidates give
-fewer rows; rows that repeat are candidates each.
+the k-th score are told apart by id. Lots of up to `queries` queries meet blocks of the index; of each pair k rows for a
+query are passed on, and the best k of all blocks remain. Lots are about as large as blocks, so what is moved is small
+beside what is compared; only where there is little to search are they cut finer, so that all tasks have work.
+
+Defined cases. Null vectors, and vectors with null or non-finite components, take no part, nor do rows with a null id.
+Vectors meet those of equal length; those without components score 0 with each other. A query's own row is no candidate,
+nor are other rows with its id. Fewer than k candidates give fewer rows, an empty table none; rows that repeat are
+candidates, and queries, each; equal scores fall to the smaller id. Scores are 64-bit sums and wrap beyond. Columns
+besides vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def slices_of(values: np.ndarray) -> tuple[int, np.ndarray]:
     """The least value, and bitmaps (component x digit x words) of what lies above it; row r is bit r % 64 of its word."""
-    low = int(values.min())
+    low = int(values.min(initial=0)) if not values.size else int(values.min())
     above = (values - low).T
-    digits = max(1, int(above.max()).bit_length())
+    digits = max(1, int(above.max(initial=0)).bit_length())
     n = values.shape[0]
     pad = -n % 64
     out = np.empty((values.shape[1], digits, (n + pad) // 64), dtype=np.uint64)
@@ -122,7 +125,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, dim and whole-number components of the vectors (vec_id, embedding) that take part."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = vectors.where("vec_id is not null and embedding is not null").where(fine & (F.size("embedding") > 0))
+    rows = vectors.where("vec_id is not null and embedding is not null").where(fine)
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
 
 
@@ -141,13 +144,15 @@ def build_index(rows: DataFrame, n: int, block: int) -> DataFrame:
     return dealt.groupBy("dim", "block").applyInPandas(build, INDEX)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 12_000, queries: int = 128) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 12_000, queries: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for each row whose vec_id is divisible by `every`."""
+    spark = vectors.sparkSession
     rows = written(quantised(vectors), "topk-rows")
     n = rows.count()
     asked = rows.where(F.col("vec_id") % every == 0)
     n_asked = asked.count()
-    lots = max(1, -(-n_asked // queries))
+    blocks, slots = max(1, -(-n // block)), 2 * spark.sparkContext.defaultParallelism
+    lots = max(1, -(-n_asked // queries), min(-(-n_asked // 64), -(-slots // blocks)))
     index = written(build_index(rows, n, block), "topk-index")
 
     def gather(part: pd.DataFrame) -> pd.DataFrame:
@@ -159,23 +164,21 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 12_000
     lot_rows = written(lot_rows, "topk-queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, asked_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["asked"], "<i8")
-                slices = np.frombuffer(r["slices"], "<u8").reshape(r["dim"], r["digits"], -1)
-                flipped = ~slices
-                q = np.frombuffer(r["q"], "<i8").reshape(-1, r["dim"])
-                found = [search_block(x, a, ids, r["low"], slices, flipped, k) for a, x in zip(asked_ids.tolist(), q, strict=True)]
-                each = [len(f[0]) for f in found]
-                which = np.repeat(np.arange(len(found)), each)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array(asked_ids[which]),
-                        "query": pa.array(which + (r["lot"] << 20)),
-                        "vec_id": pa.array(np.concatenate([f[0] for f in found])),
-                        "score": pa.array(np.concatenate([f[1] for f in found])),
-                    }
-                )
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            ids, asked_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["asked"], "<i8")
+            slices = np.frombuffer(r["slices"], "<u8").reshape(r["dim"], r["digits"], -(-r["n"] // 64))
+            flipped = ~slices
+            q = np.frombuffer(r["q"], "<i8").reshape(len(asked_ids), r["dim"])
+            found = [search_block(x, a, ids, r["low"], slices, flipped, k) for a, x in zip(asked_ids.tolist(), q, strict=True)]
+            which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": pa.array(asked_ids[which]),
+                    "query": pa.array(which + (r["lot"] << 20)),
+                    "vec_id": pa.array(np.concatenate([f[0] for f in found])),
+                    "score": pa.array(np.concatenate([f[1] for f in found])),
+                }
+            )
 
     lot = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot")
     met = index.select("*", lot).repartition(max(lots, 1), "dim", "lot").join(lot_rows, ["dim", "lot"])
