@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choralis.llm.common import chunks
+from choralis.llm.common import chunks, map_arrow
 
 #: Fixed value: how byte-level BPE of this kind cuts a text into words.
 SPLIT = (
@@ -189,23 +189,27 @@ def _pairs(spec) -> BytePairs:
     return _loaded[getattr(spec, "id", 0)]
 
 
-def bpe_encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with column `ids`: the tokens of the whole text, little-endian unsigned 32-bit integers in a binary value.
+def bpe_encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with column `ids`: the tokens of the whole text, little-endian unsigned 32-bit integers in a binary value; if
+    asked for, also with column `decoded`: what these ids decode to, by the same worker.
 
     spec: the vocabulary file's content (a few MB at any size of the corpus, so it is broadcast).
     """
     held = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != ids], T.StructField(ids, T.BinaryType())])
+    new = [T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in (ids, decoded)], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for batch, texts in chunks(batches, text):
-            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != ids}
-            yield pa.RecordBatch.from_pydict(kept | {ids: pa.array(pairs.encode(texts), pa.binary())})
+            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (ids, decoded)}
+            coded = pairs.encode(texts)
+            back = {decoded: pa.array(map(pairs.decode, coded), pa.string())} if decoded else {}
+            yield pa.RecordBatch.from_pydict(kept | {ids: pa.array(coded, pa.binary())} | back)
         pairs.known.clear()  # the worker's memory is for other operators' tasks too
         pairs.pieces.clear()
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def bpe_decode(docs: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -222,12 +226,12 @@ def bpe_decode(docs: DataFrame, spec: str, ids: str = "ids", decoded: str = "dec
                 values = batch.column(batch.schema.get_field_index(ids)).to_pylist()
                 yield pa.RecordBatch.from_pydict(kept | {decoded: pa.array([pairs.decode(v or b"") for v in values], pa.string())})
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def token_digests(docs: DataFrame, spec: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document's encoding and its decoding."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), spec).drop("text"), spec)
+    coded = bpe_encode(docs.select("doc_id", "text"), spec, decoded="decoded").drop("text")
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

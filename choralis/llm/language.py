@@ -7,8 +7,13 @@ are frozen after training, so a byte's code length depends on it and the `order`
 exactly once for each run of bytes in a chunk and summed over whole texts. The language with the shortest code wins,
 ties fall to the first by code point; the score is its posterior under equal priors.
 
-Learning is bounded: about `max_docs` distinct texts of each language at most, taken by the hash of the text, go to the
-driver. Null texts, texts without a letter, and all texts where nothing was learnt are `und` with score 0.
+Learning is bounded: at most `max_docs` distinct texts of each language, of MOST_CHARS characters together, go to the
+driver, the least by the hash of the text, whatever the number of documents. The languages themselves are expected to
+be few (at most some hundreds): each has a tree of its own, and all trees are broadcast.
+
+Null and empty texts, texts without a letter, and all texts where nothing was learnt, as from an empty table, are `und`
+with score 0. Very long texts are coded whole, one at a time. A text under several languages is learnt for each; rows
+that repeat are learnt from once and predicted each. Input columns named lang_pred or score are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks
+from choralis.llm.common import chunks, least_hashes, map_arrow
 
 LETTER = regex.compile(r"\p{L}")
 BEFORE = b"\n"
+#: Characters of the texts of one language that are learnt from, besides a single longer text.
+MOST_CHARS = 20_000_000
 
 
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -148,14 +155,12 @@ def _kinds(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def learn_languages(docs: DataFrame, max_docs: int = 800, order: int = 3) -> LanguageModel:
     """docs: text, lang; only rows that may be learnt from."""
-    told = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
-    n = {r[0]: r[1] for r in told.select("lang", "h").distinct().groupBy("lang").count().collect()}  # copies count once
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, max_docs / v) * (1 << 20)))]) if n else None
-    if share is None:
-        return LanguageModel([], [], order)
-    drawn = told.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])
+    told = docs.where("lang is not null and text <> ''").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    each = told.groupBy("lang", "h").agg(F.min("size").alias("size"))  # copies count once
+    drawn = least_hashes(each, "lang", "h", max_docs, "size", MOST_CHARS).drop("size")
+    whole = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
     texts: dict[str, list[bytes]] = {}
-    for r in drawn.groupBy("h", "lang").agg(F.first("text").alias("text")).toLocalIterator():
+    for r in whole.join(drawn, ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).toLocalIterator():
         texts.setdefault(r.lang, []).append(r.text.encode())
     names = sorted(texts)
     return LanguageModel(names, [ContextTree.learn(sorted(texts[x]), order) for x in names], order)
@@ -174,4 +179,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             names, scores = m.predict(texts)
             yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

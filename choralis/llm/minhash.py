@@ -14,8 +14,13 @@ Then all nodes that met one leader but lie in different components are compared
 leaves it possible that they are similar. A link needs a multiset Jaccard similarity of at least `similarity`, computed
 exactly. So every bucket is settled, without pairs within what is already one class and without a cap.
 
-A text without a word is in a class of its own. A class's id is the least doc_id in it; classes of rows without an id,
-or of unlike texts that share one, have the same id and differ in their root. Rows that repeat are copies.
+Hot leaders. What meets by leader (its bucket's members, their sets) is dealt to one task for each HOT_MEMBERS of them,
+with the leader's part sent to each, so a bucket may hold any share of all rows.
+
+Defined cases. A null or empty text, or one without a word, is in a class of its own. A class's id is the least doc_id
+in it; classes of rows without an id, or of unlike texts that share one, have the same id and differ in their root. Rows
+that repeat are copies. Texts of any length count whole; only the signatures of many short ones are computed together.
+An empty table has no classes. Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, row_key, written
+from choralis.llm.common import WORD, chunks, map_arrow, row_key, written
 
 SHINGLE = 5
 ROWS, BANDS = 5, 25
 PLACES = ROWS * BANDS
 #: Row keys up to this number (8 bytes each) are sent to the workers; more are joined by a shuffle.
 SENT_KEYS = 2_000_000
+#: Members of a leader that one task compares with it.
+HOT_MEMBERS = 1024
 WORDS = re.compile(WORD)
 _hashes: dict[str, int] = {}
 
@@ -146,10 +153,10 @@ def sketch(docs: DataFrame) -> DataFrame:
         _hashes.clear()
 
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, node long, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, node long, bands array<long>")
 
 
-def _members_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _members_of(docs: DataFrame, reps: DataFrame, sent_keys: int = SENT_KEYS) -> DataFrame:
     """node and its set of members, for the rows (row, node) of reps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,28 +165,47 @@ def _members_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"row": batch.column(0), "set": pa.array(sets, pa.list_(pa.int64()))})
 
     rows = docs.select(row_key("doc_id", "text").alias("row"), "text")
-    if reps.count() <= SENT_KEYS:
+    if reps.count() <= sent_keys:
         wanted = np.sort(np.array([r[0] for r in reps.select("row").collect()], dtype=np.int64))
         held = docs.sparkSession.sparkContext.broadcast(wanted)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = held.value
-            for batch in batches:
+            done = np.zeros(len(keys), bool)
+            for batch in batches if len(keys) else ():
                 row = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(keys, row), max(0, len(keys) - 1))
-                yield from run(iter([batch.filter(pa.array(keys[at] == row if len(keys) else np.zeros(len(row), bool)))]))
+                at = np.minimum(np.searchsorted(keys, row), len(keys) - 1)
+                hit = np.flatnonzero((keys[at] == row) & ~done[at])
+                hit = hit[np.unique(at[hit], return_index=True)[1]]  # of rows that repeat, the first
+                done[at[hit]] = True
+                yield from run(iter([batch.take(pa.array(np.sort(hit)))]))
 
-        sets = rows.mapInArrow(pick, "row long, set array<long>")
+        sets = map_arrow(rows, pick, "row long, set array<long>")
     else:
-        sets = rows.join(reps.select("row"), "row", "left_semi").mapInArrow(run, "row long, set array<long>")
+        sets = map_arrow(rows.join(reps.select("row"), "row", "left_semi"), run, "row long, set array<long>")
     return reps.select("row", "node").join(sets, "row").select("node", "set").dropDuplicates(["node"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _hot(pairs: DataFrame) -> DataFrame:
+    """a and parts, of the leaders that meet more than HOT_MEMBERS nodes; few beside the pairs."""
+    return pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT_MEMBERS).select("a", F.ceil(F.col("n") / HOT_MEMBERS).alias("parts"))
+
+
+def _meet(rows: DataFrame, leaders: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (a, b and others) joined with the one row of leaders (a and others), if there is one; a hot leader's rows in
+    several tasks."""
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    rows = rows.join(hot, "a", "left").withColumn("part", part).drop("parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+    leaders = leaders.join(hot, "a", "left").withColumn("part", each).drop("parts")
+    return rows.join(leaders, ["a", "part"]).drop("part")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """a, b, na, nb (sizes of their sets), met (of what they share) and extra (members of b that a lacks)."""
-    x = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    x = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.col("set").alias("sa"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(y, "b").join(x, "a").withColumn("extra", F.array_except("sb", "sa"))
+    both = _meet(pairs.join(y, "b"), x, hot).withColumn("extra", F.array_except("sb", "sa"))
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), (F.size("sb") - F.size("extra")).alias("met"), "extra")
 
 
@@ -189,10 +215,10 @@ def _alike(met, n, similarity: float):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    return _compared(pairs, sets).where(_alike(F.col("met"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
+    return _compared(pairs, sets, written(_hot(pairs), "near-hot")).where(_alike(F.col("met"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
-def _still_open(tested: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _still_open(tested: DataFrame, roots: DataFrame, sets: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that met one leader, lie in different components and may yet be similar enough.
 
     What two nodes x, y share is either in their leader's set or extra to both. So they are similar enough only if they
@@ -205,12 +231,12 @@ def _still_open(tested: DataFrame, roots: DataFrame, sets: DataFrame, similarity
     placed = tested.join(at, "b", "left").withColumn("root", F.coalesce("root", "b"))
     own = tested.select("a").distinct().join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("ra"))
     mixed = placed.join(own, "a").groupBy("a").agg(F.min(F.least("root", "ra")).alias("x"), F.max(F.greatest("root", "ra")).alias("y")).where("x < y").select("a")
-    open_ = written(placed.join(mixed, "a").select("a", "b", "nb", "met", "root"), "near-open")
-    extra = _compared(open_.select("a", "b"), sets).select("a", "b", F.explode("extra").alias("m")).join(open_, ["a", "b"])
+    open_ = written(_meet(placed, mixed, hot).select("a", "b", "nb", "met", "root"), "near-open")
+    extra = _compared(open_.select("a", "b"), sets, hot).select("a", "b", F.explode("extra").alias("m")).join(open_, ["a", "b"])
     extra = written(extra.select("a", "m", "b", "root", "nb", "met"), "near-extra")
     told = extra.groupBy("a", "m").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("often")).where("x < y").select("a", "m", "often")
     least = open_.groupBy("a").agg(F.min("nb").alias("least"))
-    extra = extra.join(told, ["a", "m"]).join(least, "a")
+    extra = _meet(extra.join(told, ["a", "m"]), least, hot)
     # what a partner must share at least in extra members, as no partner is smaller than the least of them all
     size = F.col("nb") + F.greatest(F.col("nb") * similarity, F.col("least"))
     need = F.greatest(F.lit(1), F.ceil(size * similarity / (1 + similarity) - F.col("met") - 1e-6))
@@ -250,7 +276,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, sent_keys: int = SENT_KEYS) -> DataFrame:
     """doc_id, row (key of doc_id and text), node, root and class_id, one row for each of docs (doc_id, text).
 
     root is the least node of the class (null without a word) and, unlike class_id, tells any two classes apart."""
@@ -261,14 +287,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     shared = one.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     near = written(one.join(shared, "band").select("band", "node", "row", "n"), "near-candidates")
     reps = near.groupBy("node", "row").agg(F.sum("n").alias("meets"))
-    sets = written(_members_of(docs, reps), "near-sets")
+    sets = written(_members_of(docs, reps, sent_keys), "near-sets")
     ranked = near.select("band", "node").join(reps.select("node", "meets"), "node")
     leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("leader"))
     first = near.select("band", "node").join(leaders, "band").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(_compared(first, sets).drop("extra"), "near-tested")
+    first = written(first, "near-first")
+    hot = written(_hot(first), "near-hot")
+    tested = written(_compared(first, sets, hot).drop("extra"), "near-tested")
     links = tested.where(_alike(F.col("met"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
     roots = components(links)
-    more = written(_linked(_still_open(tested, roots, sets, similarity), sets, similarity), "near-more")
+    more = written(_still_open(tested, roots, sets, hot, similarity), "near-rest")
+    more = written(_linked(more, sets, similarity), "near-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
@@ -283,9 +312,14 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id, then row key; texts without a
     word all stay, of rows that agree in doc_id and text one stays."""
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), row_key("doc_id", "text").alias("row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
     found = near_classes(docs, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")
     first = found.where("node is not null").groupBy("root").agg(least).select("m.row")
     kept = first.unionByName(found.where("node is null").select("row")).distinct()
-    return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("whole.*")
+    often = found.groupBy("row").agg(F.count("*").alias("n"))
+    kept = written(kept.join(often, "row"), "near-kept")
+    plain = whole.join(kept.where("n = 1").select("row"), "row", "left_semi")
+    # of rows that repeat, each task passes one on
+    twins = whole.join(kept.where("n > 1").select("row"), "row", "left_semi").groupBy("row").agg(F.first("whole").alias("whole"))
+    return plain.select("whole.*").unionByName(twins.select("whole.*"))

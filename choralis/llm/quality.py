@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, written
+from choralis.llm.common import WORD, chunks, map_arrow, written
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,7 @@ def learn_references(docs: DataFrame, common: float = 0.002) -> References:
                 yield out()
         yield out()
 
-    counted = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+    counted = map_arrow(docs.where("lang is not null and text is not null").select("text", "lang"), count, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = written(counted, "quality-counts")
     totals = {r[0]: r[1] for r in counted.where("word not like ' %'").groupBy("lang").agg(F.sum("n")).collect()}
@@ -189,4 +189,4 @@ def judge_quality(docs: DataFrame, refs: References, max_word_jsd: float = 0.34,
                     c.append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)

@@ -1,17 +1,28 @@
 """Toxicity by two class-conditional Kneser-Ney models over words and word pairs.
 
-Each class has an absolutely discounted bigram that backs off to its unigram, and that to continuation counts which
-both classes share. An expression has counts of its own in the class models only if training texts of the two classes
-hold it at clearly different rates (Dunning's log-likelihood ratio of at least `sure`, near copies counted once);
-all others rest on the shared counts alone, so that rare words say nothing.
+Counts are numbers of training texts, so what a text repeats counts once. Each model is absolutely discounted and
+interpolated, and sums to 1 over the vocabulary and the unknown word in every context:
+
+  shared(w)      texts of both classes, backed off to the continuation counts (in how many contexts a word stands)
+  P_c(w)         what the discount leaves of class c's count, and the freed mass times shared(w)
+  shared(w | h)  what the discount leaves of the pair's count in both classes, and the freed mass times P_c(w)
+  P_c(w | h)     what the discount leaves of class c's count of the pair, and the freed mass times shared(w | h)
+
+The discount is what the next level lets expect, `spread` Poisson deviations and `rare` (for pairs, of which there are
+far more, `rare_pair`) besides. So an expression keeps mass of its own in a class only by what it has there beyond the
+shared counts, and both classes know rare expressions by the shared counts alone.
 
 A text's evidence is the largest length-normalised difference of the two log-likelihoods over windows of `window`
 words that overlap by half, besides that of the whole text. Toxic language in a small part of a long text thus isn't
 thinned out. A logistic curve, fitted on training texts that the counts had not seen, turns both into a score.
 
-Learning is bounded: about `max_docs` distinct labelled texts of each class at most, taken by the hash of their text, go
-to the driver. Scoring covers every row and whole texts. Null and empty texts have no evidence. Without labels of
-both classes each text gets score 0. A doc_id with several labels counts as toxic if one of them says so.
+Learning is bounded: at most `max_docs` distinct labelled texts of each class, of MOST_CHARS characters together, go to
+the driver, the least by the hash of their text; near copies among them count once. Scoring covers every row and whole texts of any length.
+
+Null and empty texts have no evidence; they get the curve's value there. Without labels of both classes, as with empty
+tables, each text gets score 0. A doc_id with several labels counts as toxic if one of them says so; a text that
+several rows share is learnt from once and counts as toxic if one of the rows does. Rows that repeat, and rows that tie
+in any other way, are scored each. The score's column may be named so that no column of the input has its name.
 """
 
 from __future__ import annotations
@@ -20,29 +31,43 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks
+from choralis.llm.common import chunks, least_hashes, map_arrow
 
-DISCOUNT = 0.75
+#: Characters of the texts of one class that are learnt from, besides a single longer text.
+MOST_CHARS = 20_000_000
 TOKEN_PY = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class ToxicModel:
-    words: dict[str, int]
-    uni: np.ndarray  # log ratio of the unigrams, by word; 0 for the unknown word 0
-    pair_keys: np.ndarray  # sorted context * len(words) + word
-    pair: np.ndarray  # log ratio of the bigrams
+    words: dict[str, int]  # from 1; 0 is the unknown word
+    uni: np.ndarray  # log P(word) of both classes: 2 x (words + 1)
+    free: np.ndarray  # log of the mass that a context's pairs leave to the unigram: 2 x (words + 1)
+    pair_keys: np.ndarray  # sorted context * (words + 1) + word
+    pair: np.ndarray  # log P(word | context) of both classes: 2 x pairs
     curve: tuple[float, float, float]
     window: int
     empty: bool = False
 
+    def log_likelihoods(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log P(w | h) of both classes; h -1: the text's start, which has no context."""
+        out = self.uni[:, w].copy()
+        inner = h >= 0
+        out[:, inner] += self.free[:, h[inner]]
+        if len(self.pair_keys):
+            key = h * self.uni.shape[1] + w
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            hit = inner & (self.pair_keys[at] == key)
+            out[:, hit] = self.pair[:, at[hit]]
+        return out
+
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Two columns: largest window mean and whole mean of log P(w|toxic) - log P(w|ordinary)."""
         found = np.zeros((len(texts), 2))
@@ -54,17 +79,11 @@ class ToxicModel:
         if not ids:
             return found
         w = np.array(ids, dtype=np.int64)
-        h = np.r_[0, w[:-1]]
+        h = np.r_[-1, w[:-1]]
         first = np.array([0, *ends[:-1]])
-        h[first[first < len(w)]] = 0
-        gain = self.uni[w].copy()
-        both = np.flatnonzero((h > 0) & (w > 0))
-        if len(self.pair_keys) and len(both):
-            key = h[both] * len(self.uni) + w[both]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            hit = self.pair_keys[at] == key
-            gain[both[hit]] = self.pair[at[hit]]
-        total = np.r_[0.0, np.cumsum(gain)]
+        h[first[first < len(w)]] = -1
+        logs = self.log_likelihoods(h, w)
+        total = np.r_[0.0, np.cumsum(logs[1] - logs[0])]
         for i, (a, b) in enumerate(zip(first.tolist(), ends, strict=True)):
             if b > a:
                 found[i, 1] = (total[b] - total[a]) / (b - a)
@@ -75,6 +94,20 @@ class ToxicModel:
                     found[i, 0] = (total[at + self.window] - total[at]).max() / self.window
         return found
 
+    def telling(self) -> ToxicModel:
+        """The model for evidence alone: without the words whose classes' log-likelihoods differ by as much as those of the
+        unknown word, wherever they stand."""
+        gap = self.uni[1] - self.uni[0]
+        loose = self.free[1] - self.free[0]
+        n = self.uni.shape[1]
+        own = (np.abs(gap - gap[0]) > 1e-12) | (np.abs(loose - loose[0]) > 1e-12)
+        own[0] = True
+        own[self.pair_keys // n] = own[self.pair_keys % n] = True
+        new = np.cumsum(own) - 1
+        keys = new[self.pair_keys // n] * int(own.sum()) + new[self.pair_keys % n]
+        words = {w: int(new[i]) for w, i in self.words.items() if own[i]}
+        return replace(self, words=words, uni=self.uni[:, own], free=self.free[:, own], pair_keys=keys)
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.empty:
             return np.zeros(len(texts))
@@ -84,20 +117,15 @@ class ToxicModel:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """text, toxic (0/1) and fold (0 to 3) of about max_docs distinct labelled texts of each class at most.
-
-    A text is taken by its hash, with the share of its class that the bound allows. Only ids and hashes meet the labels.
-    """
+    """text, toxic (0/1) and fold (0 to 3) of the distinct labelled texts of each class whose hashes are the least, at most
+    max_docs and, behind the first, MOST_CHARS of them. Only ids and hashes meet the labels."""
     wide = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h")).join(wide, "doc_id")
-    each = told.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))  # copies count once
-    n = {r[0]: r[1] for r in each.groupBy("toxic").count().collect()}
-    share = [min(1.0, max_docs / max(1, n.get(c, 0))) for c in (0, 1)]
-    draw = F.pmod("h", F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
-    one = each.where(draw)
+    told = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size")).join(wide, "doc_id")
+    each = told.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))  # copies count once
+    one = least_hashes(each, "toxic", "h", max_docs, "size", MOST_CHARS).drop("size")
     texts = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # at most 2 * max_docs rows of 20 bytes
     texts = texts.where(F.xxhash64("text") == F.col("h")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    return texts.select("text", "toxic", F.pmod(F.shiftright("h", 20), F.lit(4)).alias("fold"))
+    return texts.select("text", "toxic", F.pmod(F.col("h"), F.lit(4)).alias("fold"))
 
 
 def near_key(tokens: list[str]) -> int:
@@ -109,90 +137,91 @@ def _hash3(run: tuple) -> int:
     return zlib.crc32(" ".join(run).encode())
 
 
-def _tell_apart(n0: np.ndarray, n1: np.ndarray, t0: int, t1: int) -> np.ndarray:
-    """Dunning's log-likelihood ratio of texts with the expression by class, against one rate for both."""
-    rate = (n0 + n1) / (t0 + t1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = [np.where(n > 0, n * np.log(n / (t * rate)), 0.0) for n, t in ((n0, t0), (n1, t1))]
-    return 2 * (part[0] + part[1])
-
-
-def _counts(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """How often each of the sorted keys was seen."""
-    return np.bincount(np.searchsorted(keys, seen), minlength=len(keys)).astype(float)
-
-
-def learn_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, window: int = 32, sure: float = 20.0) -> ToxicModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0) -> ToxicModel:
     """docs: doc_id, text; labels: doc_id, toxic. Only rows that may be learnt from."""
     told = training_texts(docs, labels, max_docs)
     rows = [(r.text, r.toxic, r.fold) for r in told.toLocalIterator()]  # at most 2 * max_docs texts
-    return fit_toxicity(rows, window, sure)
+    return fit_toxicity(rows, window, spread, rare, rare_pair)
 
 
-def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 32, sure: float = 20.0) -> ToxicModel:
+def _held(n: np.ndarray, total: np.ndarray | float, expected: np.ndarray, spread: float, rare: float) -> np.ndarray:
+    """The shares of total that discounted counts n keep; expected: shares that the next level gives them."""
+    e = total * expected
+    return np.maximum(n - (e + spread * np.sqrt(e) + rare), 0) / np.maximum(total, 1)
+
+
+def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0) -> ToxicModel:
     """rows: text, class, fold of 0 to 3; fold 0 fits the curve, the others are counted."""
     rows = sorted(rows)
-    uni, df = [Counter(), Counter()], [Counter(), Counter()]
-    cut: list[tuple[int, list[str]]] = []
+    words: dict[str, int] = {}
+    cut: list[tuple[int, np.ndarray]] = []
     seen: set[tuple[int, int]] = set()
     for text, c, fold in rows:
         if fold:
             t = TOKEN_PY.findall(text.lower())
-            if (key := (c, near_key(t))) not in seen:
+            if t and (key := (c, near_key(t))) not in seen:
                 seen.add(key)
-                uni[c].update(t)
-                df[c].update(set(t))
-                cut.append((c, t))
-    texts = [sum(c == k for c, _ in cut) for k in (0, 1)]
-    if not all(texts):
-        return ToxicModel({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), (0.0, 0.0, 0.0), window, True)
-    often = sorted(w for w in df[0].keys() | df[1].keys() if df[0][w] + df[1][w] > 2)
-    told = _tell_apart(*(np.array([df[c][w] for w in often], dtype=float) for c in (0, 1)), *texts) >= sure
-    words = {w: i + 1 for i, w in enumerate(often)}
+                cut.append((c, np.array([words.setdefault(w, len(words) + 1) for w in t], dtype=np.int32)))
+    if {c for c, _ in cut} != {0, 1}:
+        return ToxicModel({}, np.zeros((2, 1)), np.zeros((2, 1)), np.zeros(0, np.int64), np.zeros((2, 0)), (0.0, 0.0, 0.0), window, True)
     size = len(words) + 1
-    pairs: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-    once: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-    for c, t in cut:
-        ids = np.array([words.get(w, 0) for w in t], dtype=np.int64)
-        both = (ids[:-1] > 0) & (ids[1:] > 0)
-        keys = ids[:-1][both] * size + ids[1:][both]
-        pairs[c].append(keys)
-        once[c].append(np.unique(keys))
-    keys = np.unique(np.concatenate([*once[0], *once[1]]))
-    n_pair = [_counts(keys, np.concatenate(x)) for x in pairs]
-    n_docs = [_counts(keys, np.concatenate(x)) for x in once]
-    del pairs, once
-    # in how many contexts each word stands, both classes together: what they share
-    contexts = np.bincount(keys % size, minlength=size) + 0.5
-    shared = contexts / contexts.sum()
-    own = np.r_[False, told]
-    log_uni = []
+    single, follow = np.zeros((2, size)), np.zeros((2, size))  # follow: pairs that begin with the word
+    pairs: list[list[np.ndarray]] = [[], []]
+    for c, ids in cut:
+        single[c, np.unique(ids)] += 1
+        pairs[c].append(np.unique(ids[:-1].astype(np.int64) * size + ids[1:]))
+    del cut
+    counted = []
     for c in (0, 1):
-        n = np.array([0, *(uni[c][w] for w in often)], dtype=float)
-        held = np.where(own, np.maximum(n - DISCOUNT, 0), 0) / max(1, n.sum())
-        log_uni.append(np.log(held + (DISCOUNT * (n[own] > 0).sum() + 1) / max(1, n.sum()) * shared) if own.any() else np.log(shared))
-    ratio = np.where(own, log_uni[1] - log_uni[0], 0.0)
-    kept = _tell_apart(*n_docs, *texts) >= sure
-    keys, n_pair = keys[kept], [n[kept] for n in n_pair]
+        counted.append(np.unique(np.concatenate(pairs[c]), return_counts=True))
+        pairs[c].clear()
+        follow[c] = np.bincount(counted[c][0] // size, counted[c][1], minlength=size)
+    kinds = np.concatenate([counted[0][0], np.setdiff1d(counted[1][0], counted[0][0], assume_unique=True)])
+    contexts = np.bincount(kinds % size, minlength=size).astype(float)
+    del kinds
+    # no other pairs than these can keep mass of their own
+    keys = np.unique(np.concatenate([*(k[n > rare_pair] for k, n in counted), np.intersect1d(counted[0][0], counted[1][0], assume_unique=True)]))
+    own = np.zeros((2, len(keys)))
+    for c, (k, n) in enumerate(counted):
+        at = np.minimum(np.searchsorted(k, keys), max(0, len(k) - 1))
+        own[c] = np.where(k[at] == keys, n[at], 0) if len(k) else 0
+    del counted
+    often = own.sum(axis=0) > rare_pair
+    keys, own = keys[often], own[:, often]
     h, w = keys // size, keys % size
-    logs = []
+    held = np.maximum(contexts - 0.75, 0) / max(1.0, contexts.sum())
+    ends = held + (1 - held.sum()) / size
+    both = single.sum(axis=0)
+    held = np.maximum(both - 0.75, 0) / both.sum()
+    shared = held + (1 - held.sum()) * ends
+    uni = np.zeros((2, size))
+    for c in (0, 1):
+        held = _held(single[c], single[c].sum(), shared, spread, rare)
+        uni[c] = held + (1 - held.sum()) * shared
+    bound = _held(own.sum(axis=0), follow.sum(axis=0)[h], shared[w], spread, rare_pair)
+    freed = 1 - np.bincount(h, bound, minlength=size)
+    free, pair = np.zeros((2, size)), np.zeros((2, len(keys)))
     for c in (0, 1):
-        context = np.maximum(np.array([0, *(uni[c][x] for x in often)], dtype=float)[h], 1)
-        held = np.maximum(n_pair[c] - DISCOUNT, 0) / context
-        backed = np.exp(np.where(own[w], log_uni[c][w], np.log(shared[w])))
-        logs.append(np.log(held + DISCOUNT * np.where(n_pair[c] > 0, 1, 0.1) / context * backed + 1e-9))
-    gain = np.where(own[w], ratio[w], logs[1] - logs[0])  # a telling word tells alike after any other
-    model = ToxicModel(words, ratio, keys, np.clip(gain, -6, 6) if len(keys) else np.zeros(0), (0.0, 1.0, 0.0), window)
+        expected = bound + freed[h] * uni[c, w]
+        held = _held(own[c], follow[c, h], expected, spread, rare_pair)
+        left = 1 - np.bincount(h, held, minlength=size)
+        free[c] = left * freed
+        pair[c] = held + left[h] * expected
+    told = (bound > 0) | (np.abs(pair - free[:, h] * uni[:, w]) > 1e-15).any(axis=0)  # the others follow from the unigram
+    model = ToxicModel(words, np.log(uni), np.log(free), keys[told], np.log(pair[:, told]), (0.0, 1.0, 0.0), window)
     seen_rows = [(t, c) for t, c, fold in rows if not fold]
     if {c for _, c in seen_rows} != {0, 1}:
         seen_rows = [(t, c) for t, c, _ in rows]
-    x = model.evidence([t for t, _ in seen_rows])
+    short = model.telling()
+    x = np.concatenate([short.evidence([t for t, _ in seen_rows[k : k + 100]]) for k in range(0, len(seen_rows), 100)])
     model.curve = _logistic(x, np.array([c for _, c in seen_rows], dtype=float))
     return model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Balanced logistic regression by Newton steps with a small ridge."""
+    """Balanced logistic regression by Newton steps, with a small ridge in units of the features' deviations."""
+    unit = np.maximum(x.std(axis=0), 1e-9)
+    x = x / unit
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     a = np.c_[np.ones(len(x)), x]
     b = np.zeros(3)
@@ -204,12 +233,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(v) for v in b)
+    return float(b[0]), float(b[1] / unit[0]), float(b[2] / unit[1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, score: str = "score") -> DataFrame:
-    """docs with column `score`, 0 to 1. The model is bounded by max_grams, so it is broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with column `score`, 0 to 1. The model has at most the expressions of 2 * max_docs texts, so it is broadcast."""
+    held = docs.sparkSession.sparkContext.broadcast(model.telling())
     schema = docs.drop(score).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,4 +247,4 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, score: str = "score") ->
             kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != score}
             yield pa.RecordBatch.from_pydict(kept | {score: pa.array(m.score(texts), pa.float64())})
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
