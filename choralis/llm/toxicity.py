@@ -3,7 +3,8 @@
 Counts are numbers of training texts, so what a text repeats counts once. Each model is absolutely discounted and
 interpolated, and sums to 1 over the vocabulary and the unknown word in every context:
 
-  shared(w)      texts of both classes, backed off to the continuation counts (in how many contexts a word stands)
+  shared(w)      texts of both classes but for what the classes keep, backed off to the continuation counts (in how
+                 many contexts a word stands)
   P_c(w)         what the discount leaves of class c's count, and the freed mass times shared(w)
   shared(w | h)  what the discount leaves of the pair's count in both classes, and the freed mass times P_c(w)
   P_c(w | h)     what the discount leaves of class c's count of the pair, and the freed mass times shared(w | h)
@@ -42,6 +43,7 @@ from choralis.llm.common import chunks, least_hashes, map_arrow
 
 #: Characters of the texts of one class that are learnt from, besides a single longer text.
 MOST_CHARS = 20_000_000
+ROUNDS = 50
 TOKEN_PY = re.compile(r"[^\W_]+")
 
 
@@ -191,13 +193,16 @@ def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 8, spread: floa
     h, w = keys // size, keys % size
     held = np.maximum(contexts - 0.75, 0) / max(1.0, contexts.sum())
     ends = held + (1 - held.sum()) / size
-    both = single.sum(axis=0)
-    held = np.maximum(both - 0.75, 0) / both.sum()
-    shared = held + (1 - held.sum()) * ends
-    uni = np.zeros((2, size))
-    for c in (0, 1):
-        held = _held(single[c], single[c].sum(), shared, spread, rare)
-        uni[c] = held + (1 - held.sum()) * shared
+    texts = single.sum(axis=1)
+    kept = np.zeros((2, size))
+    for _ in range(ROUNDS):  # what a class keeps is not shared, and what isn't shared isn't expected of a class
+        both = (single - kept).sum(axis=0)
+        held = np.maximum(both - 0.75, 0) / both.sum()
+        shared = held + (1 - held.sum()) * ends
+        before, kept = kept, np.stack([texts[c] * _held(single[c], texts[c], shared, spread, rare) for c in (0, 1)])
+        if np.abs(kept - before).max() < 0.01:
+            break
+    uni = kept / texts[:, None] + (1 - kept.sum(axis=1) / texts)[:, None] * shared
     bound = _held(own.sum(axis=0), follow.sum(axis=0)[h], shared[w], spread, rare_pair)
     freed = 1 - np.bincount(h, bound, minlength=size)
     free, pair = np.zeros((2, size)), np.zeros((2, len(keys)))
