@@ -42,8 +42,9 @@ STOP = _str(text.STOP_WORDS)
 #: Named parts; each may use those before it.
 PARTS: dict[str, str] = {}
 
-PARTS["r"] = """SELECT CAST(n_chars % 32 AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION BY n_chars % 32 ORDER BY doc_id) - 1 AS INTEGER) AS pos,
-  'd' || doc_id AS reply_id, source AS account_id, text, 1704067200 + doc_id % 120 AS e FROM documents WHERE n_chars <= 5000"""
+PARTS["r"] = """SELECT concat_ws('-', rest, ids, rank // 400) AS conv_id, CAST(rank % 400 AS INTEGER) AS pos,
+  'd' || doc_id AS reply_id, source AS account_id, text, 1704067200 + doc_id % 120 AS e FROM (SELECT *, row_number() OVER (PARTITION BY rest, ids ORDER BY doc_id) - 1 AS rank
+  FROM (SELECT *, coalesce(n_chars, length(text), 0) % 32 AS rest, doc_id // 10000 AS ids FROM documents))"""
 PARTS["a"] = """SELECT conv_id, account_id, min(pos) AS first_pos, CAST(substr(account_id, 4) AS INTEGER) AS k FROM r GROUP BY conv_id, account_id"""
 PARTS["am"] = f"""SELECT conv_id, account_id, first_pos, k % 4 <> 0 AS has_metadata,
   CASE WHEN k % 4 <> 0 THEN k * 137 END AS age, CASE WHEN k % 4 <> 0 THEN (k * 7919) % 1000 END AS followers,

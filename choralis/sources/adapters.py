@@ -6,26 +6,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONVERSATIONS = 32
+#: Ids that share a set of conversations, so that these grow in number with the documents and not in length.
+IDS = 10_000
+MOST_REPLIES = 400
 
 
 def documents_as_replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents as replies by their source, whole and of any length; exact copies share a conversation.
+    """Documents as replies by their source, whole and of any length, in conversations of at most MOST_REPLIES. Documents
+    with near ids and with lengths that leave the same remainder meet, so exact copies among them do.
 
     A row without n_chars takes the length of its text. Accounts of every fourth source have no metadata, others have some that follows from the source's number.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n_chars = F.coalesce("n_chars", F.length("text"), F.lit(0))
     start = F.timestamp_seconds(F.lit(1704067200))
-    order = Window.partitionBy("conv_id").orderBy("doc_id")
+    order = Window.partitionBy("rest", "ids").orderBy("doc_id")
+    rank = F.row_number().over(order) - 1
+    docs = docs.withColumn("rest", n_chars % CONVERSATIONS).withColumn("ids", F.floor(F.col("doc_id") / IDS)).withColumn("rank", rank)
     replies = docs.select(
-        (n_chars % CONVERSATIONS).cast("string").alias("conv_id"),
+        F.concat_ws("-", "rest", "ids", F.floor(F.col("rank") / MOST_REPLIES)).alias("conv_id"),
+        (F.col("rank") % MOST_REPLIES).cast("int").alias("pos"),
         "doc_id",
         F.concat(F.lit("d"), "doc_id").alias("reply_id"),
         F.col("source").alias("account_id"),
         "text",
         F.timestamp_seconds(1704067200 + F.col("doc_id") % 120).alias("created_at"),
     )
-    replies = replies.withColumn("pos", F.row_number().over(order) - 1).drop("doc_id")
+    replies = replies.drop("doc_id")
     posts = replies.select("conv_id").distinct().select(
         "conv_id", F.lit("thread").alias("kind"), F.concat(F.lit("post_"), "conv_id").alias("post_id"), F.lit("root").alias("author"),
         F.lit("the of and to in is it for on that").alias("text"), start.alias("created_at"),
