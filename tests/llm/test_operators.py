@@ -224,13 +224,21 @@ def test_quality_odd(odd, none):
 # -- 5
 
 
-def brute_bigrams(train, texts):
-    toks = lambda t: [*WORD.findall((t or "").translate(ngrams.LOWER)), "\n"]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_trigrams(train, texts):
+    """Of each text: tokens, known ones, training tokens, base score, score; and the probability function."""
+    toks = lambda t: [*WORD.findall((t or "").translate(LOWER)), "\n"]
     train = [toks(t) for t in train]
     uni = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
     total, kinds = sum(uni.values()), len(uni)
-    seen = Counter(w for _, w in pairs)
+    three = Counter(x for t in train for x in zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False))
+    two, one = Counter(), Counter()
+    for (_, v, w), n in three.items():
+        two[v, w] += n if v == "<s>" else 1
+    for _, w in two:
+        one[w] += 1
 
     def discounts(counts):
         n = Counter(counts)
@@ -239,39 +247,60 @@ def brute_bigrams(train, texts):
         y = n[1] / (n[1] + 2 * n[2])
         return [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
 
-    dp, dw = discounts(pairs.values()), discounts(seen.values())
-    held = lambda c, d: max(0, c - (0, *d)[min(c, 3)])
-    context = defaultdict(lambda: [0, 0, 0])
-    for (h, _), c in pairs.items():
-        context[h][min(c, 3) - 1] += 1
-    times = uni + Counter({"<s>": len(train)})
-    free = sum(d * sum(min(c, 3) == k for c in seen.values()) for k, d in zip((1, 2, 3), dw, strict=True)) / len(pairs)
+    d1, d2, d3 = discounts(one.values()), discounts(two.values()), discounts(three.values())
+
+    def grouped(counts):
+        by = defaultdict(list)
+        for gram, n in counts.items():
+            by[gram[:-1]].append(n)
+        return by
+
+    of2, of3 = grouped(two), grouped(three)
 
-    def p(h, w):
-        low = held(seen[w], dw) / len(pairs) + free / (kinds + 1)
-        if h not in context:
-            return low
-        return held(pairs[h, w], dp) / times[h] + sum(d * n for d, n in zip(dp, context[h], strict=True)) / times[h] * low
+    def backed(n, ns, d, shorter):
+        if not ns:
+            return shorter
+        return (max(0, n - (0, *d)[min(n, 3)]) + sum(d[min(x, 3) - 1] for x in ns) * shorter) / sum(ns)
+
+    def p(u, v, w):
+        low = backed(one[w], list(one.values()), d1, 1 / (kinds + 1))
+        low = backed(two[v, w], of2.get((v,), []), d2, low)
+        return backed(three[u, v, w], of3.get((u, v), []), d3, low)
 
     out = []
     for t in map(toks, texts):
-        out.append((len(t), sum(uni[w] > 0 for w in t), total, sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False))))
-    return out
+        base = sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
+        out.append((len(t), sum(uni[w] > 0 for w in t), total, base, sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False))))
+    return out, p, [*uni, "not a word"]
 
 
-def test_ngrams_match_brute_force(spark):
+@pytest.mark.parametrize(("passes", "buckets"), [(2, None), (1, 2), (3, 64)])
+def test_ngrams_match_brute_force(spark, passes, buckets, monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK", 3000)  # texts in many chunks, one longer than a chunk
     rng = random.Random(5)
-    texts = [*documents(rng, 120), None, "", "unseen Words ÄB", "the " * 700]
+    texts = [*documents(rng, 120), None, "", "unseen Words ÄB " + "z" * 300, "the " * 900, "two\x0bwords\u00a0here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     train = docs.where("doc_id % 4 <> 0")
-    got = {r.doc_id: r for r in ngrams.score_ngrams(docs, ngrams.learn_ngrams(train.select("text"))).collect()}
-    want = brute_bigrams([t for i, t in enumerate(texts) if i % 4], texts)
+    got = {r.doc_id: r for r in ngrams.score_ngrams(docs, ngrams.learn_ngrams(train.select("text"), passes, buckets)).collect()}
+    want, p, words = brute_trigrams([t for i, t in enumerate(texts) if i % 4], texts)
+    for context in (("<s>", "<s>"), ("<s>", words[0]), tuple(words[:2]), ("not a word", words[1])):
+        assert sum(p(*context, w) for w in words) == pytest.approx(1)
     for i, w in enumerate(want):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
         assert r.base_score == pytest.approx(w[3]) and r.score == pytest.approx(w[4])
 
 
+def test_numbers_of_any_size():
+    values = np.array([0, 1, 254, 255, 256, 2**32, 2**40 + 1])
+    assert ngrams.number(ngrams.small(values), np.arange(7)[::-1]).tolist() == values[::-1].tolist()
+    rows = np.array([[2**40, 1, 2, 3], [5, 4, 3, 2], [2**40, 1, 2, 3]])
+    assert ngrams.decoded(ngrams.coded(rows), np.array([2, 1, 0])).tolist() == rows[::-1].tolist()
+    keys = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    order, held = ngrams.sorted_table(keys)
+    assert (order[ngrams.find(held, keys)] == np.arange(5000)).all() and (ngrams.find(held, ~keys) < 0).all()
+
+
 def test_ngrams_odd(odd, none):
     rows = ngrams.score_ngrams(odd, ngrams.learn_ngrams(odd.select("text"))).collect()
     assert len(rows) == 10 and all(math.isfinite(r.score) for r in rows)
