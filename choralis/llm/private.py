@@ -1,20 +1,33 @@
-"""Personal data: patterns for direct identifiers, and information-theoretic sanitisation of the terms around them.
+"""Personal data: patterns for direct identifiers, and information-theoretic sanitisation of the terms that reveal them.
 
 Base. E-mail addresses, IPv4 addresses, card numbers and phone numbers are found by pattern, leftmost and without
 overlap for each kind, in whole texts and in time linear in the text.
 
-Disclosure. What a match says (its text in lower case) is a protected entity. Terms are all words of the documents that
-hold one, outside its identifiers. Over the corpus, an entity e with document frequency d(e) carries log2(N / d(e)) bits;
-a term t that shares d(e, t) documents with it reveals log2(N d(e, t) / (d(e) d(t))) of them. A term that reveals at least
-`share` of an entity's bits is marked as kind `term` wherever it occurs, also in documents without the entity.
-Sanitised texts have the identifiers generalised to their kind and such terms removed.
+Secrets. What stands outside these and carries at least `SECRET_BITS` bits by its own letters (length times entropy), in a
+run of at least 16 letters and digits that has both, is a `secret`; 13 to 19 digits that fail the card check are a
+`number`.
 
-Document frequencies count all documents; d(t) is counted for every term that shares a document with an entity. Null
-texts are empty and have no spans. Offsets count code points; ends are exclusive.
+Disclosure. What a match of any of these says (its text in lower case) is a protected entity. Terms are all words of the
+documents that hold one, outside its identifiers. Over the corpus, an entity e with document frequency d(e) carries
+log2(N / d(e)) bits; a term t that shares d(e, t) documents with it reveals log2(N d(e, t) / (d(e) d(t))) of them. A term
+that reveals at least `share` of an entity's bits is marked as kind `term` wherever it occurs, also in documents without
+the entity.
+
+Sanitised texts. An identifier becomes the first rung of its kind's ladder (an address's domain, a network, a country
+code, an issuer; then the kind alone) that says little: one that at least N ** share documents have. Terms go.
+
+Document frequencies count all documents; d(t) is counted for every term that shares a document with an entity. Offsets
+count code points; ends are exclusive.
+
+Defined cases. Null texts are empty and have no spans, and stay null when sanitised. Rows that repeat count, and are
+marked, each; of rows that tie in id and text all get the same. Very long texts are searched whole, in linear time. An
+empty table has no rows. Other columns are not read by the search, and stay beside a sanitised text, whose column gets
+underscores where its name is taken.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -26,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, row_key, written
+from choralis.llm.common import WORD, chunks, free_name, map_arrow, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, each taken from where a match can begin at the earliest.
@@ -38,6 +51,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORDS = re.compile(WORD)
 EDGE = re.compile(r"^\W+|\W+$")
+RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])")
+SECRET_BITS = 40.0
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,6 +97,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def extra_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Secrets, then numbers, that no base span touches."""
+    if not DIGIT.search(text):
+        return []
+    starts, ends = _merged(base)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k == len(starts) or starts[k] >= b
+
+    out = []
+    for m in RUN.finditer(text):
+        run, n = m[0], len(m[0])
+        digits = len(DIGIT.findall(run))
+        if 0 < digits < n and free(*m.span()) and -sum(c * math.log2(c / n) for c in Counter(run).values()) >= SECRET_BITS:
+            out.append(("secret", *m.span()))
+    for m in CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 13 <= len(digits) <= 19 and free(*m.span()):
+            out.append(("number", *m.span()))
+    return out
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + extra_spans(text, base)
+
+
+def ladder(kind: str, said: str) -> list[str]:
+    """Ever more general stand-ins for an identifier."""
+    digits = "".join(DIGIT.findall(said))
+    if kind == "email":
+        rungs = [f"[EMAIL {said[said.rindex('@'):].lower()}]"]
+    elif kind == "ip":
+        a = said.split(".")
+        rungs = [f"[IP {a[0]}.{a[1]}.{a[2]}.x]", f"[IP {a[0]}.{a[1]}.x.x]"]
+    elif kind == "phone":
+        rungs = [f"[PHONE +{digits[:2]}...]", f"[PHONE +{digits[:1]}...]"]
+    else:
+        rungs = [f"[CARD {digits[:4]}...]"] if kind == "card" else []
+    return [*rungs, f"[{kind.upper()}]"]
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - 2**63
 
@@ -114,31 +172,34 @@ def free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Matc
 
 
 def find_holders(docs: DataFrame) -> DataFrame:
-    """text_hash, entities and terms (distinct hashes) of those of docs (doc_id, text) that have an identifier."""
+    """text_hash, entities and terms (distinct hashes) and rungs of those of docs (doc_id, text) that have an identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
-            found = [(t, s) for t in texts if (s := base_spans(t))]
+            found = [(t, s) for t in texts if (s := all_spans(t))]
             entities = [sorted({_hash(f"{k}:{t[a:b].lower()}") for k, a, b in s}) for t, s in found]
             terms = [sorted({_hash(x) for w in {m[0] for m in free_words(t, s)} if (x := term_of(w))}) for t, s in found]
+            rungs = [sorted({r for k, a, b in s for r in ladder(k, t[a:b])[:-1]}) for t, s in found]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"text_hash": pa.array([_hash(t) for t, _ in found], pa.int64()), "entities": pa.array(entities, longs), "terms": pa.array(terms, longs)})
+            yield pa.RecordBatch.from_pydict(
+                {"text_hash": pa.array([_hash(t) for t, _ in found], pa.int64()), "entities": pa.array(entities, longs), "terms": pa.array(terms, longs), "rungs": pa.array(rungs, pa.list_(pa.string()))}
+            )
 
-    return docs.select("text").mapInArrow(run, "text_hash long, entities array<long>, terms array<long>")
+    return map_arrow(docs.select("text"), run, "text_hash long, entities array<long>, terms array<long>, rungs array<string>")
 
 
 #: Term hashes up to this number (8 bytes each) are sent to the workers, more are joined.
 SENT_TERMS = 1_000_000
 
 
-def _sent(terms: DataFrame) -> np.ndarray | None:
+def _sent(terms: DataFrame, most: int) -> np.ndarray | None:
     """The sorted hashes in terms (t), or None if they are too many to be sent."""
-    return np.sort(terms.toArrow().column("t").to_numpy()) if terms.count() <= SENT_TERMS else None
+    return np.sort(terms.toArrow().column("t").to_numpy()) if terms.count() <= most else None
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def term_frequency(docs: DataFrame, terms: DataFrame, most_sent: int = SENT_TERMS) -> DataFrame:
     """t and the number of documents that hold the term, for the hashes in terms (t)."""
-    wanted = _sent(terms)
+    wanted = _sent(terms, most_sent)
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +232,32 @@ def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    counted = docs.select("text").mapInArrow(run, "t long, n long")
+    counted = map_arrow(docs.select("text"), run, "t long, n long")
     return counted.groupBy("t").agg(F.sum("n").alias("n_t")).join(terms, "t", "left_semi")
 
 
-def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, row, spans (base spans) and terms (spans of all words whose hash is in terms (t)) of docs (doc_id, text)."""
-    wanted = _sent(terms)
+SPAN = "struct<kind:string,a:int,b:int>"
+
+
+def marked(docs: DataFrame, terms: DataFrame, most_sent: int = SENT_TERMS) -> DataFrame:
+    """doc_id, row, spans (base spans), extra (secrets and numbers) and terms (spans of all words whose hash is in
+    terms (t)) of docs (doc_id, text)."""
+    wanted = _sent(terms, most_sent)
     held = docs.sparkSession.sparkContext.broadcast(wanted)
     span = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
     word = pa.list_(pa.struct([("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
+    def structs(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
+        return pa.array([[dict(zip(("kind", "a", "b"), x, strict=True)) for x in s] for s in spans], span)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = held.value
         known: dict[str, int | None] = {}
         for batch, texts in chunks(batches):
-            spans = [base_spans(t) for t in texts]
+            base = [base_spans(t) for t in texts]
+            extra = [extra_spans(t, s) for t, s in zip(texts, base, strict=True)]
             found = []
-            for text, s in zip(texts, spans, strict=True):
+            for text, s in zip(texts, map(list.__add__, base, extra), strict=True):
                 words = set(WORDS.findall(text))
                 new = [w for w in words if w not in known]
                 if new:
@@ -203,65 +272,73 @@ def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     known.update((w, x if y and n else None) for w, x, y, n in zip(new, h.tolist(), hit.tolist(), names, strict=True))
                 here = any(known[w] is not None for w in words)
                 found.append([{"t": t, "a": m.start(), "b": m.end()} for m in free_words(text, s) if (t := known[m[0]]) is not None] if here else [])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "row": batch.column(1),
-                    "spans": pa.array([[dict(zip(("kind", "a", "b"), x, strict=True)) for x in s] for s in spans], span),
-                    "words": pa.array(found, word),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row": batch.column(1), "spans": structs(base), "extra": structs(extra), "words": pa.array(found, word)})
 
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, row long, spans array<struct<kind:string,a:int,b:int>>, words array<struct<t:long,a:int,b:int>>")
+    out = map_arrow(rows, run, f"doc_id {kind}, row long, spans array<{SPAN}>, extra array<{SPAN}>, words array<struct<t:long,a:int,b:int>>")
     if wanted is not None:
-        return out.select("doc_id", "row", "spans", F.transform("words", lambda w: F.struct(F.lit("term").alias("kind"), w["a"].alias("a"), w["b"].alias("b"))).alias("terms"))
+        return out.select("doc_id", "row", "spans", "extra", F.transform("words", lambda w: F.struct(F.lit("term").alias("kind"), w["a"].alias("a"), w["b"].alias("b"))).alias("terms"))
+    out = written(out, "private-marked")
     added = out.select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "t", "left_semi")
     added = added.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "a", "b"))).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,a:int,b:int>>")
-    return out.join(added, "row", "left").select("doc_id", "row", "spans", F.coalesce("terms", none).alias("terms"))
+    return out.join(added, "row", "left").select("doc_id", "row", "spans", "extra", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")).alias("terms"))
 
 
-def find_private(docs: DataFrame, share: float = 0.8) -> DataFrame:
-    """doc_id, row, spans (base spans) and terms (spans of revealing terms) of docs (doc_id, text)."""
+def learn_disclosure(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS) -> tuple[DataFrame, list[str]]:
+    """t, the hashes of the terms that reveal an entity of docs (doc_id, text), and the rungs that say little. There are
+    fewer of these than rungs in all documents, at most two for each identifier, over N ** share."""
     n = docs.count()
-    holders = find_holders(docs).groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    holders = find_holders(docs).groupBy("text_hash").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("entities", "terms", "rungs")))
     holders = written(holders, "private-holders")
     each = holders.select("n", "terms", F.explode("entities").alias("e"))
     d_e = each.groupBy("e").agg(F.sum("n").alias("n_e"))
     met = each.select("n", "e", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.sum("n").alias("n_et"))
-    d_t = written(term_frequency(docs, holders.select(F.explode("terms").alias("t")).distinct()), "private-terms")
+    d_t = written(term_frequency(docs, holders.select(F.explode("terms").alias("t")).distinct(), most_sent), "private-terms")
     bits = F.log2(F.lit(float(n)) / F.col("n_e"))
     told = met.join(d_e, "e").join(d_t, "t")
     told = told.where((bits > 0) & (F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= share * bits))
-    return marked(docs, written(told.select("t").distinct(), "private-told"))
+    rungs = holders.select("n", F.explode("rungs").alias("rung")).groupBy("rung").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, n**share))
+    return written(told.select("t").distinct(), "private-told"), sorted(r.rung for r in rungs.collect())
 
 
-def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ",")
+def find_private(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS) -> DataFrame:
+    """doc_id, row, spans (base spans), extra and terms (spans of revealing terms) of docs (doc_id, text)."""
+    return marked(docs, learn_disclosure(docs, share, most_sent)[0], most_sent)
 
 
-def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with `sanitised`: identifiers become [KIND], revealing terms go."""
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ",")
 
-    def clean(text: str, spans: list) -> str:
-        out, at = [], 0
-        for kind, a, b in sorted(((s["kind"], s["a"], s["b"]) for s in spans or []), key=lambda s: (s[1], -s[2])):
-            if a >= at:
-                out += [text[at:a], "" if kind == "term" else f"[{kind.upper()}]"]
-                at = b
-            at = max(at, b)
-        return "".join([*out, text[at:]])
 
-    schema = docs.schema.add("sanitised", "string")
+def cleaned(text: str | None, spans: list[tuple[str, int, int]], rungs: set[str]) -> str | None:
+    """The text with its identifiers as the first rungs that may be told, and without the terms."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            steps = [""] if kind == "term" else ladder(kind, text[a:b])
+            out += [text[at:a], next((r for r in steps[:-1] if r in rungs), steps[-1])]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def sanitise(docs: DataFrame, share: float = 0.8) -> DataFrame:
+    """docs (doc_id, text and others) with `sanitised`."""
+    terms, rungs = learn_disclosure(docs.select("doc_id", "text"), share)
+    found = marked(docs.select("doc_id", "text"), terms)
+    told = docs.sparkSession.sparkContext.broadcast(set(rungs))
+    name = free_name("sanitised", docs.columns)
+    spans = found.select("row", F.concat("spans", "extra", "terms").alias("found")).dropDuplicates(["row"])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
+    keyed = whole.join(spans, "row").select("whole", F.col("whole.text").alias("text"), "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            kept = {f: batch.column(i) for i, f in enumerate(batch.schema.names) if f != "_spans"}
-            yield pa.RecordBatch.from_pydict(kept | {"sanitised": pa.array([clean(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())})
+        for batch, _ in chunks(batches):
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = [cleaned(t, [(s["kind"], s["a"], s["b"]) for s in x], told.value) for t, x in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_pydict({"whole": batch.column(0), "cleaned": pa.array(out, pa.string())})
 
-    spans = found.select(F.col("row").alias("_row"), F.concat("spans", "terms").alias("_spans")).dropDuplicates(["_row"])
-    keyed = docs.withColumn("_row", row_key("doc_id", "text")).join(spans, "_row", "left").drop("_row")
-    return keyed.mapInArrow(run, schema)
+    schema = keyed.select("whole").schema.add("cleaned", "string")
+    return map_arrow(keyed, run, schema).select("whole.*", F.col("cleaned").alias(name))

@@ -100,10 +100,14 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_private(common.documents(spark, sf_dir).select("doc_id", "text"))
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("spans", "terms")).alias("spans"))
+    def count(kind: str, spans: str = "spans") -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    every = F.concat("spans", "extra", "terms")
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"),
+        *(count(k, "extra") for k in ("secret", "number")), F.size("terms").cast("long").alias("n_term"), F.size(every).cast("long").alias("n_spans"),
+    )
 
 
 def queries() -> dict[str, Query]:
