@@ -95,6 +95,25 @@ def test_near_classes_across_leaders(spark):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_near_classes_of_hot_leaders(spark, monkeypatch, sent):
+    """One group of near copies that many tasks compare, and sets that are joined instead of sent."""
+    monkeypatch.setattr(minhash, "HOT_MEMBERS", 4)
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(90)]
+    texts = documents(rng, 10)
+    for k in range(60):
+        w = list(base)
+        for p in rng.sample(range(90), k % 3):
+            w[p] = f"n{k}_{p}"
+        texts.append(" ".join(w))
+    rows = [*enumerate(texts), *((500 + i, texts[20]) for i in range(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs, sent_keys=sent).collect()}
+    want = classes(rows[:70])
+    assert got == want | {500 + i: want[20] for i in range(30)}
+
+
 def test_near_odd(odd, none):
     got = [(r.doc_id, r.class_id) for r in minhash.near_classes(odd).collect()]
     assert len(got) == 10 and got.count((1, 1)) == 2 and (6, 1) in got and (3, 3) in got and (2, 2) in got
@@ -181,6 +200,68 @@ def test_copies_do_not_shrink_the_samples(spark, monkeypatch):
     assert set(learnt) == {t.encode() for t in texts}
 
 
+def test_least_hashes(spark):
+    """As many rows of a group as asked for, the least by unsigned hash, whatever their number; in order of size limits."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(-(2**63), 2**63), 10) for g, n in (("a", 5000), ("b", 30), (None, 70)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, h long, size int")
+    got = defaultdict(list)
+    for r in common.least_hashes(df, "g", "h", 50).collect():
+        got[r.g].append(r.h)
+    for g in ("a", "b", None):
+        assert sorted(h % 2**64 for h in got[g]) == sorted(h % 2**64 for k, h, _ in rows if k == g)[:50]
+    assert common.least_hashes(df, "g", "h", 50, "size", 105).groupBy("g").count().toDF("g", "n").where("n <> 10").count() == 0
+
+
+def test_toxicity_models_sum_to_one():
+    rows = [(t, y, i % 4) for i, t, y in toxic_rows(2, 400)]
+    model = toxicity.fit_toxicity(rows, rare_pair=1.0)
+    every = np.arange(model.uni.shape[1])
+    assert len(model.pair_keys) > 10
+    for h in [-1, 0, *sorted({int(k) // len(every) for k in model.pair_keys})[:20]]:
+        assert np.exp(model.log_likelihoods(np.full(len(every), h), every)).sum(axis=1) == pytest.approx([1, 1])
+    texts = [t for t, _, _ in rows] + ["", "vile", "never seen"]
+    assert model.evidence(texts) == pytest.approx(model.telling().evidence(texts), abs=1e-9)
+
+
+def brute_unigrams(cut, spread, rare, rounds):
+    """P(w) of both classes from texts (class, words), by the definition."""
+    n = [Counter(w for c, t in cut if c == k for w in set(t)) for k in (0, 1)]
+    words = sorted({w for _, t in cut for w in t})
+    size = len(words) + 1
+    ends = Counter(b for _, b in {p for _, t in cut for p in zip(t, t[1:], strict=False)})
+    kinds = max(1, sum(ends.values()))
+    held = {w: max(0, ends[w] - 0.75) / kinds for w in words}
+    low = {w: held[w] + (1 - sum(held.values())) / size for w in words}
+    total = [sum(x.values()) for x in n]
+    kept = [dict.fromkeys(words, 0.0), dict.fromkeys(words, 0.0)]
+    for _ in range(rounds):
+        both = {w: n[0][w] + n[1][w] - kept[0][w] - kept[1][w] for w in words}
+        all_ = sum(both.values())
+        own = {w: max(0, both[w] - 0.75) / all_ for w in words}
+        shared = {w: own[w] + (1 - sum(own.values())) * low[w] for w in words}
+        new = [{w: max(0, n[c][w] - total[c] * shared[w] - spread * (total[c] * shared[w]) ** 0.5 - rare) for w in words} for c in (0, 1)]
+        change = max(abs(new[c][w] - kept[c][w]) for c in (0, 1) for w in words)
+        kept = new
+        if change < 0.01:
+            break
+    return [{w: kept[c][w] / total[c] + (1 - sum(kept[c].values()) / total[c]) * shared[w] for w in words} for c in (0, 1)]
+
+
+def test_toxicity_unigrams_match_brute_force():
+    rows = [(t, y, 1) for _, t, y in toxic_rows(4, 150)]
+    model = toxicity.fit_toxicity(rows)
+    cut, seen = [], set()
+    for t, y, _ in sorted(rows):
+        w = t.lower().split()
+        if (key := (y, toxicity.near_key(w))) not in seen:
+            seen.add(key)
+            cut.append((y, w))
+    want = brute_unigrams(cut, 2.0, 1.0, toxicity.ROUNDS)
+    for w, i in model.words.items():
+        assert np.exp(model.uni[:, i]) == pytest.approx([want[0][w], want[1][w]])
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int")
     model = toxicity.learn_toxicity(odd, labels)
@@ -353,9 +434,24 @@ def test_flight_keeps_totals():
     assert q.sum() == pytest.approx(p.sum()) and (q * size).sum() == pytest.approx((p * size).sum())
 
 
+def test_mixing_of_equal_rows(spark, monkeypatch):
+    """A third of all rows are one text: its copies are dealt out evenly and come as near to the target as others do."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rng = random.Random(8)
+    rows = [(1, "one two three four", "a", 5)] * 100 + [(i + 2, t, rng.choice("ab"), i) for i, t in enumerate(documents(rng, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int").withColumns({c: F.lit(1) for c in ("n", "copies", "whole", "k")})
+    got = mixing.mixed_sizes(docs.select("doc_id", "text", "source")).collect()
+    assert len(got) == 300 and len({r.taken for r in got if r.doc_id == 1}) <= 2
+    source = {i: s for i, _, s, _ in rows}
+    for s in "ab":
+        own = [r for r in got if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60 and all(r.taken <= 3 * r.size for r in own)
+    assert mixing.mix(docs).columns == docs.columns
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mixed_sizes(odd.select("doc_id", "text", "source")).collect()
-    assert len(rows) == 11 or len(rows) == 10
+    assert len(rows) == 10
     assert all(r.taken <= 3 * r.size for r in rows)
     assert mixing.mixed_sizes(none.select("doc_id", "text", "source")).count() == 0 and mixing.mix(none).count() == 0
 
@@ -388,6 +484,17 @@ def test_lines_odd(odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_lines_of_repeated_rows(spark, most):
+    """Of equal rows one keeps the line; columns may have any names; joins with and without a broadcast agree."""
+    rows = [*[(1, "same line\nx", "a", 7)] * 3, (2, "same line", "b", 1), (3, "q\nsame line\nsame line\nz", "c", 2), (4, None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, N_removed int").withColumns({c: F.lit(1) for c in ("emptied", "row", "whole", "gone", "lines", "key")})
+    out = lines.dedup_lines(docs, most_broadcast=most)
+    assert out.columns == [*docs.columns, "n_removed_", "emptied_"]
+    got = Counter((r.doc_id, r.text, r.n_removed_, r.emptied_) for r in out.collect())
+    assert got == Counter([(1, "same line\nx", 0, False), *[(1, "x", 1, False)] * 2, (2, "", 1, True), (3, "q\nz", 2, False), (4, None, 0, False)])
+
+
 # -- 8
 
 
@@ -459,6 +566,8 @@ def test_topk_matches_brute_force(spark):
         assert got[i] == [(j, int(s[j])) for j in sorted((j for j in range(330) if j != i), key=lambda j: (-s[j], j))[:20]]
     assert set(got) == set(range(0, 330, 20))
     assert topk.search(df.limit(0)).count() == 0
+    bare = spark.createDataFrame([(i, []) for i in range(4)] + [(40, [1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in topk.search(bare).collect()) == [(0, 1, 0), (0, 2, 0), (0, 3, 0)]
     few = topk.search(df.where("vec_id < 3")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
 
@@ -506,25 +615,39 @@ def test_revealing_terms(spark):
         terms = {text[1000 + k][s["a"] : s["b"]] for s in r.terms}
         assert {"captain", "zanzibar"} <= terms and "the" not in terms
     assert all(not by[i].terms for i in range(200))
-    clean = {r.doc_id: r.sanitised for r in private.sanitise(docs, found).collect()}
+    clean = {r.doc_id: r.sanitised for r in private.sanitise(docs).collect()}
     assert "boss@" not in clean[1000] and "[EMAIL]" in clean[1000] and "zanzibar" not in clean[1000] and clean[0] == text[0]
 
 
+def test_ladder_and_secrets(spark):
+    """Rungs that many documents share may be told, others not; secrets and failing card numbers are found."""
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    texts = [*(f"write to u{i}@mail.example.org or call +49 30 1234 567{i}" for i in range(8)), f'token = "{key}" at 10.0.0.1, 4736962573099582', "plain words only"]
+    assert private.extra_spans(texts[8], private.base_spans(texts[8])) == [("secret", 9, 49), ("number", 64, 80)]
+    assert private.extra_spans("4111111111111111 abcdefghijklmnopqrstuvwxyz a1a1a1a1a1a1a1a1a1a1", [("card", 0, 16)]) == []
+    docs = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, row int, whole int, sanitised int")
+    out = private.sanitise(docs)
+    assert out.columns == [*docs.columns, "sanitised_"]
+    clean = {r.doc_id: r.sanitised_ for r in out.collect()}
+    assert "[EMAIL @mail.example.org]" in clean[0] and "[PHONE +49...]" in clean[0]
+    assert "[IP]" in clean[8] and "[SECRET]" in clean[8] and key not in clean[8] and "[NUMBER]" in clean[8] and clean[9] == texts[9]
+
+
 @pytest.mark.parametrize("sent", [1_000_000, 0])
-def test_revealing_terms_in_whole_texts(spark, monkeypatch, sent):
+def test_revealing_terms_in_whole_texts(spark, sent):
     """Terms far from an identifier, of an entity in one text only, and in texts without the identifier, as brute force."""
-    monkeypatch.setattr(private, "SENT_TERMS", sent)
     plain = documents(random.Random(16), 120)
     texts = [*plain, f"Heading-Kuala {plain[0]} x@one.org {plain[1]} footer.", f"again heading-kuala {plain[2]}", f"{plain[3]} y@two.org", f"{plain[4]} y@two.org z1z", None]
     held = [({t[a:b].lower() for _, a, b in private.base_spans(t or "")}, {private.term_of(w) for w in WORD.findall(t or "")} - {""}) for t in texts]
     d_t, d_e, d_et = Counter(t for _, w in held for t in w), Counter(e for s, _ in held for e in s), Counter((e, t) for s, w in held for e in s for t in w if t not in s)
     told = {t for (e, t), k in d_et.items() if math.log2(len(texts) * k / (d_e[e] * d_t[t])) >= 0.8 * math.log2(len(texts) / d_e[e])}
     assert {"heading-kuala", "footer", "z1z"} <= told
-    got = {r.doc_id: [(s["a"], s["b"]) for s in r.terms] for r in private.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: [(s["a"], s["b"]) for s in r.terms] for r in private.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_sent=sent).collect()}
     assert got == {i: [m.span() for m in WORD.finditer(t or "") if private.term_of(m[0]) in told] for i, t in enumerate(texts)}
 
 
 def test_private_odd(odd, none):
+    assert private.sanitise(odd).count() == 10 and private.sanitise(none).columns == [*none.columns, "sanitised"]
     rows = {r.doc_id: r for r in private.find_private(odd.select("doc_id", "text")).collect()}
     assert [s["kind"] for s in rows[8].spans] == ["email", "phone"] and rows[2].spans == []
     assert private.find_private(none.select("doc_id", "text")).count() == 0
@@ -557,6 +680,26 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_stages_odd(spark, tmp_path, odd, none):
+    """Nulls, repeated rows, very long texts, columns of any names and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    clash = ["score", "N_removed", "emptied", "whole", "row", "key", "gone", "lines", "copies", "n", "k", "root", "node", "ids", "decoded"]
+    rows = [(1, "a line\nown words here", "s1"), (1, "a line\nown words here", "s1"), (2, "a line", "s2"), (3, "a line\nx " + "long words " * 30_000, "s3"), (None, "no id", None), (5, None, "s1"), (6, "", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in clash})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = {"toxicity": 7, "line dedup": 6, "near dedup": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, docs, str(tmp_path)), "test-odd-stage")
+        if name != "bpe":
+            assert out.columns == docs.columns
+        assert out.count() == sizes.get(name, out.count()), name
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        docs = out
+
+
 def test_common(odd):
     got = {r[0]: r[1] for r in odd.select("doc_id", common.word_count(F.col("text"))).collect()}
     assert got[2] == 0 and got[3] == 0 and got[7] == 2
