@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks, least_hashes, map_arrow
+from choralis.llm.common import chunks, least_hashes, map_arrow, written
 
 LETTER = regex.compile(r"\p{L}")
 BEFORE = b"\n"
 #: Characters of the texts of one language that are learnt from, besides a single longer text.
 MOST_CHARS = 20_000_000
+#: Keys of sampled texts up to this number (some 30 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -157,7 +159,9 @@ def learn_languages(docs: DataFrame, max_docs: int = 800, order: int = 3) -> Lan
     """docs: text, lang; only rows that may be learnt from."""
     told = docs.where("lang is not null and text <> ''").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
     each = told.groupBy("lang", "h").agg(F.min("size").alias("size"))  # copies count once
-    drawn = least_hashes(each, "lang", "h", max_docs, "size", MOST_CHARS).drop("size")
+    drawn = written(least_hashes(each, "lang", "h", max_docs, "size", MOST_CHARS).drop("size"), "language-sample")
+    if drawn.count() <= BROADCAST_ROWS:
+        drawn = F.broadcast(drawn)
     whole = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
     texts: dict[str, list[bytes]] = {}
     for r in whole.join(drawn, ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).toLocalIterator():
