@@ -5,24 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the checkpoint folder: computed once, read as often as needed, with a short plan."""
-    _folder(df)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir; only where none is set (one machine), in a temporary one."""
-    _folder(df)
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _folder(df: DataFrame) -> None:
-    context = df.sparkSession.sparkContext
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="choralis-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="choralis-"))
+    return context.getCheckpointDir().rstrip("/")

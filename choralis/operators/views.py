@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from choralis.config import Thresholds
 from choralis.functions.exact import label, mean3, percent, round3
+from choralis.operators import graph
 
 #: Fixed value: kinds of posting, from personal posts to scams.
 CATEGORIES = [
@@ -150,6 +151,38 @@ def age_text(days: Column) -> Column:
     )
 
 
+def ranked_members(classified: DataFrame, members: DataFrame) -> DataFrame:
+    """conv_id, cluster_id, account_id, automation, place: a cluster's accounts, the most automated first."""
+    order = Window.partitionBy("conv_id", "cluster_id").orderBy(F.desc("automation"), "first")
+    rows = members.withColumnRenamed("place", "first").join(classified.select("conv_id", "account_id", "automation"), ["conv_id", "account_id"])
+    return rows.select("conv_id", "cluster_id", "account_id", "automation", F.row_number().over(order).alias("place"))
+
+
+def account_details(a) -> DataFrame:
+    """One account's page: its classification, cluster, replies in the order of time, nearest replies of others,
+    coordinated accounts by score, and how many accounts two hops reach."""
+    key = ["conv_id", "account_id"]
+
+    def listed(df: DataFrame, name: str, *cols: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+
+    out = a.classified.select(*key, "username", "label", "category", "automation", "coordination", "confidence", "summary", "signals_for", "signals_against")
+    out = out.withColumnRenamed("coordination", "coordination_score").join(a.members.select(*key, "cluster_id"), key, "left")
+    out = out.join(account_replies(a.replies, a.similar, a.timing, a.accounts), key)
+    out = out.join(listed(graph.account_similar(a.top_edges, a.replies), "similar", "place", "reply_id", "other", "other_reply", "sim", "dt"), key, "left")
+    out = out.join(listed(graph.coordinated_neighbours(a.coordination), "coordinated", "place", "other", "score", "dt"), key, "left")
+    return out.join(graph.reach(a.coordination, a.accounts), key)
+
+
+def cluster_details(a) -> DataFrame:
+    """One cluster's page: members by automation, phrases, density, means over its edges and its likelihoods."""
+    key = ["conv_id", "cluster_id"]
+    ranked = ranked_members(a.classified, a.members).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "account_id", "automation"))).alias("accounts"))
+    told = graph.cluster_phrases(a.members, a.replies, a.patterns).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "text", "uses"))).alias("phrases"))
+    out = ranked.join(told, key, "left").join(graph.cluster_density(a.coordination, a.members), key)
+    return out.join(graph.cluster_stats(a.coordination, a.members, a.timing, a.classified), key, "left")
+
+
 def cluster_label(automation: Column, t: Thresholds = Thresholds()) -> Column:
     return label(automation, t.human, t.automation)
 

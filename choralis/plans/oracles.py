@@ -262,6 +262,25 @@ SELECTS: dict[str, str] = {
     "graph_counts": """SELECT nq.conv_id, coalesce(x.n, 0) AS accounts, nq.n AS replies, coalesce(y.n, 0) AS edges, coalesce(z.n, 0) AS clusters FROM nq
       LEFT JOIN (SELECT conv_id, count(*) AS n FROM a GROUP BY conv_id) x USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS n FROM co GROUP BY conv_id) y USING (conv_id)
       LEFT JOIN (SELECT conv_id, count(*) AS n FROM cl GROUP BY conv_id) z USING (conv_id)""",
+    "ranked_members": "SELECT mb.conv_id, cluster_id, account_id, automation, row_number() OVER (PARTITION BY mb.conv_id, cluster_id ORDER BY automation DESC, place) AS place FROM mb JOIN c USING (conv_id, account_id)",
+    "account_details": f"""WITH q AS (SELECT x.conv_id, x.account_id AS xa, x.reply_id AS xr, y.account_id AS ya, y.reply_id AS yr, {_r3('sim')} AS sim, dt FROM te JOIN r x ON x.conv_id = te.conv_id AND x.pos = i
+      JOIN r y ON y.conv_id = te.conv_id AND y.pos = j WHERE x.account_id <> y.account_id), u AS (SELECT conv_id, xa AS account_id, xr AS reply_id, ya AS other, yr AS other_reply, sim, dt FROM q UNION ALL SELECT conv_id, ya, yr, xa, xr, sim, dt FROM q),
+      top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, account_id ORDER BY sim DESC, dt, reply_id, other_reply) AS place FROM u QUALIFY place <= 5),
+      near AS (SELECT conv_id, account_id, string_agg(other_reply, ',' ORDER BY place) AS "similar" FROM top GROUP BY ALL),
+      far AS (SELECT conv_id, account_id, count(DISTINCT other) AS reach FROM (SELECT conv_id, account_id, other FROM dc UNION SELECT x.conv_id, x.account_id, y.other FROM dc x JOIN dc y
+        ON y.conv_id = x.conv_id AND y.account_id = x.other AND y.other <> x.account_id) GROUP BY ALL),
+      met AS (SELECT conv_id, account_id, string_agg(other, ',' ORDER BY score DESC, other) AS coordinated FROM dc GROUP BY ALL),
+      own AS (SELECT conv_id, account_id, string_agg(reply_id, ',' ORDER BY seconds_after, pos) AS replies FROM tm GROUP BY ALL)
+      SELECT c.conv_id, c.account_id, label, automation, cluster_id, coalesce(reach, 0) AS reach, coalesce(own.replies, '') AS replies, coalesce("similar", '') AS "similar", coalesce(met.coordinated, '') AS coordinated
+      FROM c LEFT JOIN mb USING (conv_id, account_id) LEFT JOIN near USING (conv_id, account_id) LEFT JOIN far USING (conv_id, account_id) LEFT JOIN met USING (conv_id, account_id) LEFT JOIN own USING (conv_id, account_id)""",
+    "cluster_details": f"""WITH who AS (SELECT mb.conv_id, cluster_id, count(*) AS size, {_m3('automation')} AS automation, {_m3('coordination')} AS coordination, string_agg(account_id, ',' ORDER BY c.automation DESC, place) AS accounts
+        FROM mb JOIN c USING (conv_id, account_id) GROUP BY ALL),
+      inner_ AS (SELECT conv_id, cluster_id, count(*) AS k, {_m3('text_similarity')} AS similarity, {_m3('score')} AS score FROM ie GROUP BY ALL),
+      uses AS (SELECT mb.conv_id, cluster_id, rank, q.text, count(*) AS n FROM mb JOIN r USING (conv_id, account_id) JOIN (SELECT conv_id, rank, text, unnest(rs) AS reply_id FROM pt) q USING (conv_id, reply_id) GROUP BY ALL),
+      best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cluster_id ORDER BY n * len(string_split(text, ' ')) DESC, rank) AS place FROM uses QUALIFY place <= 3),
+      told AS (SELECT conv_id, cluster_id, string_agg(text, '|' ORDER BY place) AS phrases FROM best GROUP BY ALL)
+      SELECT who.conv_id, who.cluster_id, who.size, {_r3('coalesce(k, 0) / (who.size * (who.size - 1) / 2.0)::DOUBLE')} AS density, similarity, score, automation, coordination, accounts, coalesce(phrases, '') AS phrases
+      FROM who LEFT JOIN inner_ USING (conv_id, cluster_id) LEFT JOIN told USING (conv_id, cluster_id)""",
     "cluster_stats": f"""SELECT conv_id, cluster_id, similarity, score, first_seconds, span_seconds FROM (SELECT conv_id, cluster_id, {_m3('text_similarity')} AS similarity, {_m3('score')} AS score FROM ie GROUP BY ALL) JOIN
       (SELECT q.conv_id, cluster_id, min(seconds_after) AS first_seconds, max(seconds_after) - min(seconds_after) AS span_seconds FROM (SELECT conv_id, cluster_id, source_reply AS reply_id FROM ie UNION SELECT conv_id, cluster_id, target_reply FROM ie) q
       JOIN tm USING (conv_id, reply_id) GROUP BY ALL) USING (conv_id, cluster_id)""",
@@ -327,6 +346,20 @@ SELECTS: dict[str, str] = {
     "duration_texts": """SELECT n, CASE WHEN n < 90 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', floor(n / 3600.0::DOUBLE * 10 + 0.5) / 10) END AS duration,
       CASE WHEN n % 5 = 0 THEN 'account metadata not available' WHEN n >= 365 THEN printf('%.1f years old', floor(n / 365.0::DOUBLE * 10 + 0.5) / 10) ELSE n || ' days old' END AS age FROM (SELECT id * 97 AS n FROM range(0, 200) AS v(id))""",
     "sent_texts": "SELECT doc_id, length(coalesce(nullif(left(text, 5000), ''), '(post without text)')) AS sent FROM documents",
+    "stored_tables": """SELECT conv_id AS analysis_id, name, count(*) AS n FROM (SELECT conv_id, 'analysis' AS name FROM sc UNION ALL SELECT conv_id, 'post' FROM nq UNION ALL SELECT conv_id, 'account' FROM c
+      UNION ALL SELECT conv_id, 'reply' FROM r UNION ALL SELECT conv_id, 'pattern' FROM pt UNION ALL SELECT conv_id, 'cluster' FROM cl UNION ALL SELECT conv_id, 'posted' FROM r UNION ALL SELECT conv_id, 'replies_to' FROM r
+      UNION ALL SELECT conv_id, 'similar_to' FROM te UNION ALL SELECT conv_id, 'coordinated_with' FROM co UNION ALL SELECT conv_id, 'contains_pattern' FROM (SELECT conv_id, unnest(rs) FROM pt)
+      UNION ALL SELECT conv_id, 'member_of' FROM mb) GROUP BY ALL""",
+    "turn_similarity": rf"""WITH zr AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn AS pos, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(lower(text), '’', ''''), 'https?://\S+', ' ', 'g'),
+        '@\w+', ' ', 'g'), '''', ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations),
+      zt AS (SELECT conv_id, pos, term, count(*) AS tf FROM (SELECT conv_id, pos, unnest(string_split(norm, ' ')) AS term FROM zr WHERE norm <> '') GROUP BY ALL),
+      zd AS (SELECT conv_id, term, count(*) AS df FROM zt GROUP BY ALL), zn AS (SELECT conv_id, count(*) AS n FROM zr GROUP BY conv_id),
+      zw AS (SELECT conv_id, pos, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM zt JOIN zd USING (conv_id, term) JOIN zn USING (conv_id)),
+      zu AS (SELECT conv_id, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, pos)) AS w FROM zw),
+      zp AS (SELECT x.conv_id, x.pos AS i, y.pos AS j, round(least(greatest(sum(x.w * y.w), 0), 1), 12) AS sim FROM zu x JOIN zu y ON x.conv_id = y.conv_id AND x.term = y.term AND x.pos < y.pos GROUP BY ALL)
+      SELECT conv_id, count(*) AS pairs, {_r3('max(sim)')} AS best FROM zp GROUP BY conv_id""",
+    "conversation_files": """SELECT CAST(conv_id AS VARCHAR) AS conversation, turn AS pos, 't_' || conv_id || '_' || turn AS reply_id, role AS account_id, text, 1704067200 + turn AS created_at FROM conversations
+      WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) <= 400 AND NOT bool_or(trim(text) = '' OR length(text) > 5000))""",
     "validation_report": "SELECT conv_id, 0 AS duplicate_ids, count(*) FILTER (e < 1704067200) AS early, 0 AS two_names, 0 AS reused FROM r GROUP BY conv_id",
     "document_violations": """SELECT CAST(conv_id AS VARCHAR) AS conv_id, (count(*) > 400)::INT + bool_or(trim(text) = '' OR length(text) > 5000)::INT AS n,
       array_to_string([x FOR x IN [CASE WHEN count(*) > 400 THEN 'replies must number 1 to 400' END, CASE WHEN bool_or(trim(text) = '' OR length(text) > 5000) THEN 'replies.text must have 1 to 5000 characters' END] IF x IS NOT NULL], '; ') AS problem FROM conversations GROUP BY conv_id""",

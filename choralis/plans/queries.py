@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from choralis.config import Config, Thresholds
-from choralis.functions import signals, text
+from choralis.functions import settle, signals, text
 from choralis.functions.exact import epoch, floor_seconds, label, mean3, round3
 from choralis.operators import accounts as acc
 from choralis.operators import classify, coordination, graph, phrases, similarity, timing, views
@@ -245,6 +244,29 @@ def _(a):
     return views.graph_counts(a)
 
 
+@over("ranked_members")
+def _(a):
+    return views.ranked_members(a.classified, a.members)
+
+
+@over("account_details")
+def _(a):
+    d = views.account_details(a)
+    lists = (("replies", "reply_id"), ("similar", "other_reply"), ("coordinated", "other"))
+    names = [listed(F.coalesce(F.col(x).getField(f), F.array().cast("array<string>"))).alias(x) for x, f in lists]
+    return d.select("conv_id", "account_id", "label", "automation", "cluster_id", "reach", *names)
+
+
+@over("cluster_details")
+def _(a):
+    d = views.cluster_details(a)
+    told = F.coalesce("phrases", F.array().cast(d.schema["phrases"].dataType))
+    return d.select(
+        "conv_id", "cluster_id", "size", "density", "similarity", "score", "automation", "coordination",
+        listed(F.transform("accounts", lambda r: r["account_id"])).alias("accounts"), F.array_join(F.transform(told, lambda r: r["text"]), "|").alias("phrases"),
+    )
+
+
 @over("cluster_stats")
 def _(a):
     return graph.cluster_stats(a.coordination, a.members, a.timing)
@@ -312,7 +334,7 @@ def _(a):
 
 @over("account_features")
 def _(a):
-    return a.features.drop("reply_ids", "pattern_ranks", "representative_pos").withColumn("patterns", F.lit(None)).drop("patterns")
+    return a.features.drop("reply_ids", "pattern_ranks", "representative_pos")
 
 
 @over("account_patterns")
@@ -469,8 +491,9 @@ def spam_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    s = signals.text_signals(F.array("text"), F.lit(None).cast("string"))
-    return d.select("source", s.alias("s")).groupBy("source").agg(F.sum("s.links").alias("links"), F.count(F.when(F.col("s.uppercase_ratio") >= 0.5, 1)).alias("shouting"), F.count(F.when(F.size("s.urgency") > 0, 1)).alias("urgent"))
+    loud, urgent = signals.uppercase_ratio(F.col("text")) >= 0.5, F.size(signals.first_matches(F.col("text"), signals.URGENCY)) > 0
+    rows = d.select("source", signals.link_count(F.col("text")).alias("links"), loud.alias("loud"), urgent.alias("urgent"))
+    return rows.groupBy("source").agg(F.sum("links").alias("links"), F.count_if("loud").alias("shouting"), F.count_if("urgent").alias("urgent"))
 
 
 @query
@@ -539,6 +562,23 @@ def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.size("violations").alias("n"), F.coalesce(ingest.problem(F.col("violations")), F.lit("")).alias("problem"))
 
 
+@query
+def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table written as JSON documents, read again, validated and flattened."""
+    turns = adapters.conversation_turns(spark, sf_dir)
+    who = F.struct(F.col("account_id").alias("id"), F.col("account_id").alias("username"))
+    reply = F.struct(F.col("reply_id").alias("id"), who.alias("author"), "text", F.col("created_at").alias("createdAt"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", reply.alias("r")))).alias("x"))
+    post = F.struct(F.concat(F.lit("p"), "conv_id").alias("id"), F.lit("root").alias("author"), F.lit("post").alias("text"), F.timestamp_seconds(F.lit(1704067200)).alias("createdAt"))
+    folder = settle.fresh_path(spark, "conversations")
+    rows.select(F.lit("thread").alias("kind"), post.alias("post"), F.transform("x", lambda x: x["r"]).alias("replies")).write.json(folder)
+    read = ingest.read_conversations(spark, folder, multi_line=False)
+    fine = read.join(ingest.violations(read).where("size(violations) > 0"), "conv_id", "left_anti")
+    posts, replies, _ = ingest.flatten(fine)
+    named = replies.join(posts.select("conv_id", "post_id"), "conv_id")
+    return named.select(F.substring("post_id", 2, 40).alias("conversation"), "pos", "reply_id", "account_id", "text", epoch(F.col("created_at")).alias("created_at"))
+
+
 @query
 def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
@@ -605,8 +645,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("handle"), "text", F.timestamp_seconds("doc_id").alias("created_at"),
     )
     name = f"merged_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp()
+    at = settle.fresh_path(spark, name)
     capture.merge_scans(items, idle_ms=None).writeStream.format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).groupBy("conv_id").agg(F.count("*").alias("items"))
 

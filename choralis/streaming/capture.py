@@ -14,7 +14,7 @@ from choralis.config import Config
 #: Items of scans: one row each; seq orders them, focal marks the thread's post.
 SCANNED = "conv_id string, seq long, focal boolean, id string, handle string, text string, created_at timestamp"
 MERGED = "conv_id string, kind string, pos int, id string, handle string, text string, created_at timestamp"
-STATE = "ids string, post string, post_text boolean, skipped string, idle int, full boolean"
+STATE = "ids string, post string, post_text boolean, skipped string, idle int, full boolean, began long"
 SEP = "\x1f"
 
 
@@ -48,22 +48,28 @@ def merge_items(seen: list[str], post: tuple[str, bool] | None, skipped: set[str
 def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int | None = 360_000) -> DataFrame:
     """A stream of scanned items to a stream of new posts and replies, with at most max_replies for each conversation.
 
-    A conversation's state goes when nothing has come for idle_ms; it is full at the cap or after config.idle_scans scans
-    without news. idle_ms None: no timer, for streams that end (a timer keeps an availableNow stream running).
+    A conversation's state goes when nothing has come for idle_ms. It is full, and takes nothing more, at the cap, after
+    config.idle_scans scans without news, and config.capture_minutes after its first scan. idle_ms None: no timer, for streams that end (a timer keeps an availableNow stream running).
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        ids, post_id, post_text, skipped, idle, full = state.get if state.exists else ("", None, False, "", 0, False)
+        now = state.getCurrentProcessingTimeMs()
+        ids, post_id, post_text, skipped, idle, full, began = state.get if state.exists else ("", None, False, "", 0, False, now)
+        full = full or now - began >= config.capture_minutes * 60_000
+        if full:
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+            return
         seen, left = [x for x in ids.split(SEP) if x], {x for x in skipped.split(SEP) if x}
         post = (post_id, post_text) if post_id else None
         rows = pd.concat(list(frames)).sort_values(["seq"], kind="stable")
         out, post = merge_items(seen, post, left, list(zip(rows["focal"], rows["id"], rows["handle"], rows["text"], rows["created_at"], strict=True)), config.max_replies)
         idle = 0 if out else idle + 1
         full = len(seen) >= config.max_replies or idle >= config.idle_scans
-        state.update((SEP.join(seen), post[0] if post else None, bool(post and post[1]), SEP.join(sorted(left)), idle, full))
+        state.update((SEP.join(seen), post[0] if post else None, bool(post and post[1]), SEP.join(sorted(left)), idle, full, began))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["conv_id", "kind", "pos", "id", "handle", "text", "created_at"])
