@@ -133,6 +133,15 @@ def test_documents_of_any_length(spark, tmp_path):
     rows = [(d, t, "en", f"src{d}", n_chars[d]) for d, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     a = Analysis(*adapters.documents_as_replies(spark, str(tmp_path)))
-    want = {"d1": "15", "d2": "0", "d3": "0", "d4": "15", "d5": "0"}
+    want = {"d1": "15-0-0", "d2": "0-0-0", "d3": "0-0-0", "d4": "15-0-0", "d5": "0-0-0"}
     assert {r.reply_id: (r.conv_id, r.text) for r in a.replies.collect()} == {k: (c, texts[int(k[1:])]) for k, c in want.items()}
-    assert {(r.conv_id, r.i, r.j) for r in a.top_edges.collect()} == {("0", 0, 1)}
+    assert {(r.conv_id, r.i, r.j) for r in a.top_edges.collect()} == {("0-0-0", 0, 1)}
+
+
+def test_conversations_of_documents_are_bounded(spark, tmp_path):
+    """However many documents share a length, no conversation has more than 400 replies, and none is lost."""
+    rows = [(d, "one and the same text", "en", "src1", 21) for d in [*range(900), 10_001]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    _, replies, _ = adapters.documents_as_replies(spark, str(tmp_path))
+    sizes = {r.conv_id: (r.n, r.low, r.high) for r in replies.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).collect()}
+    assert sizes == {"21-0-0": (400, 0, 399), "21-0-1": (400, 0, 399), "21-0-2": (100, 0, 99), "21-1-0": (1, 0, 0)}
