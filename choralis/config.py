@@ -14,6 +14,12 @@ class Thresholds:
         if not 0 <= self.human <= self.automation <= 1:
             raise ValueError("thresholds must satisfy 0 <= human <= automation <= 1")
 
+    def at(self, sensitivity: float) -> Thresholds:
+        """The thresholds at another sensitivity, 0 to 100; 50: these."""
+        shift = (sensitivity - 50) / 50 * 0.2
+        high = min(max(self.automation - shift, 0.3), 0.95)
+        return Thresholds(min(max(self.human - shift, 0.05), high - 0.05), high)
+
 
 @dataclass(frozen=True)
 class Config:
@@ -38,6 +44,12 @@ class Config:
     capture_minutes: int = 6
     scorer_partitions: int = 8
     scorer: str = "heuristic"
+    scorer_url: str = ""
+    scorer_token: str = field(default="", repr=False)
+    scorer_seconds: float = 8.0
+    scorer_model: str = ""
+    quiet_ms: int = 2_000
+    longest_wait_ms: int = 6_000
     thresholds: Thresholds = field(default_factory=Thresholds)
 
     @property

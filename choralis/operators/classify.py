@@ -386,7 +386,5 @@ def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None
 
 def relabelled(automation: Column, source: Column, sensitivity: float, t: Thresholds = Thresholds()) -> Column:
     """The label at another sensitivity (0 to 100, 50: as configured); fallbacks stay uncertain."""
-    shift = (sensitivity - 50) / 50 * 0.2
-    high = min(max(t.automation - shift, 0.3), 0.95)
-    low = min(max(t.human - shift, 0.05), high - 0.05)
-    return F.when(source == "HEURISTIC_FALLBACK", "uncertain").otherwise(label(automation, low, high))
+    at = t.at(sensitivity)
+    return F.when(source == "HEURISTIC_FALLBACK", "uncertain").otherwise(label(automation, at.human, at.automation))

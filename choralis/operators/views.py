@@ -183,8 +183,9 @@ def cluster_details(a) -> DataFrame:
     return out.join(graph.cluster_stats(a.coordination, a.members, a.timing, a.classified), key, "left")
 
 
-def cluster_label(automation: Column, t: Thresholds = Thresholds()) -> Column:
-    return label(automation, t.human, t.automation)
+def cluster_label(automation: Column, t: Thresholds = Thresholds(), sensitivity: float = 50) -> Column:
+    at = t.at(sensitivity)
+    return label(automation, at.human, at.automation)
 
 
 def sent_text(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from choralis.config import Config
 from choralis.functions.settle import kept
 from choralis.operators import accounts as acc
-from choralis.operators import classify, coordination, graph, phrases, score, similarity, timing
+from choralis.operators import classify, coordination, graph, phrases, score, scorers, similarity, timing
 
 
 class Analysis:
@@ -92,7 +92,7 @@ class Analysis:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return kept(classify.scored(self.requests, self.config, self.scorer), "classified")
+        return kept(classify.scored(self.requests, self.config, *((self.scorer,) if self.scorer else scorers.chosen(self.config))), "classified")
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -366,6 +366,10 @@ SELECTS: dict[str, str] = {
     "retention_keep": f"SELECT x.*, demo OR running OR coalesce(k <= 20, false) AS kept FROM {ANALYSIS_ROWS} x LEFT JOIN (SELECT analysis_id, row_number() OVER (ORDER BY created_at DESC, analysis_id) AS k FROM {ANALYSIS_ROWS} WHERE NOT demo AND NOT running) USING (analysis_id)",
     "analysis_status": f"SELECT analysis_id, CASE WHEN running THEN 'COMPARING' ELSE 'COMPLETE' END AS status, CASE WHEN running THEN 5 ELSE 9 END AS replies, CASE WHEN running THEN 2 ELSE 4 END AS accounts FROM {ANALYSIS_ROWS} WHERE running OR NOT demo",
     "stored_ids": f"SELECT substr(name, 6) AS analysis_id FROM ({_values([(n,) for n in fixtures.GRAPH_NAMES])}) AS v(name) WHERE regexp_full_match(name, 'lens_[a-f0-9]{{32}}')",
+    "customer_totals": """SELECT c_custkey, c_mktsegment, CASE WHEN n_orders IS NULL THEN c_acctbal ELSE most END AS c_acctbal, n_orders FROM customer
+      LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS most, count(*) AS n_orders FROM orders GROUP BY ALL) ON o_custkey = c_custkey""",
+    "completed_analyses": f"SELECT *, CASE WHEN NOT running THEN created_at % 7 / 7.0::DOUBLE END AS score, NOT running AS complete FROM {ANALYSIS_ROWS}",
+    "reset_ids": f"SELECT analysis_id FROM {ANALYSIS_ROWS} WHERE demo OR running",
     "scan_merge": f"SELECT conv_id, pos, id, handle, text, sec AS created_at FROM {MERGED_SQL}",
     "finished_thread": f"""WITH m AS (SELECT *, lower(handle) AS account_id FROM {MERGED_SQL}) SELECT m.conv_id, m.account_id, pos, id AS reply_id, text, greatest(sec, CASE m.conv_id WHEN 't1' THEN 100 ELSE 50 END) AS created_at, username
       FROM m JOIN (SELECT conv_id, account_id, arg_min(handle, pos) AS username FROM m GROUP BY ALL) USING (conv_id, account_id)""",

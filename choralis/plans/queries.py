@@ -17,7 +17,7 @@ from choralis.operators import accounts as acc
 from choralis.operators import classify, coordination, graph, phrases, similarity, timing, views
 from choralis.plans import fixtures
 from choralis.plans.analysis import Analysis
-from choralis.sources import adapters, ingest, names, pages, store, targets
+from choralis.sources import adapters, demo, ingest, names, pages, store, targets
 from choralis.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,6 +598,45 @@ def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stored_ids(spark.createDataFrame([(n,) for n in fixtures.GRAPH_NAMES], "name string"))
 
 
+@query
+def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as nodes that take the computed properties of those who have orders."""
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey"))
+    return store.with_properties(nodes, orders.agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("n_orders")), "c_custkey")
+
+
+@query
+def completed_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
+    return store.completed(rows, rows.where("not running").select("analysis_id", (F.col("created_at") % 7 / 7.0).alias("score")))
+
+
+@query
+def reset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
+    return store.reset_ids(rows, rows.where("not running"))
+
+
+# -- the demo
+
+
+@query
+def demo_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demo's replies, validated and flattened like any document."""
+    rows = demo.conversation(spark)
+    fine = rows.join(ingest.violations(rows).where("size(violations) > 0"), "conv_id", "left_anti")
+    _, replies, accounts = ingest.flatten(fine)
+    return replies.join(accounts.drop("first_pos"), ["conv_id", "account_id"]).withColumn("created_at", epoch(F.col("created_at")))
+
+
+@query
+def demo_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analysis says of the demo's accounts."""
+    a = Analysis(*ingest.flatten(demo.conversation(spark)))
+    return a.classified.select("conv_id", "username", "label", "automation", "coordination", "confidence", "category", "coordinated")
+
+
 # -- pages, streams, scorers
 
 

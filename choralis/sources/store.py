@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODES = ("analysis", "post", "account", "reply", "pattern", "cluster")
 EDGES = ("posted", "replies_to", "similar_to", "coordinated_with", "contains_pattern", "member_of")
@@ -21,7 +22,9 @@ def write_graph(tables: dict[str, DataFrame], folder: str, mode: str = "append")
 
 
 def read_graph(spark: SparkSession, folder: str, name: str, analysis_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}")
+    found = spark.read.parquet(f"{folder}/{name}").schema  # where ids are digits alone, Spark takes them for numbers
+    fields = [T.StructField(f.name, T.StringType() if f.name == "analysis_id" else f.dataType) for f in found]
+    df = spark.read.schema(T.StructType(fields)).parquet(f"{folder}/{name}")
     return df if analysis_id is None else df.where(F.col("analysis_id") == analysis_id)
 
 
@@ -68,3 +71,36 @@ def stored_ids(names: DataFrame, prefix: str = "lens_") -> DataFrame:
     return names.where(F.col("name").startswith(prefix)).select(rest.alias("analysis_id")).where(valid_id(F.col("analysis_id")))
 
 
+def with_properties(nodes: DataFrame, computed: DataFrame, *key: str) -> DataFrame:
+    """nodes with the columns of computed (one row for each key): a node whose key is there takes its values, nulls too;
+    the others keep theirs, or null where the column is new. Keys without a node add nothing."""
+    new = [c for c in computed.columns if c not in key]
+    given = computed.select(*key, F.struct(*new).alias("_set"))
+    found = F.col("_set").isNotNull()
+    values = {c: F.when(found, F.col("_set")[c]).otherwise(F.col(c)) if c in nodes.columns else F.col("_set")[c] for c in new}
+    return nodes.join(given, list(key), "left").withColumns(values).drop("_set")
+
+
+def completed(analyses: DataFrame, scores: DataFrame) -> DataFrame:
+    """analyses (analysis_id and others) with complete: whether scores (analysis_id and others) has a row for it, whose
+    values it takes."""
+    done = with_properties(analyses, scores.withColumn("complete", F.lit(True)), "analysis_id")
+    return done.withColumn("complete", F.coalesce("complete", F.lit(False)))
+
+
+def reset_ids(names: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Of the stored ids (analysis_id) those that a reset of the demo deletes: flagged demo, or without an analysis row."""
+    known = analyses.select("analysis_id", F.coalesce("demo", F.lit(False)).alias("demo"))
+    return names.select("analysis_id").distinct().join(known, "analysis_id", "left").where(F.coalesce("demo", F.lit(True))).select("analysis_id")
+
+
+def delete_analyses(ids: DataFrame, folder: str) -> int:
+    """Drops the partitions of the ids (analysis_id) from all tables of the folder; the number of partitions dropped. Ids
+    are streamed, and only well-formed ones name a folder."""
+    jvm, conf = ids.sparkSession._jvm, ids.sparkSession._jsc.hadoopConfiguration()
+    dropped = 0
+    for row in ids.select("analysis_id").where(valid_id(F.col("analysis_id"))).distinct().toLocalIterator():
+        for name in (*NODES, *EDGES):
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/analysis_id={row[0]}")
+            dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped

@@ -112,6 +112,33 @@ def _handles(replies: DataFrame) -> DataFrame:
     return by.select("*", none.alias("account_age_days"), none.alias("followers"), none.alias("following"), none.alias("total_posts"))
 
 
+def next_wait(now: int, since: int | None, config: Config = Config()) -> tuple[int, int]:
+    """since (when the first item still unanalysed came) and the milliseconds to wait for more, 0 when time is up."""
+    since = now if since is None else since
+    return since, max(0, min(config.quiet_ms, since + config.longest_wait_ms - now))
+
+
+def due(merged: DataFrame, config: Config = Config()) -> DataFrame:
+    """A stream of merged items to conv_id and the number of new items, once a conversation has been quiet for
+    config.quiet_ms, at the latest config.longest_wait_ms after the first of them."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, n = state.get if state.exists else (None, 0)
+        wait = 0
+        if not state.hasTimedOut:
+            n += sum(len(f) for f in frames)
+            since, wait = next_wait(state.getCurrentProcessingTimeMs(), since, config)
+        if wait:
+            state.update((since, n))
+            state.setTimeoutDuration(wait)
+            return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"conv_id": [key[0]], "items": [n]})
+
+    return merged.groupBy("conv_id").applyInPandasWithState(step, "conv_id string, items long", "since long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def reanalyse(merged: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 6, once: bool = False):
     """Runs `run` on the conversations that grew in each batch, at most every `seconds` (the longest wait)."""
 
