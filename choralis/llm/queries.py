@@ -110,6 +110,17 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.funnels import Funnel, count_funnels
+
+    funnels = [
+        Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+        Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+        Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+    ]
+    return count_funnels(spark.read.parquet(f"{sf_dir}/clicks.parquet"), funnels)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -139,5 +150,39 @@ QUALIFY rank <= 20
 """
 
 
+def _op11_sql() -> str:
+    def step(funnel: str, n: int, kind: str, then: str, stop: str) -> str:
+        """Attempts of a funnel that stand at step n, and the time of the next where it is reached."""
+        return f"""SELECT p.funnel, p.client_id, x.us, CASE WHEN n_{then} - x.us <= 900000000 AND (n_{stop} IS NULL OR n_{stop} > n_{then}) THEN n_{then} END AS "next"
+      FROM p{n - 1} p JOIN w x ON x.client_id = p.client_id AND x.us = p."next" AND x.kind = '{kind}' WHERE p.funnel = '{funnel}'"""
+
+    funnels = {"A": ("view", "click", "view", "purchase", "error"), "B": ("signup", "view", "click", "purchase", "error"), "C": ("click", "click", "purchase", "view", "signup")}
+    kinds = ("view", "click", "purchase", "signup", "error")
+    nexts = ", ".join(f"min(us) FILTER (kind = '{k}') OVER later AS n_{k}" for k in kinds)
+    first = " UNION ALL ".join(
+        f"""SELECT '{f}' AS funnel, client_id, us, CASE WHEN n_{s[1]} - us <= 900000000 AND (n_{s[4]} IS NULL OR n_{s[4]} > n_{s[1]}) THEN n_{s[1]} END AS "next" FROM w WHERE kind = '{s[0]}'"""
+        for f, s in funnels.items()
+    )
+    second = " UNION ALL ".join(step(f, 2, s[1], s[2], s[4]) for f, s in funnels.items())
+    third = " UNION ALL ".join(step(f, 3, s[2], s[3], s[4]) for f, s in funnels.items())
+
+    def counts(n: int) -> str:
+        return f"""c{n} AS (SELECT funnel, client_id, count(*) AS n, count("next") AS m, list_sort(list("next" - us) FILTER ("next" IS NOT NULL)) AS ts FROM p{n} GROUP BY ALL)"""
+
+    return f"""
+WITH k AS (SELECT DISTINCT client_id, kind, epoch_us(ts) AS us FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+w AS MATERIALIZED (SELECT client_id, kind, us, {nexts} FROM k WINDOW later AS (PARTITION BY client_id ORDER BY us RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+p1 AS MATERIALIZED ({first}),
+p2 AS MATERIALIZED ({second}),
+p3 AS MATERIALIZED ({third}),
+{counts(1)}, {counts(2)}, {counts(3)},
+f AS (SELECT c1.funnel, c1.client_id, c1.n AS n1, c1.m AS n2, coalesce(c2.m, 0) AS n3, coalesce(c3.m, 0) AS n4,
+  c1.ts[(c1.m + 1) // 2] AS t2, c2.ts[(c2.m + 1) // 2] AS t3, c3.ts[(c3.m + 1) // 2] AS t4
+  FROM c1 LEFT JOIN c2 ON c2.funnel = c1.funnel AND c2.client_id = c1.client_id LEFT JOIN c3 ON c3.funnel = c1.funnel AND c3.client_id = c1.client_id),
+g AS (SELECT *, CAST(CASE WHEN n4 > 0 THEN 4 WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 ELSE 1 END AS INTEGER) AS deepest FROM f)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": OP7_SQL, "op9_topk": OP9_SQL}
+    return {"op7_lines": OP7_SQL, "op9_topk": OP9_SQL, "op11_funnels": _op11_sql()}
