@@ -121,6 +121,22 @@ def op11_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_funnels(spark.read.parquet(f"{sf_dir}/clicks.parquet"), funnels)
 
 
+def op12_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.discriminant import document_statistics, learn_discriminant, score_quality
+
+    stats = common.written(document_statistics(common.documents(spark, sf_dir)), "quality-statistics")
+    seen = common.crc_mod(F.col("doc_id"), 3) != 1
+    scored = score_quality(stats, learn_discriminant(stats.where(seen), labels(spark, sf_dir)))
+    return scored.select("doc_id", (~seen).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from choralis.llm.ranked import build_index, search
+
+    index = common.written(build_index(common.documents(spark, sf_dir)), "ranked-index")
+    return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -184,5 +200,18 @@ SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PA
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT r, doc_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM d),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+x AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // l))) AS part FROM p JOIN f USING (term), s),
+y AS (SELECT i, item_id, r, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM y WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": OP7_SQL, "op9_topk": OP9_SQL, "op11_funnels": _op11_sql()}
+    return {"op7_lines": OP7_SQL, "op9_topk": OP9_SQL, "op11_funnels": _op11_sql(), "op13_ranked": OP13_SQL}
