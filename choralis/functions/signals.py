@@ -46,6 +46,7 @@ ADULT = (
     r"(🔞|\b(check (out )?my (bio|profile)|link in (my )?bio|lonely tonight|horny|nudes|onlyfans|hot pics|private pics"
     r"|dm me for fun|hook ?up)\b)"
 )
+# The adult lures that only point to a bio.
 BIO_POINTERS = [
     "check my bio", "check out my bio", "check my profile", "check out my profile", "link in bio", "link in my bio",
 ]
@@ -57,6 +58,7 @@ PRAISE = (
     r"\b(great|amazing|awesome|insightful|valuable|well said|so true|spot on|thanks for sharing|love this|brilliant"
     r"|powerful|inspiring|helpful|informative)\b"
 )
+# Words that praise of any post is made of.
 GENERIC_WORDS = (
     "great insights insight insightful thanks thank sharing share post valuable value content amazing awesome love this "
     "that well said true spot totally agree absolutely important everyone understand inspiring powerful helpful "

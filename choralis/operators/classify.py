@@ -65,6 +65,7 @@ def _pointed() -> Column:
 
 def _spam_rules() -> list[tuple[Column, Column, Column]]:
     """(condition, weight, wording) of the spam rules, in their order."""
+    # Bounds, weights and wordings.
     s, lit = lambda x: F.col(f"signals.{x}"), F.lit
     linked = s("links") > 0
     return [
@@ -109,6 +110,7 @@ def spam_floor() -> Column:
 
 
 def _behaviour_rules() -> list[tuple[Column, Column, Column | None]]:
+    # Bounds, weights and wordings.
     c, lit = F.col, F.lit
     skew = (c("following") >= 5 * F.greatest(lit(1), c("followers"))) & (c("following") >= 200) & c("followers").isNotNull()
     yes = lit(True)
@@ -135,6 +137,7 @@ def _behaviour_rules() -> list[tuple[Column, Column, Column | None]]:
 
 
 def _counter_rules() -> list[tuple[Column, Column, Column | None]]:
+    # Bounds, weights and wordings.
     c, lit = F.col, F.lit
     age = c("account_age_days")
     return [
@@ -177,6 +180,7 @@ def coordination_likelihood() -> Column:
 
 
 def summary(automation: Column, coordination: Column, has_metadata: Column, t: Thresholds) -> Column:
+    # The wordings.
     first = (
         F.when(automation < t.human, "Signals are consistent with individual human activity")
         .when(automation < t.automation, "Signals are mixed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config
 from choralis.functions.exact import clamp, floor_seconds, round3
+from choralis.operators.intervals import interval_join
 
 
 def timing_proximity(dt: Column, config: Config) -> Column:
@@ -26,13 +27,19 @@ def coordination_edges(pairs: DataFrame, replies: DataFrame, accounts: DataFrame
     """The strongest pair of replies of each two accounts, if its rounded score reaches the threshold.
 
     Only pairs that can reach it are scored: the similarity and time bounds of the configuration drop the others before
-    any join with the replies. Where no similarity bound holds, all pairs of replies are taken.
+    any join with the replies. Where only a time bound holds, the replies near each other in time meet in an interval
+    join, so a conversation may have any number of replies; where neither holds, all its pairs are taken.
     """
     none = F.array().cast("array<int>")
     r = replies.join(in_reply, ["conv_id", "reply_id"], "left").join(accounts.select("conv_id", "account_id", "first_pos"), ["conv_id", "account_id"])
     r = r.select("conv_id", "pos", F.struct("reply_id", "account_id", "created_at", "pos", "first_pos", F.coalesce("pattern_ranks", none).alias("ranks")).alias("r"))
     least = config.least_similarity if prune else None
-    if config.least_similarity is None or not prune:
+    if prune and least is None and config.most_seconds is not None:
+        t = replies.select("conv_id", F.col("pos").alias("i"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("ti"))
+        most = (int(config.most_seconds) + 1) * 1_000_000  # whole seconds, rounded down in either order, take up to one more
+        near = interval_join(t, t.withColumnsRenamed({"i": "j", "ti": "tj"}), ["conv_id"], "ti", "tj", most, F.col("i") < F.col("j"))
+        pairs = near.select("conv_id", "i", "j").join(pairs, ["conv_id", "i", "j"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    elif least is None:
         every = replies.select("conv_id", F.col("pos").alias("i")).join(replies.select("conv_id", F.col("pos").alias("j")), "conv_id").where("i < j")
         pairs = every.join(pairs, ["conv_id", "i", "j"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     else:

@@ -11,6 +11,23 @@ from choralis.functions.settle import settled
 from choralis.operators.coordination import directed
 
 
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the edges (source, target) of one conversation."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(rows["source"], rows["target"], strict=True):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    found = sorted(parent)
+    return pd.DataFrame({"conv_id": rows["conv_id"].iloc[0], "account_id": found, "component": [root(x) for x in found]})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """conv_id, account_id, component: the least account id that coordination connects with it.
 
@@ -18,44 +35,52 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a component each and never reach Python.
     """
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(rows["source"], rows["target"], strict=True):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-        found = sorted(parent)
-        return pd.DataFrame({"conv_id": rows["conv_id"].iloc[0], "account_id": found, "component": [root(x) for x in found]})
-
     kind = edges.schema["conv_id"].dataType.simpleString()
-    linked = edges.select("conv_id", "source", "target").groupBy("conv_id").applyInPandas(settle, f"conv_id {kind}, account_id string, component string")
+    linked = edges.select("conv_id", "source", "target").groupBy("conv_id").applyInPandas(_settle, f"conv_id {kind}, account_id string, component string")
     return nodes.select("conv_id", "account_id").join(linked, ["conv_id", "account_id"], "left").withColumn("component", F.coalesce("component", "account_id"))
 
 
-def components_iterative(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """The same for graphs of any size: least labels pass along edges and then to labels' labels until nothing moves.
+def components_iterative(nodes: DataFrame, edges: DataFrame, finish: int = 100_000) -> DataFrame:
+    """The same for graphs of any size, by contraction until no edge is left.
 
-    Each round is checkpointed.
+    In each round a node takes the name of the node of the least rank among itself and its neighbours, ranks being hashes
+    that change by round, so long chains shrink by a share each time, too; then edges are renamed, and loops and repeated
+    edges go. Names are only exchanged among the nodes that still have edges. There is no bound on rounds: each one with an
+    edge left merges at least two nodes. Rounds are checkpointed. Once at most `finish` edges are left, one group of
+    `components`' union-find ends the work instead; 0 leaves all to rounds.
     """
-    both = edges.select("conv_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    both = both.unionByName(both.select("conv_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    now = nodes.select("conv_id", F.col("account_id").alias("a"), F.col("account_id").alias("l"))
-    for _ in range(rounds):
-        near = both.join(now.withColumnsRenamed({"a": "b"}), ["conv_id", "b"]).groupBy("conv_id", "a").agg(F.min("l").alias("m"))
-        new = now.join(near, ["conv_id", "a"], "left").select("conv_id", "a", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
-        jump = new.select("conv_id", F.col("a").alias("n"), F.col("n").alias("nn"))
-        new = new.join(jump, ["conv_id", "n"]).select("conv_id", "a", F.col("nn").alias("l"), (F.col("nn") != F.col("l")).alias("moved"))
-        new = settled(new)
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
+    kind = edges.schema["conv_id"].dataType.simpleString()
+    now = edges.where("source <> target").select("conv_id", F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    names, turn = [], 0
+    while True:
+        now = settled(now)
+        left = now.limit(finish + 1).count()
+        if left == 0:
+            break
+        if left <= finish:
+            few = now.select("conv_id", F.col("a").alias("source"), F.col("b").alias("target"))
+            names.append(settled(few.repartition(1).groupBy("conv_id").applyInPandas(_settle, f"conv_id {kind}, account_id string, component string")).toDF("conv_id", "a", "to"))
             break
-    return now.select("conv_id", F.col("a").alias("account_id"), F.col("l").alias("component"))
+        both = now.unionByName(now.select("conv_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.unionByName(both.select("conv_id", "a", F.col("a").alias("b")))
+        took = settled(near.groupBy("conv_id", "a").agg(F.min_by("b", F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("to")))
+        names.append(took)
+        one = now.join(took, ["conv_id", "a"]).select("conv_id", F.col("to").alias("x"), F.col("b").alias("a"))
+        now = one.join(took, ["conv_id", "a"]).where("x <> to").select("conv_id", F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b")).distinct()
+        turn += 1
+    # a node's last name, found from the last round back: what a round's names came to be called later
+    last = None
+    for took in reversed(names):
+        if last is not None:
+            later = last.select("conv_id", F.col("a").alias("to"), F.col("to").alias("then"))
+            took = settled(took.join(later, ["conv_id", "to"], "left").select("conv_id", "a", F.coalesce("then", "to").alias("to")))
+        last = took
+    known = nodes.select("conv_id", F.col("account_id").alias("a"))
+    if last is None:
+        return known.select("conv_id", F.col("a").alias("account_id"), F.col("a").alias("component"))
+    led = known.join(last, ["conv_id", "a"], "left").withColumn("to", F.coalesce("to", "a"))
+    least = led.groupBy("conv_id", "to").agg(F.min("a").alias("component"))
+    return led.join(least, ["conv_id", "to"]).select("conv_id", F.col("a").alias("account_id"), "component")
 
 
 def account_links(edges: DataFrame) -> DataFrame:
@@ -187,28 +212,45 @@ def behaviour_edges(replies: DataFrame, top: DataFrame, edges: DataFrame) -> Dat
 
 
 def shortest_paths(wanted: DataFrame, links: DataFrame, longest: int = 12) -> DataFrame:
-    """conv_id, source, target, length, path (nodes) for the wanted pairs of accounts that are connected.
+    """conv_id, source, target, length, path (nodes) for the wanted pairs of accounts that at most `longest` links connect;
+    of several shortest paths the least, node by node.
 
-    All pairs advance together, one frontier row for each pair and newly met node; a node is met once, by the least
-    node before it. A pair leaves the frontier once its target is met.
+    All pairs advance together, from both ends in turn, the smaller frontier first; what a search meets grows with the
+    power of its depth, and each side goes half as deep. A side holds, of each pair and node that it has met, the least of
+    the shortest paths to it (from the target: from it), so the least path over all nodes at which the newest frontier
+    meets the other side is the least of all. A pair leaves both sides once it is found.
     """
     key = ["conv_id", "source", "target"]
-    front = wanted.select(*key).distinct().where(F.col("source") != F.col("target")).withColumn("node", F.concat(F.lit("a:"), "source"))
-    front = front.withColumn("path", F.array("node"))
-    seen, found = front.select(*key, "node"), None
+    step_to = settled(links.select("conv_id", F.col("a").alias("node"), F.col("b").alias("next")).distinct())  # in both directions
+    pairs = wanted.select(*key).distinct().where(F.col("source") != F.col("target"))
+
+    def start(end: str) -> DataFrame:
+        return settled(pairs.select(*key, F.concat(F.lit("a:"), end).alias("node"))).withColumn("path", F.array("node"))
+
+    fronts, seen = [start("source"), start("target")], [start("source"), start("target")]
+    sizes, found = [0, 0], None
     for n in range(1, longest + 1):
-        step = front.join(links.select("conv_id", F.col("a").alias("node"), F.col("b").alias("next")).distinct(), ["conv_id", "node"])
-        step = step.groupBy(*key, F.col("next").alias("node")).agg(F.min("path").alias("before"))
-        step = step.join(seen, [*key, "node"], "left_anti").withColumn("path", F.concat("before", F.array("node"))).drop("before")
-        step = settled(step)
-        if step.isEmpty():
-            break
-        hit = step.where(F.col("node") == F.concat(F.lit("a:"), "target")).select(*key, F.lit(n).alias("length"), "path")
-        found = hit if found is None else found.unionByName(hit)
-        seen = seen.unionByName(step.select(*key, "node"))
-        front = step.join(hit.select(*key), key, "left_anti")
+        k = 0 if sizes[0] <= sizes[1] else 1
+        step = fronts[k].join(step_to, ["conv_id", "node"])
+        grown = F.concat("path", F.array("next")) if k == 0 else F.concat(F.array("next"), "path")
+        step = step.select(*key, F.col("next").alias("node"), grown.alias("path")).groupBy(*key, "node").agg(F.min("path").alias("path"))
+        step = settled(step.join(seen[k].select(*key, "node"), [*key, "node"], "left_anti"))
+        sizes[k] = step.count()
+        if sizes[k] == 0:
+            break  # no pair that is left has more to meet on this side
+        other = seen[1 - k].select(*key, "node", F.col("path").alias("far"))
+        first, second = ("path", "far") if k == 0 else ("far", "path")
+        whole = F.concat(F.col(first), F.slice(F.col(second), 2, longest + 1))
+        hit = settled(step.join(other, [*key, "node"]).groupBy(*key).agg(F.min(whole).alias("path")))
+        told = hit.select(*key, F.lit(n).alias("length"), "path")
+        found = told if found is None else found.unionByName(told)
+        gone = hit.select(*key)
+        seen[k] = settled(seen[k].unionByName(step).join(gone, key, "left_anti"))
+        seen[1 - k] = seen[1 - k].join(gone, key, "left_anti")
+        fronts[k] = step.join(gone, key, "left_anti")
+        fronts[1 - k] = fronts[1 - k].join(gone, key, "left_anti")
     if found is None:
-        return front.select(*key, F.lit(0).alias("length"), "path").limit(0)
+        return pairs.select(*key, F.lit(0).alias("length"), F.array("source").alias("path")).limit(0)
     return found
 
 

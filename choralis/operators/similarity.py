@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config
 from choralis.functions.exact import floor_seconds, round3
+from choralis.functions.settle import kept
 from choralis.functions.text import lexical_diversity, normalised, tokens
 
 #: Any function from tokenised replies to pairs (conv_id, i, j, sim) with i < j; a missing pair has similarity 0.
@@ -32,7 +33,7 @@ def document_frequency(words: DataFrame) -> DataFrame:
 
 
 def term_weights(words: DataFrame) -> DataFrame:
-    """conv_id, pos, term, w: tf * (ln((1 + n) / (1 + df)) + 1), of unit length for each reply.
+    """conv_id, pos, term, w, df: tf * (ln((1 + n) / (1 + df)) + 1), of unit length for each reply.
 
     df and n are windows over rows that are dealt by conversation once.
     """
@@ -41,7 +42,7 @@ def term_weights(words: DataFrame) -> DataFrame:
     raw = tf.withColumn("df", F.count("*").over(Window.partitionBy("conv_id", "term"))).join(n, "conv_id")
     raw = raw.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("conv_id", "pos")))
-    return raw.select("conv_id", "pos", "term", (F.col("w") / length).alias("w"))
+    return raw.select("conv_id", "pos", "term", (F.col("w") / length).alias("w"), "df")
 
 
 def tfidf_pairs(words: DataFrame) -> DataFrame:
@@ -57,6 +58,82 @@ def tfidf_pairs(words: DataFrame) -> DataFrame:
     return dot.withColumn("sim", F.round(F.least(F.greatest("sim", F.lit(0.0)), F.lit(1.0)), 12))
 
 
+#: What sums may lose to the order of adding.
+SLACK = 1e-9
+
+
+def ordered_weights(words: DataFrame) -> DataFrame:
+    """conv_id, pos, t (hashed term), w, upto, length: the terms of each reply from the commonest to the rarest, with the most
+    that they and those before them can add to a similarity (each by the greatest weight that the term has in the
+    conversation), and the length of that part of the vector. The order is the same for all replies of a conversation."""
+    hashed = words.select("conv_id", "pos", F.transform("words", lambda x: F.xxhash64(x)).alias("words"))
+    w = term_weights(hashed).withColumnRenamed("term", "t").withColumn("top", F.max("w").over(Window.partitionBy("conv_id", "t")))
+    along = Window.partitionBy("conv_id", "pos").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
+    return w.select("conv_id", "pos", "t", "w", F.sum(F.col("w") * F.col("top")).over(along).alias("upto"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(along)).alias("length"))
+
+
+def _indexed(weights: DataFrame, least: float) -> DataFrame:
+    """Of each reply the rarest terms, one of which two replies must share to be as similar as `least`: those before them
+    add less, for the least of `upto` and `length` bounds that. before: the length of the vector before a term; most, size:
+    what the terms that aren't indexed can add at most, and their length."""
+    low = F.least("upto", "length") < least - SLACK
+    whole = Window.partitionBy("conv_id", "pos")
+    most, size = (F.coalesce(F.max(F.when(low, F.col(c))).over(whole), F.lit(0.0)) for c in ("upto", "length"))
+    before = F.sqrt(F.greatest(F.col("length") * F.col("length") - F.col("w") * F.col("w"), F.lit(0.0)))
+    return weights.select("*", most.alias("most"), size.alias("size"), before.alias("before")).where(~low).select("conv_id", "pos", "t", "w", "most", "size", "before")
+
+
+def _met(weights: DataFrame, least: float, wanted: DataFrame | None = None) -> DataFrame:
+    """conv_id, i, j, sim of the pairs with a similarity of at least `least`: i < j, or, given wanted (conv_id, pos), all j
+    beside each wanted i.
+
+    The rarest term that two replies share is indexed in both, for else all that they share would add up to less. So only
+    indexed terms are joined, and what they add is summed. What else a pair shares is not indexed in one of the two, and
+    in the other stands before the first shared term that is: the lengths of both parts bound it. Pairs that can't reach
+    `least` by that are dropped, and the few that remain are summed over all their terms.
+    """
+    index = _indexed(weights, least)
+
+    def side(pos: str, mark: str) -> DataFrame:
+        return index.select("conv_id", "t", F.col("pos").alias(pos), *[F.col(c).alias(c + mark) for c in ("w", "most", "size", "before")])
+
+    a, b = side("i", "_a"), side("j", "_b")
+    if wanted is not None:
+        a = a.join(wanted.select("conv_id", F.col("pos").alias("i")), ["conv_id", "i"], "left_semi")
+    met = a.join(b, ["conv_id", "t"]).where("i < j" if wanted is None else "i <> j")
+    rest = F.greatest(F.least("most_a", F.col("size_a") * F.col("before_b")), F.least("most_b", F.col("size_b") * F.col("before_a")))
+    part = met.groupBy("conv_id", "i", "j").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"), F.min(rest).alias("rest"))
+    near = kept(part.where(F.col("part") + F.col("rest") >= least - SLACK).select("conv_id", "i", "j"), "near")
+    x = near.join(weights.select("conv_id", F.col("pos").alias("i"), "t", F.col("w").alias("wa")), ["conv_id", "i"])
+    y = near.join(weights.select("conv_id", F.col("pos").alias("j"), "t", F.col("w").alias("wb")), ["conv_id", "j"])
+    dot = x.join(y, ["conv_id", "i", "j", "t"]).groupBy("conv_id", "i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    sim = F.round(F.least(F.greatest("sim", F.lit(0.0)), F.lit(1.0)), 12)
+    return dot.withColumn("sim", sim).where(F.col("sim") >= least)
+
+
+def threshold_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """What tfidf_pairs finds with a similarity of at least `least` (above 0), without summing the pairs below it that share
+    common terms only. weights: ordered_weights, written, for it is read three times. No bound on a conversation's replies."""
+    return _met(weights, least)
+
+
+def best_matches(weights: DataFrame, levels: tuple[float, ...] = (0.72, 0.4, 0.2)) -> DataFrame:
+    """conv_id, pos, best, best_pos: each reply's greatest similarity to another and the first reply that has it; replies
+    that share no term with another are absent.
+
+    Best first: pairs above the highest level settle the replies that have one, for no other pair can be better; the
+    replies left are compared at the next level, and the last ones with all that share a term with them.
+    """
+    left, found = weights.select("conv_id", "pos").distinct(), None
+    for least in (*levels, None):
+        met = _met(weights, SLACK if least is None else least, left)
+        best = met.groupBy("conv_id", F.col("i").alias("pos")).agg(F.max("sim").alias("best"), F.max_by("j", F.struct("sim", -F.col("j"))).alias("best_pos"))
+        best = kept(best, "best")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, ["conv_id", "pos"], "left_anti")
+    return found
+
+
 def embedding_pairs(vectors: DataFrame) -> DataFrame:
     """The same from unit or other vectors (conv_id, pos, embedding): a second similarity model."""
     v = vectors.withColumn("len", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))

@@ -30,6 +30,9 @@ class Analysis:
     def pairs(self) -> DataFrame:
         return kept(self.model(self.words), "pairs")
 
+    @cached_property
+    def weights(self) -> DataFrame:
+        return kept(similarity.ordered_weights(self.words), "weights")
 
     @cached_property
     def directed(self) -> DataFrame:

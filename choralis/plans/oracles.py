@@ -107,6 +107,15 @@ PARTS["co"] = f"""SELECT conv_id, least(l.account_id, m.account_id) AS source, g
   {_r3('timing::DOUBLE')} AS timing, {_r3('shared')} AS shared, dt, CASE WHEN l.account_id < m.account_id THEN l.reply_id ELSE m.reply_id END AS source_reply,
   CASE WHEN l.account_id < m.account_id THEN m.reply_id ELSE l.reply_id END AS target_reply FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, l.account_id, m.account_id ORDER BY score DESC, l.pos, m.pos) AS k FROM co1 WHERE score >= 0.75) WHERE k = 1"""
+PARTS["bt0"] = f"""SELECT x.conv_id, coalesce(sim, 0) AS sim, CASE WHEN x.first_pos < y.first_pos THEN x ELSE y END AS l, CASE WHEN x.first_pos < y.first_pos THEN y ELSE x END AS m, abs(x.e - y.e) AS dt,
+  greatest(0, 1 - abs(x.e - y.e) / 120.0) AS timing, CASE WHEN len(x.ranks) = 0 OR len(y.ranks) = 0 THEN 0 ELSE
+  len(list_intersect(x.ranks, y.ranks))::DOUBLE / len(list_distinct(list_concat(x.ranks, y.ranks))) END AS shared
+  FROM rr x JOIN rr y ON y.conv_id = x.conv_id AND x.pos < y.pos LEFT JOIN p ON p.conv_id = x.conv_id AND x.pos = p.i AND y.pos = p.j WHERE x.account_id <> y.account_id"""
+PARTS["bt1"] = f"SELECT *, {_r3(_clamp('0.3 * sim + 0.6 * timing::DOUBLE + 0.1 * shared'))} AS score FROM bt0"
+PARTS["bt"] = f"""SELECT conv_id, least(l.account_id, m.account_id) AS source, greatest(l.account_id, m.account_id) AS target, score, {_r3('sim')} AS text_similarity,
+  {_r3('timing::DOUBLE')} AS timing, {_r3('shared')} AS shared, dt, CASE WHEN l.account_id < m.account_id THEN l.reply_id ELSE m.reply_id END AS source_reply,
+  CASE WHEN l.account_id < m.account_id THEN m.reply_id ELSE l.reply_id END AS target_reply FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, l.account_id, m.account_id ORDER BY score DESC, l.pos, m.pos) AS k FROM bt1 WHERE score >= 0.69) WHERE k = 1"""
 PARTS["dc"] = "SELECT conv_id, source AS account_id, target AS other, score, text_similarity, dt FROM co UNION ALL SELECT conv_id, target, source, score, text_similarity, dt FROM co"
 PARTS["walk"] = "SELECT conv_id, account_id, account_id AS other FROM a UNION SELECT walk.conv_id, walk.account_id, dc.other FROM walk JOIN dc ON dc.conv_id = walk.conv_id AND dc.account_id = walk.other"
 PARTS["cm"] = "SELECT conv_id, account_id, min(other) AS component FROM walk GROUP BY ALL"
@@ -179,9 +188,12 @@ PARTS["lk0"] = """SELECT conv_id, 'a:' || account_id AS a, 'r:' || reply_id AS b
 PARTS["lk"] = "SELECT conv_id, a, b, kind FROM lk0 UNION ALL SELECT conv_id, b, a, kind FROM lk0"
 PARTS["src"] = "SELECT conv_id, arg_min(account_id, first_pos) AS source FROM a GROUP BY conv_id"
 PARTS["bfs"] = "SELECT conv_id, source, 'a:' || source AS node, 0 AS n FROM src UNION SELECT bfs.conv_id, source, b, n + 1 FROM bfs JOIN lk ON lk.conv_id = bfs.conv_id AND lk.a = bfs.node WHERE n < 12"
-RECURSIVE = {"walk", "bfs"}
+PARTS["far"] = "SELECT conv_id, source, node, min(n) AS n FROM bfs GROUP BY ALL"
+PARTS["way"] = """SELECT conv_id, source, 'a:' || source AS node, ['a:' || source] AS path, 0 AS n FROM src UNION ALL SELECT way.conv_id, way.source, lk.b, min(list_append(way.path, lk.b)), way.n + 1
+  FROM way JOIN lk ON lk.conv_id = way.conv_id AND lk.a = way.node JOIN far ON far.conv_id = way.conv_id AND far.source = way.source AND far.node = lk.b AND far.n = way.n + 1 GROUP BY way.conv_id, way.source, lk.b, way.n"""
+RECURSIVE = {"walk", "bfs", "way"}
 #: Parts that several others read.
-KEPT = {"r", "w", "t", "wt", "p", "d", "te", "s", "tm", "tg", "sh", "pt", "rp", "co", "dc", "cm", "g", "cl", "mb", "f", "c", "sa", "lk"}
+KEPT = {"r", "w", "t", "wt", "p", "d", "te", "s", "tm", "tg", "sh", "pt", "rp", "co", "dc", "cm", "g", "cl", "mb", "f", "c", "sa", "lk", "far"}
 
 
 def _uses(sql: str) -> set[str]:
@@ -228,6 +240,21 @@ SELECTS: dict[str, str] = {
     "tfidf_df": "SELECT conv_id, term, df FROM dfq",
     "tfidf_weights": f"SELECT conv_id, pos, term, {_r3('w')} AS w FROM wt",
     "tfidf_pairs": f"SELECT conv_id, i, j, {_r3('sim')} AS sim FROM p",
+    "similar_pairs": f"SELECT conv_id, i, j, {_r3('sim')} AS sim FROM p WHERE sim >= 0.72",
+    "coordination_candidates": f"SELECT conv_id, i, j, {_r3('sim')} AS sim FROM p WHERE sim >= (0.75 - 0.0005 - 0.30 - 0.15) / 0.55",
+    "best_matches": f"SELECT conv_id, pos, {_r3('best')} AS best, best_pos FROM ds WHERE best > 0",
+    "event_neighbours": """WITH x AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t FROM events), y AS (SELECT event_id,
+      count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1800 PRECEDING AND 1800 FOLLOWING) - 1 AS within30,
+      count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 3600 FOLLOWING) - 1 AS within60, user_id, t FROM x)
+      SELECT event_id, CASE WHEN user_id IS NOT NULL AND t IS NOT NULL THEN within30 END AS within30, CASE WHEN user_id IS NOT NULL AND t IS NOT NULL THEN within60 END AS within60,
+      CASE WHEN user_id IS NOT NULL AND t IS NOT NULL THEN within60 >= 2 END AS in_burst FROM y""",
+    "click_bursts": """WITH x AS (SELECT click_id, client_id, kind, epoch_us(ts) // 1000000 AS t, client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL AS ok FROM clicks), y AS (SELECT click_id,
+      count(*) OVER (PARTITION BY client_id, kind ORDER BY t RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING) - 1 AS within30,
+      count(*) OVER (PARTITION BY client_id, kind ORDER BY t RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) - 1 AS within60, ok FROM x)
+      SELECT click_id, CASE WHEN ok THEN within30 END AS within30, CASE WHEN ok THEN within60 END AS within60, CASE WHEN ok THEN within60 >= 2 END AS in_burst FROM y""",
+    "errors_near_purchases": """WITH x AS (SELECT client_id, kind, click_id, epoch_us(ts) // 1000000 AS t FROM clicks)
+      SELECT a.client_id, a.click_id AS purchase, b.click_id AS error, b.t - a.t AS seconds FROM x a JOIN x b ON a.client_id = b.client_id AND a.kind = 'purchase' AND b.kind = 'error' AND abs(a.t - b.t) <= 600""",
+    "coordination_by_time": "SELECT * FROM bt",
     "embedding_pairs": f"""WITH v AS (SELECT vec_id % 64 AS conv_id, vec_id // 64 AS pos, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.conv_id, a.pos AS i, b.pos AS j,
       {_r3('least(greatest(list_cosine_similarity(a.x, b.x), 0), 1)')} AS sim FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.pos < b.pos""",
     "pair_lookup": f"""SELECT q.conv_id, q.a, q.b, {_r3('CASE WHEN q.a = q.b THEN 1.0 ELSE coalesce(sim, 0) END')} AS sim
@@ -253,6 +280,15 @@ SELECTS: dict[str, str] = {
       SELECT text, dt, k, {_r3(DT120)} AS timing, {_r3(SHARED5)} AS shared, {_r3(_clamp(f'0.55 * text + 0.30 * {DT120} + 0.15 * ({SHARED5})'))} AS score FROM x""",
     "components": "SELECT conv_id, account_id, component FROM cm",
     "components_iterative": "SELECT conv_id, account_id, component FROM cm",
+    "client_groups": """WITH RECURSIVE cli AS MATERIALIZED (SELECT client_id, master_id, lower(email) AS email, lower(name) AS name FROM clients WHERE client_id IS NOT NULL),
+      gro AS (SELECT CAST(client_id AS VARCHAR) AS a, CAST(master_id AS VARCHAR) AS b FROM cli WHERE master_id IS NOT NULL
+        UNION SELECT CAST(x.client_id AS VARCHAR), CAST(y.client_id AS VARCHAR) FROM cli x JOIN cli y ON x.email = y.email
+        UNION SELECT CAST(x.client_id AS VARCHAR), CAST(y.client_id AS VARCHAR) FROM cli x JOIN cli y ON x.name = y.name),
+      edg AS MATERIALIZED (SELECT a, b FROM gro UNION SELECT b, a FROM gro),
+      ver AS (SELECT CAST(client_id AS VARCHAR) AS a FROM cli UNION SELECT a FROM edg),
+      hop AS (SELECT a, a AS b FROM ver UNION SELECT hop.a, edg.b FROM hop JOIN edg ON edg.a = hop.b),
+      mem AS (SELECT a AS account_id, min(b) AS component FROM hop GROUP BY a)
+      SELECT account_id, component, count(*) OVER (PARTITION BY component) AS size FROM mem""",
     "account_links": f"SELECT conv_id, account_id, {_r3('similarity')} AS similarity, links, max_score FROM al",
     "graph_features": """SELECT conv_id, account_id, component, component_size, component_similarity, coordinated, max_score, "similar", degree, first_seconds FROM g""",
     "similar_account_edges": "SELECT * FROM sa",
@@ -296,6 +332,10 @@ SELECTS: dict[str, str] = {
     "two_hop_reach": """SELECT a.conv_id, a.account_id, count(DISTINCT q.other) AS reach FROM a LEFT JOIN (SELECT conv_id, account_id, other FROM dc UNION SELECT x.conv_id, x.account_id, y.other FROM dc x JOIN dc y
       ON y.conv_id = x.conv_id AND y.account_id = x.other AND y.other <> x.account_id) q ON q.conv_id = a.conv_id AND q.account_id = a.account_id GROUP BY ALL""",
     "shortest_path_length": "SELECT conv_id, source, substr(node, 3) AS target, min(n) AS length FROM bfs WHERE node LIKE 'a:%' AND node <> 'a:' || source GROUP BY ALL",
+    "shortest_path_steps": """WITH z AS (SELECT conv_id, source, substr(node, 3) AS target, path FROM way WHERE node LIKE 'a:%' AND n > 0),
+      y AS (SELECT *, unnest(range(1, len(path))) AS k FROM z), x AS (SELECT conv_id, source, target, CAST(k - 1 AS INTEGER) AS step, path[k] AS a, path[k + 1] AS b FROM y),
+      q AS (SELECT conv_id, a, b, min(kind) AS kind FROM lk GROUP BY ALL)
+      SELECT x.*, kind, CASE WHEN kind = 'POSTED' AND a LIKE 'r:%' THEN 'POSTED BY' ELSE kind END AS wording FROM x JOIN q USING (conv_id, a, b)""",
     "account_metadata": "SELECT conv_id, account_id, has_metadata, follow_ratio, posts_per_day FROM am",
     "self_similarity": "SELECT * FROM ss",
     "account_features": f"SELECT {FEATURES} FROM f",

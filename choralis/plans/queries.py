@@ -14,10 +14,10 @@ from choralis.config import Config, Thresholds
 from choralis.functions import settle, signals, text
 from choralis.functions.exact import epoch, floor_seconds, label, mean3, round3
 from choralis.operators import accounts as acc
-from choralis.operators import classify, coordination, graph, phrases, similarity, timing, views
+from choralis.operators import classify, coordination, graph, intervals, phrases, similarity, timing, views
 from choralis.plans import fixtures
 from choralis.plans.analysis import Analysis
-from choralis.sources import adapters, demo, ingest, names, pages, store, targets
+from choralis.sources import adapters, ingest, names, pages, store, targets
 from choralis.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,23 @@ def _(a):
     return a.pairs.select("conv_id", "i", "j", round3(F.col("sim")).alias("sim"))
 
 
+@over("similar_pairs")
+def _(a):
+    """The pairs of the similarity graph, by the threshold join."""
+    return similarity.threshold_pairs(a.weights, a.config.similar).select("conv_id", "i", "j", round3(F.col("sim")).alias("sim"))
+
+
+@over("coordination_candidates")
+def _(a):
+    """The pairs that can reach the coordination score, by the threshold join."""
+    return similarity.threshold_pairs(a.weights, a.config.least_similarity).select("conv_id", "i", "j", round3(F.col("sim")).alias("sim"))
+
+
+@over("best_matches")
+def _(a):
+    return similarity.best_matches(a.weights).select("conv_id", "pos", round3(F.col("best")).alias("best"), "best_pos")
+
+
 @query
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -176,6 +193,32 @@ def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", floor_seconds(before, F.col("ts")).alias("ahead"), F.abs(floor_seconds(F.col("ts"), before)).alias("back"))
 
 
+@query
+def event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other events of its user lie within half an hour and an hour of each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", epoch(F.col("ts")).alias("t"))
+    near = intervals.near_counts(e, ["user_id"], "t", {"within30": 1800, "within60": 3600})
+    return near.select("event_id", "within30", "within60", (F.col("within60") >= Config().burst).alias("in_burst"))
+
+
+@query
+def click_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of clicks of a client and kind, within 30 and 60 seconds; rows without client or kind have no number."""
+    c = spark.read.parquet(f"{sf_dir}/clicks.parquet").select("click_id", "client_id", "kind", epoch(F.col("ts")).alias("t"))
+    near = intervals.near_counts(c, ["client_id", "kind"], "t", {"within30": 30, "within60": 60}, 3600)
+    return near.select("click_id", "within30", "within60", (F.col("within60") >= Config().burst).alias("in_burst"))
+
+
+@query
+def errors_near_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and errors of a client at most ten minutes apart, with the seconds between them."""
+    c = spark.read.parquet(f"{sf_dir}/clicks.parquet").select("client_id", "kind", "click_id", epoch(F.col("ts")).alias("t"))
+    bought = c.where("kind = 'purchase'").select("client_id", F.col("click_id").alias("purchase"), F.col("t").alias("bought"))
+    failed = c.where("kind = 'error'").select("client_id", F.col("click_id").alias("error"), F.col("t").alias("failed"))
+    met = intervals.interval_join(bought, failed, ["client_id"], "bought", "failed", 600)
+    return met.select("client_id", "purchase", "error", (F.col("failed") - F.col("bought")).alias("seconds"))
+
+
 # -- coordination, graph
 
 
@@ -184,6 +227,15 @@ def _(a):
     return a.coordination
 
 
+#: Timing weighs so much that no similarity is needed, so replies are candidates by their time alone.
+BY_TIME = Config(text_weight=0.3, timing_weight=0.6, pattern_weight=0.1, coordinated=0.69)
+
+
+@over("coordination_by_time")
+def _(a):
+    return coordination.coordination_edges(a.pairs, a.replies, a.accounts, a.reply_patterns, BY_TIME)
+
+
 @over("coordination_adjacency")
 def _(a):
     return coordination.directed(a.coordination).groupBy("conv_id", "account_id").agg(F.count("*").alias("edges"), F.max("score").alias("best"))
@@ -209,6 +261,24 @@ def _(a):
     return graph.components_iterative(a.accounts, a.coordination)
 
 
+@query
+def client_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of clients that their master records, e-mail addresses or names connect, however many they are."""
+    c = spark.read.parquet(f"{sf_dir}/clients.parquet").select("client_id", "master_id", F.lower("email").alias("email"), F.lower("name").alias("name"))
+    c = c.where("client_id is not null")
+    ids = F.col("client_id").cast("string")
+    by_master = c.where("master_id is not null").select(ids.alias("source"), F.col("master_id").cast("string").alias("target"))
+    links = by_master
+    for same in ("email", "name"):  # all with a value are linked to the least of them: a star, not all pairs
+        first = F.min("client_id").over(Window.partitionBy(same)).cast("string")
+        links = links.unionByName(c.where(F.col(same).isNotNull()).select(ids.alias("source"), first.alias("target")))
+    one = F.lit("clients").alias("conv_id")
+    nodes = c.select(ids.alias("account_id")).unionByName(by_master.select(F.col("target").alias("account_id"))).distinct()
+    found = graph.components_iterative(nodes.select(one, "account_id"), links.select(one, "source", "target"), finish=0)
+    size = found.groupBy("component").agg(F.count("*").alias("size"))
+    return found.join(size, "component").select("account_id", "component", "size")
+
+
 @over("account_links")
 def _(a):
     return graph.account_links(a.coordination).select("conv_id", "account_id", round3(F.col("similarity")).alias("similarity"), "links", "max_score")
@@ -618,25 +688,6 @@ def reset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.reset_ids(rows, rows.where("not running"))
 
 
-# -- the demo
-
-
-@query
-def demo_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The demo's replies, validated and flattened like any document."""
-    rows = demo.conversation(spark)
-    fine = rows.join(ingest.violations(rows).where("size(violations) > 0"), "conv_id", "left_anti")
-    _, replies, accounts = ingest.flatten(fine)
-    return replies.join(accounts.drop("first_pos"), ["conv_id", "account_id"]).withColumn("created_at", epoch(F.col("created_at")))
-
-
-@query
-def demo_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the analysis says of the demo's accounts."""
-    a = Analysis(*ingest.flatten(demo.conversation(spark)))
-    return a.classified.select("conv_id", "username", "label", "automation", "coordination", "confidence", "category", "coordinated")
-
-
 # -- pages, streams, scorers
 
 

@@ -1,4 +1,4 @@
-"""Changes of stored graphs, scorers as the settings choose them, the demo and the wait before a new analysis."""
+"""Changes of stored graphs, scorers as the settings choose them, and the wait before a new analysis."""
 
 import json
 import threading
@@ -8,7 +8,7 @@ import pytest
 
 from choralis.config import Config, Thresholds
 from choralis.operators import classify, scorers
-from choralis.sources import demo, ingest, store
+from choralis.sources import store
 from choralis.streaming import capture
 
 IDS = [f"{i:032x}" for i in range(4)]
@@ -93,12 +93,6 @@ def test_sensitivity_moves_thresholds():
     assert (t.at(0).human, t.at(0).automation) == pytest.approx((0.6, 0.85))
 
 
-def test_demo_is_valid_and_repeats(spark):
-    rows = demo.conversation(spark)
-    assert ingest.violations(rows).first().violations == []
-    assert demo.replies() == demo.replies() != demo.replies(8)
-
-
 def test_wait_is_quiet_time_up_to_the_longest():
     c = Config()
     assert capture.next_wait(1_000, None, c) == (1_000, 2_000)
