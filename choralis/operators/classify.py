@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from choralis.config import Config, Thresholds
 from choralis.functions.exact import clamp, label, percent, round3
@@ -351,6 +352,26 @@ def map_typed_answers(answer: str, t: Thresholds = Thresholds(), who: str = "Sco
     }
 
 
+def mapped_answers(rows: DataFrame, answer: str, t: Thresholds = Thresholds()) -> DataFrame:
+    """rows without the column `answer`, with the label, automation, coordination, confidence and category of the typed answers
+    in it: nulls where one breaks the contract."""
+    names = ("label", "automation", "coordination", "confidence", "category")
+    held = [f for f in rows.schema.fields if f.name != answer]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for a in frame[answer]:
+                try:
+                    out.append(map_typed_answers(a, t))
+                except (BadAnswer, TypeError):
+                    out.append({})
+            yield frame.drop(columns=[answer]).assign(**{n: pd.Series([x.get(n) for x in out], index=frame.index, dtype=object) for n in names})
+
+    new = [T.StructField(n, T.StringType() if n in ("label", "category") else T.DoubleType()) for n in names]
+    return rows.mapInPandas(run, T.StructType([*held, *new]))
+
+
 def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None = None, parse: Callable[[str], dict] = parse_answer, who: str = "Scorer") -> DataFrame:
     """The heuristic where no scorer is given; else its answers, each distinct request asked once, in
     config.scorer_partitions tasks at a time. A failure or a bad answer falls back to the heuristic, held at uncertain."""

@@ -221,17 +221,54 @@ def _labels(low: float, high: float, p: str = "automation") -> str:
 
 FEATURES = "conv_id, account_id, reply_count, first_pos, representative, max_sim, lex, neighbour_mean, near_duplicate, within30, within60, in_burst, regularity, first_seconds, self_similarity"
 ORDER = "CASE category " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(views.CATEGORIES)) + " END"
-LITERAL_TEXTS = f"SELECT name, array_to_string(texts, chr(10)) AS everything, texts, parent FROM ({_values(fixtures.SIGNAL_TEXTS)}) AS v(name, texts, parent)"
+SAMPLES = _values([(k, t, p) for k, (_, t, p) in enumerate(fixtures.SIGNAL_TEXTS)])
+LITERAL_TEXTS = f"""SELECT doc_id, array_to_string(texts, chr(10)) AS everything, texts, parent FROM (SELECT doc_id, parent,
+  CASE WHEN doc_id // {len(fixtures.SIGNAL_TEXTS)} % 2 = 0 THEN list_append(said, coalesce(text, '')) ELSE list_append(said[1:len(said) - 1], said[len(said)] || ' ' || coalesce(source, '')) END AS texts
+  FROM documents JOIN ({SAMPLES}) AS v(k, said, parent) ON k = doc_id % {len(fixtures.SIGNAL_TEXTS)})"""
 RULE_COUNT = r"len(regexp_extract_all(everything, %s, 0, '%s'))"
 WORD_SQL = r"'[\p{L}\p{N}'']+'"
-URL_ROWS = _values([(u,) for u in fixtures.URLS])
-ANALYSIS_ROWS = f"(SELECT analysis_id, created_at::BIGINT AS created_at, demo, running FROM ({_values(fixtures.ANALYSES)}) AS v(analysis_id, created_at, demo, running))"
-SCAN_ROWS = f"({_values(fixtures.SCANS)}) AS v(conv_id, seq, focal, id, handle, text, sec)"
+URL_ROWS = f"SELECT page_id, replace({_str(fixtures.URLS)}[page_id % {len(fixtures.URLS)} + 1], 'jane', 'u' || page_id) AS raw FROM pages"
+ANALYSIS_ROWS = """(SELECT md5(CAST(o_orderkey AS VARCHAR)) AS analysis_id, (CAST(o_orderdate AS DATE) - DATE '1970-01-01')::BIGINT * 86400 + o_orderkey % 86400 AS created_at,
+  o_orderkey % 11 = 0 AS demo, o_orderkey % 13 = 0 AS running, o_orderkey AS n FROM orders)"""
+SCAN_TIME = "1704067200 + turn * 10 - CASE WHEN turn % 4 = 2 THEN 100 ELSE 0 END AS sec"
+SCAN_ROWS = f"""(SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn AS seq, turn = 0 AS focal, 't' || turn AS id, role AS handle, CASE WHEN turn % 5 <> 3 THEN text ELSE '' END AS text, {SCAN_TIME} FROM conversations
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), turn + 1000000, turn = 0, 't' || turn, upper(role), 'again ' || text, {SCAN_TIME} FROM conversations)"""
 DT120 = "greatest(0, 1 - abs(dt) / 120.0::DOUBLE)"
 SHARED5 = "(CASE WHEN k < 1 THEN 1 WHEN k < 2 THEN 2 ELSE 3 END)::DOUBLE / CASE WHEN k + 3 < 5 THEN 5 ELSE k + 3 END"
 MERGED_SQL = f"""(SELECT conv_id, id, handle, text, sec, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY seq) - 1 AS INTEGER) AS pos FROM (
   SELECT conv_id, id, min(seq) AS seq, arg_min(handle, seq) AS handle, arg_min(text, seq) AS text, arg_min(sec, seq) AS sec FROM {SCAN_ROWS}
-  WHERE NOT focal AND trim(text) <> '' AND id NOT IN ('p', 'q') GROUP BY conv_id, id))"""
+  WHERE NOT focal AND trim(text) <> '' AND id <> 't0' GROUP BY conv_id, id))"""
+
+def _firsts(pattern: str) -> str:
+    """The first six distinct matches, in lower case."""
+    return f"list_filter([lower(x) FOR x IN regexp_extract_all(everything, {_str(pattern)}, 0, 'i')], lambda x, i: list_position([lower(y) FOR y IN regexp_extract_all(everything, {_str(pattern)}, 0, 'i')], x) = i)[1:6]"
+
+
+def _spam_sql() -> str:
+    """All spam rules and categories, from the counts of text_signals."""
+    pointers = ["check my bio", "check out my bio", "check my profile", "check out my profile", "link in bio", "link in my bio"]
+    strong = f"len([x FOR x IN adults IF NOT list_contains({_str(pointers)}, x)]) > 0"
+    pointed = "(mentions > 0 OR n_messaging > 0)"
+    spam = " + ".join(f"CASE {x} ELSE 0 END" for x in (
+        "WHEN n_messaging > 0 THEN 0.45", "WHEN n_crypto >= 2 AND links > 0 THEN 0.45 WHEN n_crypto >= 2 THEN 0.25", "WHEN n_urgency >= 2 THEN 0.2 WHEN n_urgency = 1 THEN 0.08",
+        "WHEN n_shortened > 0 THEN 0.15", "WHEN parent_overlap < 0.05 AND links > 0 THEN 0.2", "WHEN thread_hook THEN 0.12", "WHEN emojis >= 3 AND emoji_density >= 0.12 THEN 0.08",
+        "WHEN uppercase_ratio >= 0.5 THEN 0.05", "WHEN strong THEN 0.7 WHEN n_adult > 0 THEN 0.1", "WHEN n_money >= 2 AND pointed THEN 0.7 WHEN n_money = 1 AND pointed THEN 0.5 WHEN n_money > 0 THEN 0.2",
+        "WHEN n_job >= 2 OR n_job > 0 AND n_messaging > 0 THEN 0.45 WHEN n_job > 0 THEN 0.2", "WHEN n_follow >= 2 THEN 0.7 WHEN n_follow = 1 THEN 0.45", "WHEN generic_praise THEN 0.3",
+    ))
+    scam = "(n_messaging > 0 OR n_crypto >= 2 OR strong OR n_money > 0 AND pointed OR n_job >= 2 OR n_job > 0 AND n_messaging > 0)"
+
+    def category(name: str) -> str:
+        """Of accounts with that label."""
+        human = name == "human_like"
+        last = {"human_like": "personal", "uncertain": "mixed", "automation_like": "automated"}[name]
+        return f"""CASE WHEN {scam} AND {not human} THEN 'scam' WHEN n_milestones > 0 THEN 'milestone' WHEN n_promotions >= 2 OR n_promotions > 0 AND (n_ai_style >= 2 OR hashtags >= 3) THEN 'ai_ad'
+          WHEN n_ai_style >= 3 AND substantive THEN 'ai_useful' WHEN n_ai_style >= 3 THEN 'ai_low_value' WHEN {human} THEN 'personal' WHEN n_follow > 0 THEN 'follow_farming'
+          WHEN generic_praise THEN 'generic_comment' WHEN thread_hook THEN 'engagement_bait' ELSE '{last}' END AS category_{name}"""
+
+    more = f"""SELECT doc_id, len(regexp_extract_all(everything, '(^|[^\\w@])@\\w{{2,}}')) AS mentions, len(regexp_extract_all(everything, '(^|[^\\w#])#[\\p{{L}}\\p{{N}}_]{{2,}}')) AS hashtags, {_firsts(signals.ADULT)} AS adults FROM ({LITERAL_TEXTS})"""
+    return f"""SELECT doc_id, {_r3(f'least(0.95, {spam})::DOUBLE')} AS spam, {", ".join(map(category, ("human_like", "uncertain", "automation_like")))}
+      FROM (SELECT *, {strong} AS strong, {pointed} AS pointed FROM (%s) JOIN ({more}) USING (doc_id))"""
+
 
 SELECTS: dict[str, str] = {
     "normalised_text": "SELECT conv_id, pos, norm FROM w",
@@ -255,7 +292,7 @@ SELECTS: dict[str, str] = {
     "errors_near_purchases": """WITH x AS (SELECT client_id, kind, click_id, epoch_us(ts) // 1000000 AS t FROM clicks)
       SELECT a.client_id, a.click_id AS purchase, b.click_id AS error, b.t - a.t AS seconds FROM x a JOIN x b ON a.client_id = b.client_id AND a.kind = 'purchase' AND b.kind = 'error' AND abs(a.t - b.t) <= 600""",
     "coordination_by_time": "SELECT * FROM bt",
-    "embedding_pairs": f"""WITH v AS (SELECT vec_id % 64 AS conv_id, vec_id // 64 AS pos, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.conv_id, a.pos AS i, b.pos AS j,
+    "embedding_pairs": f"""WITH v AS (SELECT vec_id // 64 AS conv_id, vec_id % 64 AS pos, embedding::DOUBLE[] AS x FROM embeddings) SELECT a.conv_id, a.pos AS i, b.pos AS j,
       {_r3('least(greatest(list_cosine_similarity(a.x, b.x), 0), 1)')} AS sim FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.pos < b.pos""",
     "pair_lookup": f"""SELECT q.conv_id, q.a, q.b, {_r3('CASE WHEN q.a = q.b THEN 1.0 ELSE coalesce(sim, 0) END')} AS sim
       FROM (SELECT conv_id, pos AS a, (pos * 7 + 3) % 11 AS b FROM r) q LEFT JOIN p ON p.conv_id = q.conv_id AND i = least(q.a, q.b) AND j = greatest(q.a, q.b)""",
@@ -363,7 +400,7 @@ SELECTS: dict[str, str] = {
       FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (label = 'human_like') AS h, count(*) FILTER (label = 'uncertain') AS u, count(*) FILTER (label = 'automation_like') AS m FROM c GROUP BY conv_id)
       JOIN sc USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS k FROM cl GROUP BY conv_id) USING (conv_id)""",
     "node_sizes": f"SELECT conv_id, account_id, {_r3('(5.5 + 2.1 * sqrt(degree + reply_count)) * (0.55 + 0.45 * least(greatest(sqrt(90.0::DOUBLE / count(*) OVER (PARTITION BY conv_id)), 0.5), 1.0))')} AS size FROM c",
-    "text_signals": f"""SELECT name, len(regexp_extract_all(everything, {_str(signals.EMOJI)})) AS emojis, {_r3(f"len(regexp_extract_all(everything, {_str(signals.EMOJI)}))::DOUBLE / greatest(1, len(regexp_extract_all(everything, {WORD_SQL})))")} AS emoji_density,
+    "text_signals": f"""SELECT doc_id, len(regexp_extract_all(everything, {_str(signals.EMOJI)})) AS emojis, {_r3(f"len(regexp_extract_all(everything, {_str(signals.EMOJI)}))::DOUBLE / greatest(1, len(regexp_extract_all(everything, {WORD_SQL})))")} AS emoji_density,
       {RULE_COUNT % (_str(signals.LINK), 'i')} AS links, CASE WHEN length(regexp_replace(everything, '[^\\p{{L}}]', '', 'g')) < 20 THEN 0 ELSE {_r3("length(regexp_replace(everything, '[^\\p{Lu}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(everything, '[^\\p{L}]', '', 'g')), 0)")} END AS uppercase_ratio,
       regexp_matches(everything, {_str(signals.THREAD_HOOK.replace("(🧵", "(?m)(🧵", 1))}, 'i') AS thread_hook,
       CASE WHEN parent IS NOT NULL THEN {_r3(f"list_max([CASE WHEN len({CONTENT % 'x'}) = 0 THEN 0 ELSE len(list_intersect({CONTENT % 'x'}, {CONTENT % 'parent'}))::DOUBLE / len({CONTENT % 'x'}) END FOR x IN texts])")} END AS parent_overlap,
@@ -371,20 +408,22 @@ SELECTS: dict[str, str] = {
         AND len([y FOR y IN regexp_extract_all(lower(regexp_replace(x, '@\\w+', ' ', 'g')), {WORD_SQL}) IF length(y) > 3 AND NOT list_contains({_str(signals.GENERIC_WORDS)}, y)]) <= 1)]) = 0 AS generic_praise,
       len(regexp_extract_all(everything, {WORD_SQL})) >= 60 AND len(regexp_extract_all(everything, {_str("(?m)" + signals.STEPS)}, 0, 'i')) >= 2 AS substantive,
       {", ".join(f"{_distinct(p)} AS n_{n}" for n, p in signals.LISTS.items())} FROM ({LITERAL_TEXTS})""",
+    "text_signal_lists": f"""SELECT doc_id, len(regexp_extract_all(everything, '(^|[^\\w@])@\\w{{2,}}')) AS mentions, len(regexp_extract_all(everything, '(^|[^\\w#])#[\\p{{L}}\\p{{N}}_]{{2,}}')) AS hashtags,
+      {", ".join(f"array_to_string({_firsts(p)}, '|') AS {n}" for n, p in signals.LISTS.items())} FROM ({LITERAL_TEXTS})""",
     "document_signals": f"""SELECT source, sum({RULE_COUNT.replace('everything', 'text') % (_str(signals.LINK), 'i')}) AS links,
       count(*) FILTER (length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 20 AND {_r3("length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0)")} >= 0.5) AS shouting,
       count(*) FILTER ({_any(signals.URGENCY, 'text')}) AS urgent FROM documents GROUP BY source""",
-    "target_urls": f"""WITH x AS (SELECT raw, trim(raw) AS u FROM ({URL_ROWS}) AS v(raw)), y AS (SELECT *, regexp_matches(u, {_str(targets.X_HOME)}) AS xh, regexp_matches(u, {_str(targets.LINKEDIN_HOME)}) AS lh,
+    "target_urls": f"""WITH x AS (SELECT page_id, raw, trim(raw) AS u FROM ({URL_ROWS})), y AS (SELECT *, regexp_matches(u, {_str(targets.X_HOME)}) AS xh, regexp_matches(u, {_str(targets.LINKEDIN_HOME)}) AS lh,
       regexp_matches(u, {_str(targets.X_POST)}) AS xp, regexp_matches(u, {_str(targets.LINKEDIN_POST)}) AS lp FROM x)
-      SELECT raw, CASE WHEN xh OR xp THEN 'X' WHEN lh OR lp THEN 'LinkedIn' END AS site, CASE WHEN xh THEN 'https://x.com/home' WHEN lh THEN 'https://www.linkedin.com/feed/'
+      SELECT page_id, raw, CASE WHEN xh OR xp THEN 'X' WHEN lh OR lp THEN 'LinkedIn' END AS site, CASE WHEN xh THEN 'https://x.com/home' WHEN lh THEN 'https://www.linkedin.com/feed/'
       WHEN xp THEN 'https://x.com/' || regexp_extract(u, {_str(targets.X_POST)}, 1) || '/status/' || regexp_extract(u, {_str(targets.X_POST)}, 2) WHEN lp THEN 'https://www.linkedin.com/' || regexp_extract(u, {_str(targets.LINKEDIN_POST)}, 1) || '/' END AS url,
       CASE WHEN xh OR lh THEN true WHEN xp OR lp THEN false END AS feed, {" OR ".join(f"regexp_matches(raw, {_str(p)})" for p in targets.LOGIN)} AS login FROM y""",
-    "profile_handles": f"""SELECT href, CASE WHEN regexp_matches(href, '/in/[^/?#]+') THEN url_decode(regexp_extract(href, '/in/([^/?#]+)', 1)) WHEN regexp_matches(href, '/company/[^/?#]+') THEN 'company-' || url_decode(regexp_extract(href, '/company/([^/?#]+)', 1)) END AS handle FROM ({URL_ROWS}) AS v(href)""",
-    "item_times": f"""WITH x AS (SELECT id::VARCHAR AS id, relative::VARCHAR AS relative, try_cast(id AS BIGINT) // 4194304 AS ms FROM ({_values(fixtures.TIMES)}) AS v(id, relative)), y AS (SELECT *, regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 1, 'i') AS n, lower(regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 2, 'i')) AS u FROM x)
-      SELECT id, relative, CASE WHEN ms > 1325376000000 AND ms < 1767225600000 + 86400000 THEN ms ELSE 1767225600000 - coalesce(CASE WHEN n <> '' THEN n::BIGINT * 1000 * CASE u {" ".join(f"WHEN '{k}' THEN {v}" for k, v in targets.UNIT_SECONDS.items())} END END, 0) END AS ms FROM y""",
-    "threshold_labels": f"SELECT p, {_labels(0.4, 0.65, 'p')} AS label, {_labels(0.2, 0.9, 'p')} AS wide FROM (SELECT id / 100.0::DOUBLE AS p FROM range(0, 101) AS v(id))",
-    "duration_texts": """SELECT n, CASE WHEN n < 90 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', floor(n / 3600.0::DOUBLE * 10 + 0.5) / 10) END AS duration,
-      CASE WHEN n % 5 = 0 THEN 'account metadata not available' WHEN n >= 365 THEN printf('%.1f years old', floor(n / 365.0::DOUBLE * 10 + 0.5) / 10) ELSE n || ' days old' END AS age FROM (SELECT id * 97 AS n FROM range(0, 200) AS v(id))""",
+    "profile_handles": f"""SELECT page_id, CASE WHEN regexp_matches(raw, '/in/[^/?#]+') THEN url_decode(regexp_extract(raw, '/in/([^/?#]+)', 1)) WHEN regexp_matches(raw, '/company/[^/?#]+') THEN 'company-' || url_decode(regexp_extract(raw, '/company/([^/?#]+)', 1)) END AS handle FROM ({URL_ROWS})""",
+    "item_times": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ((1600000000000 + doc_id * 60000) * 4194304 + doc_id) // 4194304 WHEN doc_id % 4 = 1 THEN doc_id // 4194304 END AS ms, {_str([r for _, r in fixtures.TIMES])}[doc_id % {len(fixtures.TIMES)} + 1] AS relative FROM documents), y AS (SELECT *, regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 1, 'i') AS n, lower(regexp_extract(trim(relative), '^(\\d+)\\s*(mo|yr|s|m|h|d|w|y)', 2, 'i')) AS u FROM x)
+      SELECT doc_id, CASE WHEN ms > 1325376000000 AND ms < 1767225600000 + 86400000 THEN ms ELSE 1767225600000 - coalesce(CASE WHEN n <> '' THEN n::BIGINT * 1000 * CASE u {" ".join(f"WHEN '{k}' THEN {v}" for k, v in targets.UNIT_SECONDS.items())} END END, 0) END AS ms FROM y""",
+    "threshold_labels": f"SELECT event_id, p, {_labels(0.4, 0.65, 'p')} AS label, {_labels(0.2, 0.9, 'p')} AS wide FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) % 101 / 100.0::DOUBLE AS p FROM events)",
+    "duration_texts": """SELECT o_orderkey, n, CASE WHEN n < 90 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', floor(n / 3600.0::DOUBLE * 10 + 0.5) / 10) END AS duration,
+      CASE WHEN n % 5 = 0 THEN 'account metadata not available' WHEN n >= 365 THEN printf('%.1f years old', floor(n / 365.0::DOUBLE * 10 + 0.5) / 10) ELSE n || ' days old' END AS age FROM (SELECT o_orderkey, o_orderkey * 97 % 20000 AS n FROM orders)""",
     "sent_texts": "SELECT doc_id, length(coalesce(nullif(left(text, 5000), ''), '(post without text)')) AS sent FROM documents",
     "stored_tables": """SELECT conv_id AS analysis_id, name, count(*) AS n FROM (SELECT conv_id, 'analysis' AS name FROM sc UNION ALL SELECT conv_id, 'post' FROM nq UNION ALL SELECT conv_id, 'account' FROM c
       UNION ALL SELECT conv_id, 'reply' FROM r UNION ALL SELECT conv_id, 'pattern' FROM pt UNION ALL SELECT conv_id, 'cluster' FROM cl UNION ALL SELECT conv_id, 'posted' FROM r UNION ALL SELECT conv_id, 'replies_to' FROM r
@@ -403,20 +442,25 @@ SELECTS: dict[str, str] = {
     "validation_report": "SELECT conv_id, 0 AS duplicate_ids, count(*) FILTER (e < 1704067200) AS early, 0 AS two_names, 0 AS reused FROM r GROUP BY conv_id",
     "document_violations": """SELECT CAST(conv_id AS VARCHAR) AS conv_id, (count(*) > 400)::INT + bool_or(trim(text) = '' OR length(text) > 5000)::INT AS n,
       array_to_string([x FOR x IN [CASE WHEN count(*) > 400 THEN 'replies must number 1 to 400' END, CASE WHEN bool_or(trim(text) = '' OR length(text) > 5000) THEN 'replies.text must have 1 to 5000 characters' END] IF x IS NOT NULL], '; ') AS problem FROM conversations GROUP BY conv_id""",
-    "retention_keep": f"SELECT x.*, demo OR running OR coalesce(k <= 20, false) AS kept FROM {ANALYSIS_ROWS} x LEFT JOIN (SELECT analysis_id, row_number() OVER (ORDER BY created_at DESC, analysis_id) AS k FROM {ANALYSIS_ROWS} WHERE NOT demo AND NOT running) USING (analysis_id)",
-    "analysis_status": f"SELECT analysis_id, CASE WHEN running THEN 'COMPARING' ELSE 'COMPLETE' END AS status, CASE WHEN running THEN 5 ELSE 9 END AS replies, CASE WHEN running THEN 2 ELSE 4 END AS accounts FROM {ANALYSIS_ROWS} WHERE running OR NOT demo",
-    "stored_ids": f"SELECT substr(name, 6) AS analysis_id FROM ({_values([(n,) for n in fixtures.GRAPH_NAMES])}) AS v(name) WHERE regexp_full_match(name, 'lens_[a-f0-9]{{32}}')",
+    "retention_keep": f"SELECT x.* EXCLUDE n, demo OR running OR coalesce(k <= 30, false) AS kept FROM {ANALYSIS_ROWS} x LEFT JOIN (SELECT analysis_id, row_number() OVER (ORDER BY created_at DESC, analysis_id) AS k FROM {ANALYSIS_ROWS} WHERE NOT demo AND NOT running) USING (analysis_id)",
+    "analysis_status": f"SELECT analysis_id, CASE WHEN running THEN 'COMPARING' ELSE 'COMPLETE' END AS status, n % 50 + CASE WHEN running THEN 0 ELSE 100 END AS replies, n % 7 + CASE WHEN running THEN 0 ELSE 10 END AS accounts FROM {ANALYSIS_ROWS} WHERE running OR NOT demo",
+    "stored_ids": f"""SELECT substr(name, 6) AS analysis_id FROM (SELECT CASE n % 4 WHEN 0 THEN 'lens_' || analysis_id WHEN 1 THEN 'lens_' || upper(analysis_id) WHEN 2 THEN 'lens_' || left(analysis_id, 31) ELSE 'other_' || analysis_id END AS name FROM {ANALYSIS_ROWS})
+      WHERE regexp_full_match(name, 'lens_[a-f0-9]{{32}}')""",
     "customer_totals": """SELECT c_custkey, c_mktsegment, CASE WHEN n_orders IS NULL THEN c_acctbal ELSE most END AS c_acctbal, n_orders FROM customer
       LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS most, count(*) AS n_orders FROM orders GROUP BY ALL) ON o_custkey = c_custkey""",
-    "completed_analyses": f"SELECT *, CASE WHEN NOT running THEN created_at % 7 / 7.0::DOUBLE END AS score, NOT running AS complete FROM {ANALYSIS_ROWS}",
+    "completed_analyses": f"SELECT * EXCLUDE n, CASE WHEN NOT running THEN created_at % 7 / 7.0::DOUBLE END AS score, NOT running AS complete FROM {ANALYSIS_ROWS}",
     "reset_ids": f"SELECT analysis_id FROM {ANALYSIS_ROWS} WHERE demo OR running",
     "scan_merge": f"SELECT conv_id, pos, id, handle, text, sec AS created_at FROM {MERGED_SQL}",
-    "finished_thread": f"""WITH m AS (SELECT *, lower(handle) AS account_id FROM {MERGED_SQL}) SELECT m.conv_id, m.account_id, pos, id AS reply_id, text, greatest(sec, CASE m.conv_id WHEN 't1' THEN 100 ELSE 50 END) AS created_at, username
+    "finished_thread": f"""WITH m AS (SELECT *, lower(handle) AS account_id FROM {MERGED_SQL}) SELECT m.conv_id, m.account_id, pos, id AS reply_id, text, greatest(sec, 1704067200) AS created_at, username
       FROM m JOIN (SELECT conv_id, account_id, arg_min(handle, pos) AS username FROM m GROUP BY ALL) USING (conv_id, account_id)""",
     "finished_feed": f"""SELECT conv_id, 'feed' AS kind, 'feed-1704104430' AS post_id, 'your X feed' AS author, 'Your X feed: ' || count(*) || ' posts from ' || count(DISTINCT lower(handle)) || ' accounts, captured 2024-01-01 10:20 UTC' AS text, min(sec) - 1 AS created_at FROM {MERGED_SQL} GROUP BY conv_id""",
-    "stream_merge": "SELECT CAST(n_chars % 32 AS VARCHAR) AS conv_id, least(400, count(*) FILTER (trim(text) <> '')) AS items FROM documents GROUP BY ALL",
+    "stream_merge": "SELECT doc_id % 32 || '-' || doc_id // 9600 AS conv_id, count(DISTINCT doc_id) AS items FROM documents WHERE trim(text) <> '' GROUP BY ALL",
+    "page_items": """SELECT CAST(conv_id AS VARCHAR) AS page, CASE WHEN conv_id % 4 = 2 THEN 'item' WHEN turn = 0 THEN 'post' ELSE 'reply' END AS role, CAST(turn AS INTEGER) AS item,
+      CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 1000 + turn ELSE 1704067200000 * 4194304 + conv_id * 1000 + turn END AS VARCHAR) AS id, role AS handle, text,
+      CASE WHEN conv_id % 2 = 0 THEN 1704067200000 + turn * 1000 ELSE 1704067200000 + (conv_id * 1000 + turn) // 4194304 END AS created_at FROM conversations""",
     "scorer_fallback": "SELECT 'uncertain' AS label, 'HEURISTIC_FALLBACK' AS source, count(*) AS n, max(least(0.3, confidence)) AS most FROM c",
 }
+SELECTS["spam_floor"] = _spam_sql().replace("%s", SELECTS["text_signals"])
 
 
 def oracles() -> dict[str, str]:

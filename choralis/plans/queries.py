@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -102,7 +100,7 @@ def _(a):
 @query
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = v.select((F.col("vec_id") % 64).alias("conv_id"), F.floor(F.col("vec_id") / 64).alias("pos"), "embedding")
+    rows = v.select(F.floor(F.col("vec_id") / 64).alias("conv_id"), (F.col("vec_id") % 64).alias("pos"), "embedding")  # blocks that grow in number
     return similarity.embedding_pairs(rows).select("conv_id", "i", "j", round3(F.col("sim")).alias("sim"))
 
 
@@ -533,29 +531,43 @@ def _(a):
 # -- signals and literal rows
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.SIGNAL_TEXTS, "name string, texts array<string>, parent string")
+def _dealt(rows: list, key: str) -> Column:
+    """One of the rows for each key, in turn."""
+    return F.element_at(F.array(*[F.lit(x) for x in rows]), (F.col(key) % len(rows) + 1).cast("int"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, texts, parent: an account for each document, that posts one of the sample texts and then the whole document,
+    or, in every second round of samples, the sample alone with the document's source behind it."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("k", (F.col("doc_id") % len(fixtures.SIGNAL_TEXTS)).cast("int"))
+    told = spark.createDataFrame([(k, t, p) for k, (_, t, p) in enumerate(fixtures.SIGNAL_TEXTS)], "k int, said array<string>, parent string")
+    both = d.join(F.broadcast(told), "k")
+    alone = F.concat(F.slice("said", 1, F.size("said") - 1), F.array(F.concat(F.element_at("said", -1), F.lit(" "), F.coalesce("source", F.lit("")))))
+    texts = F.when(F.floor(F.col("doc_id") / len(fixtures.SIGNAL_TEXTS)) % 2 == 0, F.concat("said", F.array(F.coalesce("text", F.lit(""))))).otherwise(alone)
+    return both.select("doc_id", texts.alias("texts"), "parent")
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", signals.text_signals(F.col("texts"), F.col("parent")).alias("signals"))
 
 
 @query
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, flags and numbers of distinct matches."""
-    s = _texts(spark).select("name", signals.text_signals(F.col("texts"), F.col("parent")).alias("s"))
     plain = ("emojis", "emoji_density", "links", "uppercase_ratio", "thread_hook", "parent_overlap", "generic_praise", "substantive")
-    return s.select("name", *[F.col(f"s.{c}").alias(c) for c in plain], *[F.size(f"s.{c}").alias(f"n_{c}") for c in signals.LISTS])
+    lists = [F.size(f"signals.{c}").alias(f"n_{c}") for c in signals.LISTS]
+    return _signals(spark, sf_dir).select("doc_id", *[F.col(f"signals.{c}").alias(c) for c in plain], *lists)
 
 
 @query
 def text_signal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _texts(spark).select("name", signals.text_signals(F.col("texts"), F.col("parent")).alias("s"))
-    return s.select("name", "s.mentions", "s.hashtags", *[F.array_join(f"s.{c}", "|").alias(c) for c in signals.LISTS])
+    return _signals(spark, sf_dir).select("doc_id", "signals.mentions", "signals.hashtags", *[F.array_join(f"signals.{c}", "|").alias(c) for c in signals.LISTS])
 
 
 @query
 def spam_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _texts(spark).select("name", signals.text_signals(F.col("texts"), F.col("parent")).alias("signals"))
     cats = [classify.category(F.lit(x)).alias(f"category_{x}") for x in classify.LABELS]
-    return s.select("name", round3(classify.spam_floor()).alias("spam"), *cats)
+    return _signals(spark, sf_dir).select("doc_id", round3(classify.spam_floor()).alias("spam"), *cats)
 
 
 @query
@@ -566,36 +578,47 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.sum("links").alias("links"), F.count_if("loud").alias("shouting"), F.count_if("urgent").alias("urgent"))
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address for each page, in one of the sample forms, under a name of the page's own."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", F.replace(_dealt(fixtures.URLS, "page_id"), F.lit("jane"), F.concat(F.lit("u"), "page_id")).alias("raw"))
+
+
 @query
 def target_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(u,) for u in fixtures.URLS], "raw string").withColumn("t", targets.target(F.col("raw")))
-    return rows.select("raw", "t.site", "t.url", "t.feed", targets.login_required(F.col("raw")).alias("login"))
+    rows = _addresses(spark, sf_dir).withColumn("t", targets.target(F.col("raw")))
+    return rows.select("page_id", "raw", "t.site", "t.url", "t.feed", targets.login_required(F.col("raw")).alias("login"))
 
 
 @query
 def profile_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(u,) for u in fixtures.URLS], "href string")
-    return rows.select("href", targets.handle(F.col("href")).alias("handle"))
+    return _addresses(spark, sf_dir).select("page_id", targets.handle(F.col("raw")).alias("handle"))
 
 
 @query
 def item_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of ids made of the documents': with a time in the high bits, too small, missing or no number."""
     now = F.timestamp_seconds(F.lit(1767225600))
-    rows = spark.createDataFrame(fixtures.TIMES, "id string, relative string")
-    return rows.select("id", "relative", F.unix_millis(targets.created_at(F.col("id"), F.col("relative"), now)).alias("ms"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = ((F.lit(1_600_000_000_000) + F.col("doc_id") * 60_000) * 4_194_304 + F.col("doc_id")).cast("string")
+    kind = F.col("doc_id") % 4
+    made = F.when(kind == 0, whole).when(kind == 1, F.col("doc_id").cast("string")).when(kind == 2, F.concat(F.lit("n"), "doc_id"))
+    rows = d.select("doc_id", made.alias("id"), _dealt([r for _, r in fixtures.TIMES], "doc_id").alias("relative"))
+    return rows.select("doc_id", F.unix_millis(targets.created_at(F.col("id"), F.col("relative"), now)).alias("ms"))
 
 
 @query
 def threshold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the hundredths of events' values."""
     t = Thresholds()
-    p = spark.range(0, 101).select((F.col("id") / 100.0).alias("p"))
-    return p.select("p", label(F.col("p"), t.human, t.automation).alias("label"), label(F.col("p"), 0.2, 0.9).alias("wide"))
+    p = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.floor(F.col("value") * 100) % 101 / 100.0).alias("p"))
+    return p.select("event_id", "p", label(F.col("p"), t.human, t.automation).alias("label"), label(F.col("p"), 0.2, 0.9).alias("wide"))
 
 
 @query
 def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(0, 200).select((F.col("id") * 97).alias("n"))
-    return n.select("n", views.duration_text(F.col("n")).alias("duration"), views.age_text(F.when(F.col("n") % 5 != 0, F.col("n"))).alias("age"))
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 97 % 20_000).alias("n"))
+    return n.select("o_orderkey", "n", views.duration_text(F.col("n")).alias("duration"), views.age_text(F.when(F.col("n") % 5 != 0, F.col("n"))).alias("age"))
 
 
 @query
@@ -649,23 +672,35 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.substring("post_id", 2, 40).alias("conversation"), "pos", "reply_id", "account_id", "text", epoch(F.col("created_at")).alias("created_at"))
 
 
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as analyses: some of the demo, some running."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    created = F.unix_date(F.col("o_orderdate").cast("date")) * F.lit(86_400).cast("long") + key % 86_400
+    return o.select(F.md5(key.cast("string").cast("binary")).alias("analysis_id"), created.alias("created_at"), (key % 11 == 0).alias("demo"), (key % 13 == 0).alias("running"), key.alias("n"))
+
+
 @query
 def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
-    return store.kept_analyses(rows, 20)
+    return store.kept_analyses(_analyses(spark, sf_dir).drop("n"), Config().retention)
 
 
 @query
 def analysis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
-    runs = rows.where("running").select("analysis_id", F.lit("COMPARING").alias("status"), F.lit(5).alias("replies"), F.lit(2).alias("accounts"))
-    stored = rows.where("not demo").select("analysis_id", F.lit("COMPLETE").alias("status"), F.lit(9).alias("replies"), F.lit(4).alias("accounts"))
+    """Running analyses by their run, also where an older one is stored; the others as stored."""
+    rows = _analyses(spark, sf_dir)
+    runs = rows.where("running").select("analysis_id", F.lit("COMPARING").alias("status"), (F.col("n") % 50).alias("replies"), (F.col("n") % 7).alias("accounts"))
+    stored = rows.where("not demo").select("analysis_id", F.lit("COMPLETE").alias("status"), (F.col("n") % 50 + 100).alias("replies"), (F.col("n") % 7 + 10).alias("accounts"))
     return store.status(runs, stored)
 
 
 @query
 def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.stored_ids(spark.createDataFrame([(n,) for n in fixtures.GRAPH_NAMES], "name string"))
+    """Which of the names made of the analyses' ids are those of stored graphs."""
+    a = _analyses(spark, sf_dir)
+    i, k = F.col("analysis_id"), F.col("n") % 4
+    name = F.when(k == 0, F.concat(F.lit("lens_"), i)).when(k == 1, F.concat(F.lit("lens_"), F.upper(i))).when(k == 2, F.concat(F.lit("lens_"), F.substring(i, 1, 31)))
+    return store.stored_ids(a.select(name.otherwise(F.concat(F.lit("other_"), i)).alias("name")))
 
 
 @query
@@ -678,23 +713,43 @@ def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def completed_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
+    rows = _analyses(spark, sf_dir).drop("n")
     return store.completed(rows, rows.where("not running").select("analysis_id", (F.col("created_at") % 7 / 7.0).alias("score")))
 
 
 @query
 def reset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.ANALYSES, "analysis_id string, created_at long, demo boolean, running boolean")
+    rows = _analyses(spark, sf_dir).drop("n")
     return store.reset_ids(rows, rows.where("not running"))
 
 
 # -- pages, streams, scorers
 
 
+def _saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages of the two sites: even ones as a thread or a feed of posts, odd ones as a post with comments."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    text = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    time = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(1704067200) + F.col("turn")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    tweet = F.format_string(
+        '<article data-testid="tweet"><a href="/%s/status/%s"><time datetime="%s"></time></a><div data-testid="tweetText">%s</div></article>', "role", F.col("conv_id") * 1000 + F.col("turn"), time, text
+    )
+    made = F.lit(1_704_067_200_000) * 4_194_304 + F.col("conv_id") * 1000
+    who = F.format_string('<a class="update-components-actor__meta-link" href="/in/%s">%s</a><div class="update-components-text">%s</div>', "role", "role", text)
+    comment = F.format_string('<article data-id="urn:li:comment:(activity:%s,%s)">%s</article>', made, made + F.col("turn"), who)
+    html = F.when(F.col("conv_id") % 2 == 0, tweet).when(F.col("turn") == 0, who).otherwise(comment)
+    pages = t.withColumn("html", html).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    odd = F.col("conv_id") % 2 == 1
+    reader = F.when(odd, "linkedin_thread").when(F.col("conv_id") % 4 == 0, "x_thread").otherwise("x_feed")
+    card = F.concat(F.format_string('<div data-urn="urn:li:activity:%s">', made), "html", F.lit("</div>"))
+    thread = F.when(odd, made.cast("string")).when(F.col("conv_id") % 4 == 0, (F.col("conv_id") * 1000).cast("string"))
+    return pages.select(F.col("conv_id").alias("page"), reader.alias("reader"), thread.alias("thread_id"), F.when(odd, card).otherwise(F.col("html")).alias("html"), F.timestamp_seconds(F.lit(1767225600)).alias("now"))
+
+
 @query
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.PAGES, "page string, reader string, thread_id string, html string")
-    return pages.read_pages(rows.withColumn("now", F.timestamp_seconds(F.lit(1767225600))))
+    """Posts and replies that the readers find in the pages made of conversations."""
+    return pages.read_pages(_saved_pages(spark, sf_dir)).withColumn("created_at", F.unix_millis("created_at"))
 
 
 @query
@@ -702,19 +757,27 @@ def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_outline(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _scans(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(fixtures.SCANS, "conv_id string, seq long, focal boolean, id string, handle string, text string, at long")
-    return rows.select("conv_id", "seq", "focal", "id", "handle", "text", F.timestamp_seconds("at").alias("created_at"))
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as two scans that overlap: the first turn is the post; some texts only come with the second scan, which
+    words others anew, and some turns are earlier than the post."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn is not null")
+    at = F.timestamp_seconds(1704067200 + F.col("turn") * 10 - F.when(F.col("turn") % 4 == 2, 100).otherwise(0))
+
+    def scan(first: int, handle: Column, text: Column) -> DataFrame:
+        return t.select(F.col("conv_id").cast("string"), (F.col("turn") + first).cast("long").alias("seq"), (F.col("turn") == 0).alias("focal"), F.concat(F.lit("t"), "turn").alias("id"), handle.alias("handle"), text.alias("text"), at.alias("created_at"))
+
+    one = scan(0, F.col("role"), F.when(F.col("turn") % 5 != 3, F.col("text")).otherwise(""))
+    return one.unionByName(scan(1_000_000, F.upper("role"), F.concat(F.lit("again "), "text")))
 
 
 @query
 def scan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.merge_batch(_scans(spark)).withColumn("created_at", F.unix_timestamp("created_at"))
+    return capture.merge_batch(_scans(spark, sf_dir)).withColumn("created_at", F.unix_timestamp("created_at"))
 
 
 @query
 def finished_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _scans(spark)
+    items = _scans(spark, sf_dir)
     post = items.where("focal").groupBy("conv_id").agg(F.max_by(F.struct("id", "handle", "text", "created_at"), "seq").alias("p")).select("conv_id", "p.*")
     posts, replies, accounts = capture.finish_thread(post, capture.merge_batch(items))
     return replies.join(accounts.select("conv_id", "account_id", "username"), ["conv_id", "account_id"]).withColumn("created_at", F.unix_timestamp("created_at"))
@@ -722,51 +785,37 @@ def finished_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def finished_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, _, _ = capture.finish_feed(capture.merge_batch(_scans(spark)), "X", F.timestamp_seconds(F.lit(1704104430)))
+    posts, _, _ = capture.finish_feed(capture.merge_batch(_scans(spark, sf_dir)), "X", F.timestamp_seconds(F.lit(1704104430)))
     return posts.withColumn("created_at", F.unix_timestamp("created_at"))
 
 
 @query
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of scanned items, merged with state; each id is seen once."""
+    """Documents as a stream of scanned items, merged with state; each id is seen once. Conversations are of 300 ids, below
+    the cap, and grow in number; what the stream merges is written where all tasks write."""
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
     items = source.select(
-        (F.col("n_chars") % 32).cast("string").alias("conv_id"), F.col("doc_id").alias("seq"), F.lit(False).alias("focal"), F.concat(F.lit("d"), "doc_id").alias("id"),
+        F.concat_ws("-", F.col("doc_id") % 32, F.floor(F.col("doc_id") / 9_600)).alias("conv_id"), F.col("doc_id").alias("seq"), F.lit(False).alias("focal"), F.concat(F.lit("d"), "doc_id").alias("id"),
         F.col("source").alias("handle"), "text", F.timestamp_seconds("doc_id").alias("created_at"),
     )
-    name = f"merged_{uuid.uuid4().hex}"
-    at = settle.fresh_path(spark, name)
-    capture.merge_scans(items, idle_ms=None).writeStream.format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("conv_id").agg(F.count("*").alias("items"))
-
-
-def _answer(spam: str = "none", p_spam: float = 1.0, **yes: float) -> str:
-    kinds = classify.QUESTIONS["spamType"]
-    rest = (1 - p_spam) / (len(kinds) - 1)
-    answers = {q: {"type": "noul", "noul": yes.get(q, 0.1)} for q in classify.YES_NO}
-    auto = yes.get("automated", 0.3)
-    answers["automation"] = {"type": "choice", "choice": "automated" if auto >= 0.5 else "human", "probabilities": {"automated": auto, "human": 1 - auto}, "confidence": 0.8}
-    answers["spamType"] = {"type": "choice", "choice": spam, "probabilities": {k: p_spam if k == spam else rest for k in kinds}}
-    return json.dumps({"answers": answers})
-
-
-TYPED = [
-    ("plain", _answer()), ("ai", _answer(aiGenerated=0.8)), ("useful", _answer(aiGenerated=0.7, informative=0.9)), ("scam", _answer("airdrop_scam", 0.97)),
-    ("thin", _answer(tooLittleText=0.9)), ("advert", _answer(promotional=0.7)), ("farm", _answer(contentFarm=0.7)), ("bait", _answer("engagement_bait", 0.9)),
-    ("milestone", _answer(milestone=0.9)), ("automated", _answer(automated=0.9, sharedPattern=0.8, repetition=0.8)), ("bad", '{"answers": {}}'),
-]
+    out = settle.fresh_path(spark, "merged")
+    merged = capture.merge_scans(items, idle_ms=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    merged.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("conv_id").agg(F.count("*").alias("items"))
 
 
 @query
 def typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for name, a in TYPED:
-        try:
-            x = classify.map_typed_answers(a)
-            rows.append((name, x["label"], x["automation"], x["confidence"], x["category"]))
-        except classify.BadAnswer:
-            rows.append((name, None, None, None, None))
-    return spark.createDataFrame(rows, "name string, label string, automation double, confidence double, category string")
+    """Typed answers made of the documents' ids, mapped in tasks; every thirteenth breaks the contract."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    kinds, n = classify.QUESTIONS["spamType"], F.col("doc_id")
+    yes = {q: F.struct(F.lit("noul").alias("type"), F.when((n + 7 * i) % 17 < 2, 0.9).otherwise(0.1).alias("noul")) for i, q in enumerate(classify.YES_NO)}
+    auto = n % 97 / 96.0
+    choice = F.struct(F.lit("choice").alias("type"), F.when(auto >= 0.5, "automated").otherwise("human").alias("choice"), F.struct(auto.alias("automated"), (1 - auto).alias("human")).alias("probabilities"), F.lit(0.8).alias("confidence"))
+    chosen = _dealt(list(kinds), "doc_id")
+    spam = F.struct(F.lit("choice").alias("type"), chosen.alias("choice"), F.struct(*[F.when(chosen == k, 0.9).otherwise(0.1 / (len(kinds) - 1)).alias(k) for k in kinds]).alias("probabilities"))
+    answer = F.to_json(F.struct(F.struct(choice.alias("automation"), spam.alias("spamType"), *[c.alias(q) for q, c in yes.items()]).alias("answers")))
+    return classify.mapped_answers(d.select("doc_id", F.when(n % 13 == 5, '{"answers": {}}').otherwise(answer).alias("answer")), "answer")
 
 
 @query

@@ -236,7 +236,7 @@ READERS: dict[str, Callable[[Node, str | None], list[dict]]] = {
     "linkedin_feed": lambda root, _: linkedin_feed(root),
     "linkedin_thread": lambda root, thread: linkedin_thread(root, thread or ""),
 }
-ITEM = "page string, role string, item int, id string, handle string, text string, time string, relative string"
+ITEM = "page string, role string, item int, id string, handle string, text string, time string, relative string, now long"
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -249,13 +249,13 @@ def read_pages(pages: DataFrame) -> DataFrame:
         names = ["id", "handle", "text", "time", "relative"]
         for rows in frames:
             out = []
-            for page, reader, thread, html in zip(rows["page"], rows["reader"], rows["thread_id"], rows["html"], strict=True):
+            for page, reader, thread, html, now in zip(rows["page"], rows["reader"], rows["thread_id"], rows["html"], rows["now"], strict=True):
                 for k, x in enumerate(READERS[reader](tree(html), thread)):
-                    out.append([page, x["role"], k, *(x[n] for n in names)])
-            yield pd.DataFrame(out, columns=["page", "role", "item", *names])
+                    out.append([page, x["role"], k, *(x[n] for n in names), now])
+            yield pd.DataFrame(out, columns=["page", "role", "item", *names, "now"])
 
-    items = pages.select(F.col("page").cast("string"), "reader", "thread_id", "html").mapInPandas(run, ITEM)
-    items = items.join(pages.select(F.col("page").cast("string"), "now"), "page")
+    told = pages.select(F.col("page").cast("string"), "reader", "thread_id", "html", F.unix_micros("now").alias("now"))
+    items = told.mapInPandas(run, ITEM).withColumn("now", F.timestamp_micros("now"))
     at = F.coalesce(F.col("time").try_cast("timestamp"), targets.created_at(F.col("id"), F.col("relative"), F.col("now")))
     items = items.withColumn("created_at", at)
     posted = items.where("role = 'post'").select("page", F.col("created_at").alias("posted_at"))
