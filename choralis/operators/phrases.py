@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from choralis.config import Config
+from choralis.functions.settle import kept
 from choralis.functions.text import contentful, shingles
 
 
@@ -15,6 +16,20 @@ def trigrams(words: DataFrame) -> DataFrame:
     return runs.where(contentful(F.col("trigram")))
 
 
+def candidate_trigrams(words: DataFrame, config: Config) -> DataFrame:
+    """Those of trigrams(words) that enough accounts may share. Runs of three words are counted by hash before anything is
+    collected: of a hash that fewer accounts have no trigram can be shared, and nearly all have one account."""
+    last = F.size("words") - 3
+    h = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    long = words.where(last >= 0).withColumn("h", h)
+    each = long.select("conv_id", F.xxhash64("account_id").alias("who"), F.explode(F.array_distinct("h")).alias("h"))
+    often = each.groupBy("conv_id", "h").agg(F.count_distinct("who").alias("n")).where(F.col("n") >= config.min_phrase_accounts).select("conv_id", "h")
+    spots = long.select("conv_id", "pos", F.posexplode("h").alias("at", "h")).join(often, ["conv_id", "h"], "left_semi").drop("h")
+    told = spots.join(words.select("conv_id", "pos", "reply_id", "account_id", "words"), ["conv_id", "pos"])
+    trigram = F.array_join(F.slice("words", F.col("at") + 1, 3), " ")
+    return told.select("conv_id", "pos", "reply_id", "account_id", "at", trigram.alias("trigram")).where(contentful(F.col("trigram")))
+
+
 def shared_trigrams(runs: DataFrame, config: Config) -> DataFrame:
     """conv_id, trigram, reply_set (sorted), accounts, first: of trigrams that enough accounts use."""
     few = runs.groupBy("conv_id", "trigram").agg(
@@ -30,8 +45,8 @@ def patterns(words: DataFrame, config: Config) -> DataFrame:
 
     Trigrams with one set of replies are laid over the least reply's words; runs of covered words are the phrases.
     """
-    runs = trigrams(words)
-    shared = shared_trigrams(runs, config)
+    runs = kept(candidate_trigrams(words, config), "trigrams")
+    shared = kept(shared_trigrams(runs, config), "shared_trigrams")
     group = shared.groupBy("conv_id", "reply_set").agg(F.min("first").alias("first"), F.first("accounts").alias("account_count"))
     spots = shared.withColumn("reply_id", F.element_at("reply_set", 1)).select("conv_id", "reply_set", "reply_id", "trigram")
     spots = spots.join(runs.select("conv_id", "reply_id", "trigram", "at"), ["conv_id", "reply_id", "trigram"])

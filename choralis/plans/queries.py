@@ -153,7 +153,7 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @over("repeated_trigrams")
 def _(a):
-    found = phrases.shared_trigrams(phrases.trigrams(a.words), a.config)
+    found = phrases.shared_trigrams(phrases.candidate_trigrams(a.words, a.config), a.config)
     return found.select("conv_id", "trigram", "accounts", listed("reply_set").alias("replies"))
 
 
