@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from choralis.config import Config, Thresholds
 from choralis.functions.exact import clamp, label, percent, round3
 from choralis.functions.signals import BIO_POINTERS, text_signals
+from choralis.operators.answers import AnswerCache
 
 
 
@@ -372,9 +373,10 @@ def mapped_answers(rows: DataFrame, answer: str, t: Thresholds = Thresholds()) -
     return rows.mapInPandas(run, T.StructType([*held, *new]))
 
 
-def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None = None, parse: Callable[[str], dict] = parse_answer, who: str = "Scorer") -> DataFrame:
+def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None = None, parse: Callable[[str], dict] = parse_answer, who: str = "Scorer", cache: AnswerCache | None = None) -> DataFrame:
     """The heuristic where no scorer is given; else its answers, each distinct request asked once, in
-    config.scorer_partitions tasks at a time. A failure or a bad answer falls back to the heuristic, held at uncertain."""
+    config.scorer_partitions tasks at a time, and not at all where the cache has its answer. A failure or a bad answer
+    falls back to the heuristic, held at uncertain."""
     local = heuristic(asked, config)
     if scorer is None:
         return local
@@ -392,7 +394,13 @@ def scored(asked: DataFrame, config: Config, scorer: Callable[[str], str] | None
                     out.append({"payload": payload, "reason": str(e) or type(e).__name__})
             yield pd.DataFrame({n: pd.Series([x.get(n) for x in out], dtype=object) for n in ("payload", "reason", *names)})
 
-    got = local.select("payload").distinct().repartition(config.scorer_partitions, "payload").mapInPandas(ask, f"payload string, reason string, {ANSWER}")
+    def asked_all(payloads: DataFrame) -> DataFrame:
+        return payloads.repartition(config.scorer_partitions, "payload").mapInPandas(ask, f"payload string, reason string, {ANSWER}")
+
+    if cache is None:
+        got = asked_all(local.select("payload").distinct())
+    else:
+        got = cache.answered(local, asked_all, ANSWER)
     names = [f.split()[0] for f in ANSWER.split(", ")]
     both = local.join(got.select("payload", "reason", *[F.col(n).alias(f"got_{n}") for n in names]), "payload")
     ok = F.col("reason").isNull()

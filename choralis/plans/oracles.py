@@ -455,6 +455,9 @@ SELECTS: dict[str, str] = {
       FROM m JOIN (SELECT conv_id, account_id, arg_min(handle, pos) AS username FROM m GROUP BY ALL) USING (conv_id, account_id)""",
     "finished_feed": f"""SELECT conv_id, 'feed' AS kind, 'feed-1704104430' AS post_id, 'your X feed' AS author, 'Your X feed: ' || count(*) || ' posts from ' || count(DISTINCT lower(handle)) || ' accounts, captured 2024-01-01 10:20 UTC' AS text, min(sec) - 1 AS created_at FROM {MERGED_SQL} GROUP BY conv_id""",
     "stream_merge": "SELECT doc_id % 32 || '-' || doc_id // 9600 AS conv_id, count(DISTINCT doc_id) AS items FROM documents WHERE trim(text) <> '' GROUP BY ALL",
+    "stopped_capture": """WITH xd AS (SELECT doc_id % 32 || '-' || doc_id // 9600 AS conv_id, doc_id, text FROM documents), xs AS (SELECT conv_id, min(doc_id) AS stop FROM xd WHERE doc_id % 97 = 50 GROUP BY ALL)
+      SELECT conv_id, count(DISTINCT doc_id) AS items FROM xd LEFT JOIN xs USING (conv_id) WHERE trim(text) <> '' AND doc_id <= coalesce(stop, doc_id) GROUP BY ALL""",
+    "cached_answers": f"SELECT conv_id, account_id, k * 4 % 101 / 100.0::DOUBLE AS automation, {_labels(0.4, 0.65, '(k * 4 % 101 / 100.0::DOUBLE)')} AS label, 'SCORER' AS source FROM a",
     "page_items": """SELECT CAST(conv_id AS VARCHAR) AS page, CASE WHEN conv_id % 4 = 2 THEN 'item' WHEN turn = 0 THEN 'post' ELSE 'reply' END AS role, CAST(turn AS INTEGER) AS item,
       CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 1000 + turn ELSE 1704067200000 * 4194304 + conv_id * 1000 + turn END AS VARCHAR) AS id, role AS handle, text,
       CASE WHEN conv_id % 2 = 0 THEN 1704067200000 + turn * 1000 ELSE 1704067200000 + (conv_id * 1000 + turn) // 4194304 END AS created_at FROM conversations""",

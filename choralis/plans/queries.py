@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from choralis.config import Config, Thresholds
 from choralis.functions import settle, signals, text
 from choralis.functions.exact import epoch, floor_seconds, label, mean3, round3
 from choralis.operators import accounts as acc
-from choralis.operators import classify, coordination, graph, intervals, phrases, similarity, timing, views
+from choralis.operators import answers, classify, coordination, graph, intervals, phrases, similarity, timing, views
 from choralis.plans import fixtures
 from choralis.plans.analysis import Analysis
 from choralis.sources import adapters, ingest, names, pages, store, targets
@@ -789,19 +790,32 @@ def finished_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.withColumn("created_at", F.unix_timestamp("created_at"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of items, in conversations of 300 ids, below the cap, that grow in number."""
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
+    conv = F.concat_ws("-", F.col("doc_id") % 32, F.floor(F.col("doc_id") / 9_600)).alias("conv_id")
+    return source.select(conv, F.col("doc_id").alias("seq"), F.lit(False).alias("focal"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("handle"), "text", F.timestamp_seconds("doc_id").alias("created_at"))
+
+
+def _streamed(merged: DataFrame) -> DataFrame:
+    """What a finite stream merges, written where all tasks write."""
+    out = settle.fresh_path(merged.sparkSession, "merged")
+    merged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return merged.sparkSession.read.parquet(out)
+
+
 @query
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of scanned items, merged with state; each id is seen once. Conversations are of 300 ids, below
-    the cap, and grow in number; what the stream merges is written where all tasks write."""
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/documents.parquet*")
-    items = source.select(
-        F.concat_ws("-", F.col("doc_id") % 32, F.floor(F.col("doc_id") / 9_600)).alias("conv_id"), F.col("doc_id").alias("seq"), F.lit(False).alias("focal"), F.concat(F.lit("d"), "doc_id").alias("id"),
-        F.col("source").alias("handle"), "text", F.timestamp_seconds("doc_id").alias("created_at"),
-    )
-    out = settle.fresh_path(spark, "merged")
-    merged = capture.merge_scans(items, idle_ms=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
-    merged.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("conv_id").agg(F.count("*").alias("items"))
+    """Documents as a stream of scanned items, merged with state; each id is seen once."""
+    return _streamed(capture.merge_scans(_items(spark, sf_dir), idle_ms=None)).groupBy("conv_id").agg(F.count("*").alias("items"))
+
+
+@query
+def stopped_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with every 97th document the last before the user stops its conversation."""
+    items = _items(spark, sf_dir)
+    stops = _items(spark, sf_dir).where("seq % 97 = 50").select("conv_id", "seq")
+    return _streamed(capture.merge_scans(items, idle_ms=None, stops=stops)).groupBy("conv_id").agg(F.count("*").alias("items"))
 
 
 @query
@@ -824,3 +838,22 @@ def scorer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = analysis(spark, sf_dir)
     got = classify.scored(a.requests, a.config, lambda payload: "{}")
     return got.groupBy("label", "source").agg(F.count("*").alias("n"), F.max("confidence").alias("most"))
+
+
+def _by_name(payload: str) -> str:
+    """A stand-in for an external scorer, that goes by the number in an account's name."""
+    k = int((json.loads(payload)["username"] or "src0")[3:])
+    return json.dumps({"classification": "uncertain", "summary": "by name", "automationLikelihood": k * 4 % 101 / 100, "coordinationLikelihood": 0.1, "confidence": 0.5})
+
+
+def _unasked(payload: str) -> str:
+    raise RuntimeError("all answers should have been kept")
+
+
+@query
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts scored a second time, by a scorer that answers nothing, from what the first run kept."""
+    a = analysis(spark, sf_dir)
+    cache = answers.AnswerCache(settle.fresh_path(spark, "answers"), keep=1_000_000)
+    classify.scored(a.requests, a.config, _by_name, cache=cache)
+    return classify.scored(a.requests, a.config, _unasked, cache=cache).select("conv_id", "account_id", "automation", "label", "source")

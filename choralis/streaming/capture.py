@@ -45,11 +45,13 @@ def merge_items(seen: list[str], post: tuple[str, bool] | None, skipped: set[str
     return out, post
 
 
-def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int | None = 360_000) -> DataFrame:
+def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int | None = 360_000, stops: DataFrame | None = None) -> DataFrame:
     """A stream of scanned items to a stream of new posts and replies, with at most max_replies for each conversation.
 
     A conversation's state goes when nothing has come for idle_ms. It is full, and takes nothing more, at the cap, after
-    config.idle_scans scans without news, and config.capture_minutes after its first scan. idle_ms None: no timer, for streams that end (a timer keeps an availableNow stream running).
+    config.idle_scans scans without news, and config.capture_minutes after its first scan; and once the user stops it: stops
+    is a second stream (conv_id, seq), whose rows go to the same state, and what was scanned after seq is not taken, even
+    if it comes in the same batch. idle_ms None: no timer, for streams that end (a timer keeps an availableNow stream running).
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,15 +68,22 @@ def merge_scans(items: DataFrame, config: Config = Config(), idle_ms: int | None
         seen, left = [x for x in ids.split(SEP) if x], {x for x in skipped.split(SEP) if x}
         post = (post_id, post_text) if post_id else None
         rows = pd.concat(list(frames)).sort_values(["seq"], kind="stable")
+        ends = rows.loc[rows["stop"], "seq"]
+        stopped = len(ends) > 0
+        rows = rows[~rows["stop"] & (rows["seq"] <= ends.min())] if stopped else rows
         out, post = merge_items(seen, post, left, list(zip(rows["focal"], rows["id"], rows["handle"], rows["text"], rows["created_at"], strict=True)), config.max_replies)
         idle = 0 if out else idle + 1
-        full = len(seen) >= config.max_replies or idle >= config.idle_scans
+        full = stopped or len(seen) >= config.max_replies or idle >= config.idle_scans
         state.update((SEP.join(seen), post[0] if post else None, bool(post and post[1]), SEP.join(sorted(left)), idle, full, began))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["conv_id", "kind", "pos", "id", "handle", "text", "created_at"])
 
-    return items.groupBy("conv_id").applyInPandasWithState(step, MERGED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout)
+    every = items.withColumn("stop", F.lit(False))
+    if stops is not None:
+        none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns if c not in ("conv_id", "seq")]
+        every = every.unionByName(stops.select("conv_id", "seq", *none, F.lit(True).alias("stop")))
+    return every.groupBy("conv_id").applyInPandasWithState(step, MERGED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def merge_batch(items: DataFrame, config: Config = Config()) -> DataFrame:
@@ -151,6 +160,27 @@ def reanalyse(merged: DataFrame, run: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def watch(items: DataFrame, folder: str, run: Callable[[DataFrame, int], None], config: Config = Config(), stops: DataFrame | None = None) -> tuple:
+    """Captures a stream of items and analyses conversations anew as they grow: the two running queries.
+
+    The first merges scans and appends what is new to the table folder/items. The second follows that table, waits for each
+    conversation until it has been quiet for config.quiet_ms, at most config.longest_wait_ms, and then gives `run` all
+    merged rows of the conversations that are due and the number of the batch. Both keep their places in the folder, so
+    they go on where they were after a restart; a batch that is repeated gives `run` its number again.
+    """
+    spark, table = items.sparkSession, f"{folder}/items"
+    first = merge_scans(items, config, stops=stops).writeStream.format("parquet").option("path", table).option("checkpointLocation", f"{folder}/merge-state").start()
+    new = spark.readStream.schema(MERGED).parquet(f"{table}*")
+
+    def batch(df: DataFrame, n: int) -> None:
+        grown = df.select("conv_id").distinct()
+        if not grown.isEmpty():
+            run(spark.read.schema(MERGED).parquet(table).join(grown, "conv_id", "left_semi"), n)
+
+    second = due(new, config).writeStream.option("checkpointLocation", f"{folder}/due-state").foreachBatch(batch).start()
+    return first, second
+
+
 def progress(df: DataFrame, name: str = "progress") -> DataFrame:
     """df with counters of its rows and conversations, which listeners and batch observers can poll."""
     return df.observe(name, F.count("*").alias("items"), F.approx_count_distinct("conv_id").alias("conversations"))
