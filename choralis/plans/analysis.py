@@ -91,7 +91,7 @@ class Analysis:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return classify.requests(self.features, self.graph, self.accounts, self.posts, self.replies, self.similar, self.patterns)
+        return kept(classify.requests(self.features, self.graph, self.accounts, self.posts, self.replies, self.similar, self.patterns), "requests")
 
     @cached_property
     def classified(self) -> DataFrame:

@@ -188,12 +188,12 @@ PARTS["lk0"] = """SELECT conv_id, 'a:' || account_id AS a, 'r:' || reply_id AS b
 PARTS["lk"] = "SELECT conv_id, a, b, kind FROM lk0 UNION ALL SELECT conv_id, b, a, kind FROM lk0"
 PARTS["src"] = "SELECT conv_id, arg_min(account_id, first_pos) AS source FROM a GROUP BY conv_id"
 PARTS["bfs"] = "SELECT conv_id, source, 'a:' || source AS node, 0 AS n FROM src UNION SELECT bfs.conv_id, source, b, n + 1 FROM bfs JOIN lk ON lk.conv_id = bfs.conv_id AND lk.a = bfs.node WHERE n < 12"
-PARTS["far"] = "SELECT conv_id, source, node, min(n) AS n FROM bfs GROUP BY ALL"
+PARTS["dst"] = "SELECT conv_id, source, node, min(n) AS n FROM bfs GROUP BY ALL"
 PARTS["way"] = """SELECT conv_id, source, 'a:' || source AS node, ['a:' || source] AS path, 0 AS n FROM src UNION ALL SELECT way.conv_id, way.source, lk.b, min(list_append(way.path, lk.b)), way.n + 1
-  FROM way JOIN lk ON lk.conv_id = way.conv_id AND lk.a = way.node JOIN far ON far.conv_id = way.conv_id AND far.source = way.source AND far.node = lk.b AND far.n = way.n + 1 GROUP BY way.conv_id, way.source, lk.b, way.n"""
+  FROM way JOIN lk ON lk.conv_id = way.conv_id AND lk.a = way.node JOIN dst ON dst.conv_id = way.conv_id AND dst.source = way.source AND dst.node = lk.b AND dst.n = way.n + 1 GROUP BY way.conv_id, way.source, lk.b, way.n"""
 RECURSIVE = {"walk", "bfs", "way"}
 #: Parts that several others read.
-KEPT = {"r", "w", "t", "wt", "p", "d", "te", "s", "tm", "tg", "sh", "pt", "rp", "co", "dc", "cm", "g", "cl", "mb", "f", "c", "sa", "lk", "far"}
+KEPT = {"r", "w", "t", "wt", "p", "d", "te", "s", "tm", "tg", "sh", "pt", "rp", "co", "dc", "cm", "g", "cl", "mb", "f", "c", "sa", "lk", "dst"}
 
 
 def _uses(sql: str) -> set[str]:
