@@ -96,6 +96,14 @@ def test_merge_of_scans():
     assert seen == ["0", "1", "2", "3"]
 
 
+def test_repeated_pages_do_not_multiply(spark):
+    rows = spark.createDataFrame(fixtures.PAGES, "page string, reader string, thread_id string, html string").withColumn("now", F.timestamp_seconds(F.lit(1767225600)))
+    once, twice = (pages.read_pages(r).groupBy("page", "item", "id").count().collect() for r in (rows, rows.unionAll(rows.where("page = 'xf'"))))
+    n = {(r.page, r.item, r.id): r["count"] for r in once}
+    assert set(n.values()) == {1}
+    assert {(r.page, r.item, r.id): r["count"] for r in twice} == {k: 2 if k[0] == "xf" else 1 for k in n}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     items = spark.createDataFrame(fixtures.SCANS, "conv_id string, seq long, focal boolean, id string, handle string, text string, at long")
     items = items.select("conv_id", "seq", "focal", "id", "handle", "text", F.timestamp_seconds("at").alias("created_at"))
