@@ -92,7 +92,7 @@ class _Block:
         return pa.RecordBatch.from_pydict({"block": pa.array([block])} | dict(zip(names, lists, strict=True)))
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 4_000_000) -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 3_000_000) -> DataFrame:
     """A row for each block of documents that hold a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
