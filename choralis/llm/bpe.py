@@ -4,7 +4,10 @@ Many words are merged together. Their symbols lie in one flat array; in each rou
 pair merges all places of its lowest-ranked pair, left to right. A pair's rank is found by binary search in the sorted
 array of pair keys, and only for pairs that the last round changed. Words that are done leave the arrays.
 
-Nulls count as empty text, an empty text has no ids. The text of an added token in a document becomes that token's id.
+Nulls count as empty text, an empty text has no ids; null ids decode to the empty text. The text of an added token in a
+document becomes that token's id. Of two pairs in a word the lower rank merges first, and places of one pair from left
+to right, so nothing is left to ties. Very long texts are coded whole, one at a time; rows that repeat are coded each;
+empty tables stay empty. Columns of the input named like a result, in any case of letters, are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choralis.llm.common import chunks, map_arrow
+from choralis.llm.common import chunks, map_arrow, schema_without, without
 
 #: Fixed value: how byte-level BPE of this kind cuts a text into words.
 SPLIT = (
@@ -196,13 +199,14 @@ def bpe_encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids",
     spec: the vocabulary file's content (a few MB at any size of the corpus, so it is broadcast).
     """
     held = docs.sparkSession.sparkContext.broadcast(spec)
+    names = [ids, *([decoded] if decoded else [])]
     new = [T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in (ids, decoded)], *new])
+    schema = T.StructType([*schema_without(docs, *names), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for batch, texts in chunks(batches, text):
-            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (ids, decoded)}
+            kept = without(batch, *names)
             coded = pairs.encode(texts)
             back = {decoded: pa.array(map(pairs.decode, coded), pa.string())} if decoded else {}
             yield pa.RecordBatch.from_pydict(kept | {ids: pa.array(coded, pa.binary())} | back)
@@ -215,14 +219,14 @@ def bpe_encode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids",
 def bpe_decode(docs: DataFrame, spec: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with column `decoded`: the text that the ids stand for, special tokens kept; null ids give an empty text."""
     held = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != decoded], T.StructField(decoded, T.StringType())])
+    schema = T.StructType([*schema_without(docs, decoded), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(held)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != decoded}
+                kept = without(batch, decoded)
                 values = batch.column(batch.schema.get_field_index(ids)).to_pylist()
                 yield pa.RecordBatch.from_pydict(kept | {decoded: pa.array([pairs.decode(v or b"") for v in values], pa.string())})
 

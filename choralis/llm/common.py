@@ -70,9 +70,33 @@ def lean_worker():
             pass
 
 
+def quoted(name: str) -> str:
+    """The column of that name, whatever dots or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(batch: pa.RecordBatch, *names: str) -> dict[str, pa.Array]:
+    """The batch's columns but for those named so in any case of letters."""
+    gone = {n.lower() for n in names}
+    return {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.lower() not in gone}
+
+
+def schema_without(docs: DataFrame, *names: str) -> T.StructType:
+    """The schema of what `without` leaves."""
+    gone = {n.lower() for n in names}
+    return T.StructType([f for f in docs.schema.fields if f.name.lower() not in gone])
+
+
+def few(values: list, most: int, what: str) -> list:
+    """values, or an error where there are more than `most`: what reaches the driver or a broadcast must be bounded."""
+    if len(values) > most:
+        raise ValueError(f"more than {most} {what}: raise the bound, or merge the rare ones first")
+    return values
+
+
 def row_key_of(docs: DataFrame) -> Column:
     """64 bits of all columns that can be hashed, that is without maps."""
-    return row_key(*[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return row_key(*[quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:
@@ -137,14 +161,27 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 
 
 def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """rows.mapInArrow in small batches, with the memory given back at each task's end."""
+    """rows.mapInArrow in small batches, with the memory given back at each task's end. Names with dots or backticks, which
+    mapInArrow itself reads as paths, reach `run` as they are."""
     conf = rows.sparkSession.conf
     for name, (default, own) in BATCHES.items():
         if conf.get(name, default) == default:
             conf.set(name, own)
 
+    plain = rows
+    names = rows.columns
+    if odd := any("." in n or "`" in n for n in names):
+        plain = rows.toDF(*[f"c{k}" for k in range(len(names))])
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    made = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)]) if odd else schema
+
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
-            yield from run(batches)
-
-    return rows.mapInArrow(lean, schema)
+            if odd:
+                for out in run(b.rename_columns(names) for b in batches):
+                    yield out.rename_columns([f"c{k}" for k in range(out.num_columns)])
+            else:
+                yield from run(batches)
+
+    out = plain.mapInArrow(lean, made)
+    return out.toDF(*[f.name for f in schema.fields]) if odd else out

@@ -7,13 +7,14 @@ are frozen after training, so a byte's code length depends on it and the `order`
 exactly once for each run of bytes in a chunk and summed over whole texts. The language with the shortest code wins,
 ties fall to the first by code point; the score is its posterior under equal priors.
 
-Learning is bounded: at most `max_docs` distinct texts of each language, of MOST_CHARS characters together, go to the
-driver, the least by the hash of the text, whatever the number of documents. The languages themselves are expected to
-be few (at most some hundreds): each has a tree of its own, and all trees are broadcast.
+Learning is bounded: at most `max_docs` distinct texts of each language, of `max_chars` characters together, go to the
+driver, the least by the hash of the text, whatever the number of documents. Each language has a tree of its own, and
+all trees are broadcast, so more than `max_langs` distinct languages end with an error.
 
 Null and empty texts, texts without a letter, and all texts where nothing was learnt, as from an empty table, are `und`
 with score 0. Very long texts are coded whole, one at a time. A text under several languages is learnt for each; rows
-that repeat are learnt from once and predicted each. Input columns named lang_pred or score are replaced, others stay.
+that repeat are learnt from once and predicted each. Input columns named lang_pred or score, in any case of
+letters, are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,12 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks, least_hashes, map_arrow, written
+from choralis.llm.common import chunks, few, least_hashes, map_arrow, schema_without, without, written
 
 LETTER = regex.compile(r"\p{L}")
 BEFORE = b"\n"
-#: Characters of the texts of one language that are learnt from, besides a single longer text.
-MOST_CHARS = 20_000_000
 #: Keys of sampled texts up to this number (some 30 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -155,11 +154,13 @@ def _kinds(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
-def learn_languages(docs: DataFrame, max_docs: int = 800, order: int = 3) -> LanguageModel:
-    """docs: text, lang; only rows that may be learnt from."""
+def learn_languages(docs: DataFrame, max_docs: int = 800, order: int = 3, max_chars: int = 20_000_000, max_langs: int = 200) -> LanguageModel:
+    """docs: text, lang; only rows that may be learnt from. Learns from at most max_docs distinct texts of each language, of
+    max_chars characters together besides a single longer text; more than max_langs languages are an error."""
     told = docs.where("lang is not null and text <> ''").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
     each = told.groupBy("lang", "h").agg(F.min("size").alias("size"))  # copies count once
-    drawn = written(least_hashes(each, "lang", "h", max_docs, "size", MOST_CHARS).drop("size"), "language-sample")
+    drawn = written(least_hashes(each, "lang", "h", max_docs, "size", max_chars).drop("size"), "language-sample")
+    few(drawn.select("lang").distinct().limit(max_langs + 1).collect(), max_langs, "languages")
     if drawn.count() <= BROADCAST_ROWS:
         drawn = F.broadcast(drawn)
     whole = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
@@ -174,13 +175,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score. The model is bounded by the training texts, so it is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     new = ("lang_pred", "score")
-    schema = docs.drop(*new).schema.add("lang_pred", "string").add("score", "double")
+    schema = schema_without(docs, *new).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch, texts in chunks(batches):
-            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in new}
             names, scores = m.predict(texts)
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict(without(batch, *new) | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return map_arrow(docs, run, schema)

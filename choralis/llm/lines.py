@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import free_name, row_key_of, written
+from choralis.llm.common import free_name, quoted, row_key_of, written
 
 #: Boilerplate keys up to this number (16 bytes each) may be broadcast; more are joined by a shuffle on salted keys.
 BROADCAST_KEYS = 500_000
@@ -72,7 +72,7 @@ def _gone(rows: DataFrame, spread: DataFrame, most_broadcast: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = 3, most_broadcast: int = BROADCAST_KEYS) -> DataFrame:
     """docs (doc_id, text, source and any others) with cleaned text, and n_removed and emptied besides."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text", "source", row_key_of(docs).alias("row"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), "doc_id", "text", "source", row_key_of(docs).alias("row"))
     rows = written(line_rows(whole), "line-keys")
     gone = _gone(rows, written(boilerplate(rows, min_sites, most_broadcast), "line-boilerplate"), most_broadcast)
     gone = written(gone, "line-gone")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, map_arrow, row_key, written
+from choralis.llm.common import WORD, chunks, map_arrow, quoted, row_key, written
 
 SHINGLE = 5
 ROWS, BANDS = 5, 25
@@ -312,7 +312,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sent_keys: int = SENT
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id, then row key; texts without a
     word all stay, of rows that agree in doc_id and text one stays."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
     found = near_classes(docs, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")
     first = found.where("node is not null").groupBy("root").agg(least).select("m.row")

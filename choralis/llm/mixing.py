@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from choralis.llm.common import lean_worker, row_key_of, word_count, written
+from choralis.llm.common import lean_worker, quoted, row_key_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -174,7 +174,7 @@ def mixed_sizes(docs: DataFrame, seed: int = 1) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
     got = copies(units_of(docs), seed).where("copies > 0").select("key", "n", "copies")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key_of(docs).alias("key")).join(got, "key")
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), row_key_of(docs).alias("key")).join(got, "key")
     # rows that agree in all columns are taken together, from one of them
     twins = whole.where("n > 1").groupBy("key").agg(F.first("whole").alias("whole"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     return _times(whole.where("n = 1").unionByName(twins.select(*whole.columns)), "copies").select("whole.*")

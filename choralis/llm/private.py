@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, free_name, map_arrow, row_key, written
+from choralis.llm.common import WORD, chunks, free_name, map_arrow, quoted, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, each taken from where a match can begin at the earliest.
@@ -331,7 +331,7 @@ def sanitise(docs: DataFrame, share: float = 0.8) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(set(rungs))
     name = free_name("sanitised", docs.columns)
     spans = found.select("row", F.concat("spans", "extra", "terms").alias("found")).dropDuplicates(["row"])
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("row"))
     keyed = whole.join(spans, "row").select("whole", F.col("whole.text").alias("text"), "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,13 @@ needed. It fails if its character classes or its words lie too far off. Short te
 by its slack / sqrt(number of words or characters), and below `min_words` words no divergence is judged at all.
 
 References come from whole texts of all documents whose language is not null, counted in Spark; what reaches the driver
-is at most 1 / common words for each language. Null texts have no words. Without references the base rules decide.
+is at most 1 / common words for each of at most `max_langs` languages; more languages end with an error. A language that
+only texts without words have gives no reference.
+
+Null and empty texts have no words and fail the base rules. Without references, as from an empty table, the base rules
+decide. Rows that repeat count and are judged each; ties between references don't matter, for only the distance is used.
+Very long texts are counted and judged whole, one at a time. The result has the columns named below alone, so columns of
+the input can't clash with them.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import WORD, chunks, map_arrow, written
+from choralis.llm.common import WORD, chunks, few, map_arrow, written
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -77,8 +83,8 @@ class References:
     class_share: np.ndarray
 
 
-def learn_references(docs: DataFrame, common: float = 0.002) -> References:
-    """docs: text, lang."""
+def learn_references(docs: DataFrame, common: float = 0.002, max_langs: int = 200) -> References:
+    """docs: text, lang. More than max_langs languages are an error."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -102,8 +108,9 @@ def learn_references(docs: DataFrame, common: float = 0.002) -> References:
     counted = map_arrow(docs.where("lang is not null and text is not null").select("text", "lang"), count, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = written(counted, "quality-counts")
-    totals = {r[0]: r[1] for r in counted.where("word not like ' %'").groupBy("lang").agg(F.sum("n")).collect()}
-    marks = counted.where("word like ' %'").collect()
+    sums = counted.where("word not like ' %'").groupBy("lang").agg(F.sum("n")).limit(max_langs + 1).collect()
+    totals = {r[0]: r[1] for r in few(sums, max_langs, "languages")}
+    marks = counted.where(F.col("lang").isin(list(totals))).where("word like ' %'").collect()
     if not totals:
         return References([], {}, np.zeros((0, 1)), np.zeros((0, 0), bool), np.zeros((0, len(CLASSES))))
     least = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(max(2, v * common)))])

@@ -11,23 +11,27 @@ interpolated, and sums to 1 over the vocabulary and the unknown word in every co
 
 The discount is what the next level lets expect, `spread` Poisson deviations and `rare` (for pairs, of which there are
 far more, `rare_pair`) besides. So an expression keeps mass of its own in a class only by what it has there beyond the
-shared counts, and both classes know rare expressions by the shared counts alone.
+shared counts, and both classes know rare expressions by the shared counts alone. One constant discount of 0 to 1, as
+Kneser-Ney has it, leaves words of a few texts that one class holds by chance as telling as real ones; see the README.
 
 A text's evidence is the largest length-normalised difference of the two log-likelihoods over windows of `window`
 words that overlap by half, besides that of the whole text. Toxic language in a small part of a long text thus isn't
-thinned out. A logistic curve, fitted on training texts that the counts had not seen, turns both into a score.
+thinned out. A logistic curve, fitted on training texts that the counts had not seen, turns both into a score. Its weights
+are 0 or more, so more evidence never lowers a score, and without evidence it stays at or below `nothing`.
 
-Learning is bounded: at most `max_docs` distinct labelled texts of each class, of MOST_CHARS characters together, go to
+Learning is bounded: at most `max_docs` distinct labelled texts of each class, of `max_chars` characters together, go to
 the driver, the least by the hash of their text; near copies among them count once. Scoring covers every row and whole texts of any length.
 
-Null and empty texts have no evidence; they get the curve's value there. Without labels of both classes, as with empty
+Null and empty texts have no evidence; they get the curve's value there, at most `nothing` (0.2). Without labels of both classes, as with empty
 tables, each text gets score 0. A doc_id with several labels counts as toxic if one of them says so; a text that
 several rows share is learnt from once and counts as toxic if one of the rows does. Rows that repeat, and rows that tie
-in any other way, are scored each. The score's column may be named so that no column of the input has its name.
+in any other way, are scored each. A column of the input named like the score, in any case of letters, gives way to it; the
+score's column may be named so that none does.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -39,10 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks, least_hashes, map_arrow
+from choralis.llm.common import chunks, least_hashes, map_arrow, schema_without, without
 
-#: Characters of the texts of one class that are learnt from, besides a single longer text.
-MOST_CHARS = 20_000_000
 ROUNDS = 50
 TOKEN_PY = re.compile(r"[^\W_]+")
 
@@ -118,13 +120,13 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -30, 30)))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
+def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: int = 20_000_000) -> DataFrame:
     """text, toxic (0/1) and fold (0 to 3) of the distinct labelled texts of each class whose hashes are the least, at most
-    max_docs and, behind the first, MOST_CHARS of them. Only ids and hashes meet the labels."""
+    max_docs and, behind the first, of max_chars characters. Only ids and hashes meet the labels."""
     wide = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size")).join(wide, "doc_id")
     each = told.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))  # copies count once
-    one = least_hashes(each, "toxic", "h", max_docs, "size", MOST_CHARS).drop("size")
+    one = least_hashes(each, "toxic", "h", max_docs, "size", max_chars).drop("size")
     texts = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # at most 2 * max_docs rows of 20 bytes
     texts = texts.where(F.xxhash64("text") == F.col("h")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     return texts.select("text", "toxic", F.pmod(F.col("h"), F.lit(4)).alias("fold"))
@@ -139,11 +141,13 @@ def _hash3(run: tuple) -> int:
     return zlib.crc32(" ".join(run).encode())
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0) -> ToxicModel:
-    """docs: doc_id, text; labels: doc_id, toxic. Only rows that may be learnt from."""
-    told = training_texts(docs, labels, max_docs)
+def learn_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0, nothing: float = 0.2, max_chars: int = 20_000_000) -> ToxicModel:
+    """docs: doc_id, text; labels: doc_id, toxic. Only rows that may be learnt from. Learns from at most max_docs distinct
+    texts of each class, of max_chars characters together besides a single longer text; nothing: the highest score that a
+    text without evidence may get."""
+    told = training_texts(docs, labels, max_docs, max_chars)
     rows = [(r.text, r.toxic, r.fold) for r in told.toLocalIterator()]  # at most 2 * max_docs texts
-    return fit_toxicity(rows, window, spread, rare, rare_pair)
+    return fit_toxicity(rows, window, spread, rare, rare_pair, nothing)
 
 
 def _held(n: np.ndarray, total: np.ndarray | float, expected: np.ndarray, spread: float, rare: float) -> np.ndarray:
@@ -152,7 +156,7 @@ def _held(n: np.ndarray, total: np.ndarray | float, expected: np.ndarray, spread
     return np.maximum(n - (e + spread * np.sqrt(e) + rare), 0) / np.maximum(total, 1)
 
 
-def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0) -> ToxicModel:
+def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 8, spread: float = 2.0, rare: float = 1.0, rare_pair: float = 10.0, nothing: float = 0.2) -> ToxicModel:
     """rows: text, class, fold of 0 to 3; fold 0 fits the curve, the others are counted."""
     rows = sorted(rows)
     words: dict[str, int] = {}
@@ -219,24 +223,39 @@ def fit_toxicity(rows: list[tuple[str, int, int]], window: int = 8, spread: floa
         seen_rows = [(t, c) for t, c, _ in rows]
     short = model.telling()
     x = np.concatenate([short.evidence([t for t, _ in seen_rows[k : k + 100]]) for k in range(0, len(seen_rows), 100)])
-    model.curve = _logistic(x, np.array([c for _, c in seen_rows], dtype=float))
+    model.curve = _logistic(x, np.array([c for _, c in seen_rows], dtype=float), math.log(nothing / (1 - nothing)))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Balanced logistic regression by Newton steps, with a small ridge in units of the features' deviations."""
+def _logistic(x: np.ndarray, y: np.ndarray, top: float) -> tuple[float, float, float]:
+    """Balanced logistic regression with weights of 0 or more and an intercept of at most `top`, by projected Newton steps,
+    with a small ridge in units of the features' deviations."""
     unit = np.maximum(x.std(axis=0), 1e-9)
-    x = x / unit
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    a = np.c_[np.ones(len(x)), x]
-    b = np.zeros(3)
-    for _ in range(50):
+    a = np.c_[np.ones(len(x)), x / unit]
+    ridge = np.array([0.0, 0.1, 0.1])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (ridge * b * b).sum() / 2)
+
+    b = np.array([top, 0.0, 0.0])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (weight * (y - p)) - 0.1 * np.r_[0, b[1:]]
-        s = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-9, 0.1, 0.1])
-        step = np.linalg.solve(s, g)
-        b = b + step
-        if np.abs(step).max() < 1e-8:
+        g = a.T @ (weight * (p - y)) + ridge * b
+        free = ~np.r_[b[0] >= top and g[0] < 0, (b[1:] <= 0) & (g[1:] > 0)]  # the others stay at their bounds
+        s = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
+        step = np.zeros(3)
+        step[free] = np.linalg.solve(s[np.ix_(free, free)], -g[free])
+        share, now, new = 1.0, loss(b), b
+        while share > 1e-6:
+            new = np.maximum(b + share * step, [-np.inf, 0, 0])
+            new[0] = min(new[0], top)
+            if loss(new) <= now:
+                break
+            share /= 2
+        moved, b = np.abs(new - b).max(), new
+        if moved < 1e-9:
             break
     return float(b[0]), float(b[1] / unit[0]), float(b[2] / unit[1])
 
@@ -244,12 +263,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def score_toxicity(docs: DataFrame, model: ToxicModel, score: str = "score") -> DataFrame:
     """docs with column `score`, 0 to 1. The model has at most the expressions of 2 * max_docs texts, so it is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model.telling())
-    schema = docs.drop(score).schema.add(score, "double")
+    schema = schema_without(docs, score).add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch, texts in chunks(batches):
-            kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != score}
-            yield pa.RecordBatch.from_pydict(kept | {score: pa.array(m.score(texts), pa.float64())})
+            yield pa.RecordBatch.from_pydict(without(batch, score) | {score: pa.array(m.score(texts), pa.float64())})
 
     return map_arrow(docs, run, schema)

@@ -245,7 +245,7 @@ def brute_unigrams(cut, spread, rare, rounds):
         kept = new
         if change < 0.01:
             break
-    return [{w: kept[c][w] / total[c] + (1 - sum(kept[c].values()) / total[c]) * shared[w] for w in words} for c in (0, 1)]
+    return [{w: kept[c][w] / total[c] + (1 - sum(kept[c].values()) / total[c]) * shared[w] for w in words} for c in (0, 1)], shared
 
 
 def test_toxicity_unigrams_match_brute_force():
@@ -257,11 +257,86 @@ def test_toxicity_unigrams_match_brute_force():
         if (key := (y, toxicity.near_key(w))) not in seen:
             seen.add(key)
             cut.append((y, w))
-    want = brute_unigrams(cut, 2.0, 1.0, toxicity.ROUNDS)
+    want, _ = brute_unigrams(cut, 2.0, 1.0, toxicity.ROUNDS)
     for w, i in model.words.items():
         assert np.exp(model.uni[:, i]) == pytest.approx([want[0][w], want[1][w]])
 
 
+def test_toxicity_curve():
+    """Weights of 0 or more and a low score without evidence, whichever texts fit the curve; more evidence never scores less."""
+    for seed in range(4):
+        for folds in (2, 4):
+            rows = [(t, y, (i * 7 + seed) % folds) for i, t, y in toxic_rows(seed, 180)]
+            model = toxicity.fit_toxicity(rows)
+            assert min(model.curve[1:]) >= 0
+            assert model.score(["", "neverseen"]).max() <= 0.2 + 1e-9
+    # what mostly toxic texts without evidence would pull up
+    x, y = np.r_[np.zeros((40, 2)), [[2.0, 1.0]] * 3, [[0.0, 0.0]]], np.r_[np.ones(43), 0]
+    a, b, c = toxicity._logistic(x, y, -1.5)
+    assert a <= -1.5 and b >= 0 and c >= 0
+    a, b, c = toxicity._logistic(np.c_[np.arange(50.0), -np.arange(50.0)], np.r_[np.zeros(25), np.ones(25)], -1.5)
+    assert b > 0 and c == 0 and 1 / (1 + np.exp(-(a + 40 * b))) > 0.7
+
+
+def test_toxicity_pairs_and_scores_match_brute_force():
+    """Pairs, windows and scores by the definition, word by word."""
+    rows = [(t, y, i % 4) for i, t, y in toxic_rows(6, 240)]
+    model = toxicity.fit_toxicity(rows, rare_pair=1.0)
+    cut, seen = [], set()
+    for t, y, fold in sorted(rows):
+        w = t.lower().split()
+        if fold and (key := (y, toxicity.near_key(w))) not in seen:
+            seen.add(key)
+            cut.append((y, w))
+    single, shared = brute_unigrams(cut, 2.0, 1.0, toxicity.ROUNDS)
+    n = [Counter(p for c, t in cut if c == k for p in set(zip(t, t[1:], strict=False))) for k in (0, 1)]
+    begun = [Counter(), Counter()]
+    for k in (0, 1):
+        for (h, _), m in n[k].items():
+            begun[k][h] += m
+
+    def kept(count, of, share):
+        return max(0, count - of * share - 2 * (of * share) ** 0.5 - 1) / max(of, 1)
+
+    ends = {}
+    for h, w in {*n[0], *n[1]}:
+        ends.setdefault(h, []).append(w)
+    told = 0
+    for h, found in ends.items():
+        bound = {w: kept(n[0][h, w] + n[1][h, w], begun[0][h] + begun[1][h], shared[w]) for w in found}
+        freed = 1 - sum(bound.values())
+        got = np.exp(model.log_likelihoods(np.full(len(found), model.words[h]), np.array([model.words[w] for w in found])))
+        for k in (0, 1):
+            expected = {w: bound[w] + freed * single[k][w] for w in found}
+            held = {w: kept(n[k][h, w], begun[k][h], expected[w]) if n[0][h, w] + n[1][h, w] > 1 else 0 for w in found}
+            rest = 1 - sum(held.values())
+            assert got[k] == pytest.approx([held[w] + rest * expected[w] for w in found])
+        told += sum(x > 0 for x in bound.values())
+    assert told > 10
+
+    def brute_evidence(text):
+        w = [model.words.get(x, 0) for x in text.lower().split()]
+        gap = []
+        for k, x in enumerate(w):
+            p = model.log_likelihoods(np.array([w[k - 1] if k else -1]), np.array([x]))
+            gap.append(float(p[1, 0] - p[0, 0]))
+        if not gap:
+            return 0.0, 0.0
+        size = model.window
+        if len(gap) <= size:
+            best = sum(gap) / max(len(gap), size // 2)
+        else:
+            at = [*range(0, len(gap) - size, size // 2), len(gap) - size]
+            best = max(sum(gap[k : k + size]) for k in at) / size
+        return best, sum(gap) / len(gap)
+
+    some = ["", "vile", "never seen words", *[t for t, _, _ in rows[:60]], " ".join(t for t, _, _ in rows[:30])]
+    want = [brute_evidence(t) for t in some]
+    assert model.evidence(some) == pytest.approx(np.array(want), abs=1e-9)
+    a, b, c = model.curve
+    assert model.score(some) == pytest.approx([1 / (1 + np.exp(-(a + b * x + c * y))) for x, y in want])
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int")
     model = toxicity.learn_toxicity(odd, labels)
