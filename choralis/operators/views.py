@@ -209,3 +209,28 @@ def graph_view(a) -> DataFrame:
         out = out.join(listed(df, name), "conv_id", "left")
     out = out.join(a.scores, "conv_id", "left")
     return out.select("conv_id", F.to_json(F.struct(*[c for c in out.columns if c != "conv_id"])).alias("view"))
+
+
+#: What `graph_view` writes, but for fields that nobody reads back.
+VIEW = """accounts array<struct<account_id: string, label: string, automation: double, coordination: double, degree: long, reply_count: long>>,
+  edges array<struct<source: string, target: string, type: string, weight: double, dt: long>>,
+  clusters array<struct<cluster_id: string, size: long, index: long>>, score double, automation_share double"""
+
+
+def view_parts(view: DataFrame) -> DataFrame:
+    """conv_id, part, id, other, kind, x, y, m, n: the accounts, edges, clusters and the score of graph views, read back from
+    their JSON. Fields that a view leaves out, as JSON does with nulls, are null; a view without accounts has none here."""
+    v = view.select("conv_id", F.from_json("view", VIEW).alias("v")).select("conv_id", "v.*")
+    text, num, whole = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
+
+    def part(name: str, rows: DataFrame, *cols: Column) -> DataFrame:
+        return rows.select("conv_id", F.lit(name).alias("part"), *[c.alias(n) for n, c in zip(("id", "other", "kind", "x", "y", "m", "n"), cols, strict=True)])
+
+    def each(name: str) -> DataFrame:
+        return v.select("conv_id", F.inline(name))
+
+    a = part("account", each("accounts"), F.col("account_id"), text, F.col("label"), F.col("automation"), F.col("coordination"), F.col("degree"), F.col("reply_count"))
+    e = part("edge", each("edges"), F.col("source"), F.col("target"), F.col("type"), F.col("weight"), num, F.col("dt"), whole)
+    c = part("cluster", each("clusters"), F.col("cluster_id"), text, text, num, num, F.col("size"), F.col("index"))
+    s = part("score", v, text, text, text, F.col("score"), F.col("automation_share"), whole, whole)
+    return a.unionByName(e).unionByName(c).unionByName(s)

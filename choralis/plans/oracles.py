@@ -446,6 +446,15 @@ SELECTS: dict[str, str] = {
     "analysis_status": f"SELECT analysis_id, CASE WHEN running THEN 'COMPARING' ELSE 'COMPLETE' END AS status, n % 50 + CASE WHEN running THEN 0 ELSE 100 END AS replies, n % 7 + CASE WHEN running THEN 0 ELSE 10 END AS accounts FROM {ANALYSIS_ROWS} WHERE running OR NOT demo",
     "stored_ids": f"""SELECT substr(name, 6) AS analysis_id FROM (SELECT CASE n % 4 WHEN 0 THEN 'lens_' || analysis_id WHEN 1 THEN 'lens_' || upper(analysis_id) WHEN 2 THEN 'lens_' || left(analysis_id, 31) ELSE 'other_' || analysis_id END AS name FROM {ANALYSIS_ROWS})
       WHERE regexp_full_match(name, 'lens_[a-f0-9]{{32}}')""",
+    "graph_view": """SELECT conv_id, 'account' AS part, account_id AS id, NULL::VARCHAR AS other, label AS kind, automation AS x, coordination AS y, c.degree::BIGINT AS m, replies_made::BIGINT AS n
+        FROM c JOIN (SELECT conv_id, account_id, count(*) AS replies_made FROM r GROUP BY ALL) k USING (conv_id, account_id)
+      UNION ALL SELECT conv_id, 'edge', source, target, type, weight, NULL, dt::BIGINT, NULL FROM ed
+      UNION ALL SELECT conv_id, 'cluster', cluster_id, NULL, NULL, NULL, NULL, size::BIGINT, index::BIGINT FROM cl
+      UNION ALL SELECT conv_id, 'score', NULL, NULL, NULL, score, automation_share, NULL, NULL FROM sc""",
+    "stored_upserts": """WITH q AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS most, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1)
+      SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, CASE WHEN n > 0 AND c_nationkey < 12 THEN most ELSE c_acctbal END AS c_acctbal,
+        CASE WHEN u > 0 AND c_nationkey >= 8 THEN n * 10 WHEN c_nationkey < 12 THEN n END AS n_orders, CASE WHEN u > 0 AND c_nationkey >= 8 THEN u END AS n_urgent FROM customer LEFT JOIN q USING (c_custkey)""",
+    "clustered_orders": """SELECT o_orderkey, o_orderpriority, count(*) AS n_lines, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
     "customer_totals": """SELECT c_custkey, c_mktsegment, CASE WHEN n_orders IS NULL THEN c_acctbal ELSE most END AS c_acctbal, n_orders FROM customer
       LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS most, count(*) AS n_orders FROM orders GROUP BY ALL) ON o_custkey = c_custkey""",
     "completed_analyses": f"SELECT * EXCLUDE n, CASE WHEN NOT running THEN created_at % 7 / 7.0::DOUBLE END AS score, NOT running AS complete FROM {ANALYSIS_ROWS}",

@@ -511,7 +511,8 @@ def _(a):
 
 @over("graph_view")
 def _(a):
-    return views.graph_view(a)
+    """The nested JSON read back: one row for each account, edge and cluster of it, and for its score."""
+    return views.view_parts(views.graph_view(a))
 
 
 @over("stored_tables")
@@ -712,6 +713,30 @@ def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.with_properties(nodes, orders.agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("n_orders")), "c_custkey")
 
 
+@query
+def stored_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a stored table by nation, of which two writes change some nations each, as it reads afterwards."""
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), "c_acctbal")
+    path = settle.fresh_path(spark, "customers")
+    store.put_stored(nodes, path, "nation")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "c_custkey").join(nodes.select("c_custkey", "nation"), "c_custkey")
+    by = orders.groupBy("nation", "c_custkey")
+    store.upsert(by.agg(F.max("o_totalprice").alias("c_acctbal"), F.count("*").alias("n_orders")).where("nation < 12"), path, "c_custkey", unit="nation")
+    urgent = by.agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"), (F.count("*") * 10).alias("n_orders"))
+    store.upsert(urgent.where("nation >= 8 and n_urgent > 0"), path, "c_custkey", unit="nation")
+    return store.stored(spark, path, "nation").select("c_custkey", "nation", "c_acctbal", "n_orders", "n_urgent")
+
+
+@query
+def clustered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines, both stored in buckets of the order's key, so that neither join nor sums move rows."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("quantity"))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = store.clustered(o, "orders", "k", buckets).join(store.clustered(lines, "order_lines", "k", buckets).hint("merge"), "k")
+    return both.groupBy("k", "o_orderpriority").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("quantity")).withColumnRenamed("k", "o_orderkey")
+
+
 @query
 def completed_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _analyses(spark, sf_dir).drop("n")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from choralis.functions import settle
+
 NODES = ("analysis", "post", "account", "reply", "pattern", "cluster")
 EDGES = ("posted", "replies_to", "similar_to", "coordinated_with", "contains_pattern", "member_of")
 ID = r"^[a-f0-9]{32}$"
@@ -104,3 +108,61 @@ def delete_analyses(ids: DataFrame, folder: str) -> int:
             path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/analysis_id={row[0]}")
             dropped += path.getFileSystem(conf).delete(path, True)
     return dropped
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """The number of the table's last manifest that was written to its end, -1 where there is none."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/n=*/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return max((int(f.getPath().getParent().getName()[2:]) for f in found), default=-1)
+
+
+def _manifest(spark: SparkSession, path: str, unit: str, n: int) -> DataFrame:
+    return spark.read.schema(f"`{unit}` string, version string").parquet(f"{path}/manifest/n={n}")
+
+
+def put_stored(rows: DataFrame, path: str, unit: str = "analysis_id") -> None:
+    """rows as the first version of a table that `upsert` changes, in partitions by the column unit, whose values are taken
+    as text and must not be null. A table that exists already is an error."""
+    version = f"v{uuid.uuid4().hex}"
+    known = F.coalesce(F.col(unit).cast("string"), F.raise_error(F.lit(f"{unit} is null")).cast("string"))
+    rows.withColumn(unit, known).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", unit).parquet(f"{path}/rows")
+    units = rows.select(F.col(unit).cast("string").alias(unit)).distinct()
+    units.withColumn("version", F.lit(version)).write.parquet(f"{path}/manifest/n=0")
+
+
+def stored(spark: SparkSession, path: str, unit: str = "analysis_id", n: int | None = None) -> DataFrame:
+    """The table as its last whole manifest has it, or manifest n. A reader keeps what it began with: writes add files and
+    manifests and change none. Columns that only some versions have are null in the others."""
+    held = _manifest(spark, path, unit, newest(spark, path) if n is None else n)
+    found = spark.read.option("mergeSchema", True).parquet(f"{path}/rows").schema
+    typed = T.StructType([T.StructField(f.name, T.StringType() if f.name in (unit, "version") else f.dataType) for f in found])
+    rows = spark.read.schema(typed).parquet(f"{path}/rows")
+    return rows.join(held, [unit, "version"], "left_semi").drop("version")
+
+
+def upsert(computed: DataFrame, path: str, *key: str, unit: str = "analysis_id") -> int:
+    """Nodes whose unit and key are in computed (one row for each) take its other columns, as `with_properties` has it; the
+    number of the manifest that shows it. Only partitions that computed names are written, under a new version, and the
+    manifest comes last: a write that is killed leaves the old state, as does the later of two writers, which fails.
+    Units that the table hasn't are ignored; an empty computed changes no row."""
+    spark = computed.sparkSession
+    n = newest(spark, path)
+    version = f"v{uuid.uuid4().hex}"
+    given = computed.withColumn(unit, F.col(unit).cast("string"))
+    touched = given.select(unit).distinct()
+    rows = with_properties(stored(spark, path, unit, n).join(touched, unit, "left_semi"), given, unit, *key)
+    rows.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", unit).parquet(f"{path}/rows")
+    held = _manifest(spark, path, unit, n)
+    now = held.join(touched.withColumn("new", F.lit(version)), unit, "left").select(unit, F.coalesce("new", "version").alias("version"))
+    now.write.parquet(f"{path}/manifest/n={n + 1}")
+    return n + 1
+
+
+def clustered(rows: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """rows as a catalogue table in sorted buckets of the key: joins and look-ups by the key with other tables of as many
+    buckets move no rows. The number of buckets should follow the size, some 200 MB a bucket."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", settle.fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

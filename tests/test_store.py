@@ -21,6 +21,46 @@ def test_properties_replace_only_found_nodes(spark):
     assert got == {"a": (9, "x"), "b": (None, None), "c": (3, None)}
 
 
+def test_killed_upsert_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "accounts")
+    rows = [(IDS[0], "a", 1), (IDS[0], "b", 2), (IDS[1], "a", 3), ("12", "a", 4)]
+    store.put_stored(spark.createDataFrame(rows, "analysis_id string, id string, n int"), path)
+    given = spark.createDataFrame([(IDS[0], "a", 9, "x"), (IDS[3], "z", 5, "y"), (IDS[0], "c", 7, "y")], "analysis_id string, id string, n int, m string")
+
+    def now(n=None):
+        return {(r.analysis_id, r.id): (r.n,) for r in store.stored(spark, path, n=n).collect()}
+
+    before = now()
+    assert before == {(a, i): (n,) for a, i, n in rows}
+    with monkeypatch.context() as m:  # rows are written, the manifest isn't
+        m.setattr(store, "_manifest", lambda *x, real=store._manifest, calls=[]: calls.append(1) or (real(*x) if len(calls) < 2 else 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            store.upsert(given, path, "id")
+    assert now() == before and store.newest(spark, path) == 0
+    (tmp_path / "accounts" / "manifest" / "n=7").mkdir()  # begun, not ended
+    assert now() == before
+    assert store.upsert(given, path, "id") == 1
+    assert now() == before | {(IDS[0], "a"): (9,)}
+    assert {(r.id, r.m) for r in store.stored(spark, path).where("m is not null").collect()} == {("a", "x")}
+    assert now(0) == before  # a reader of the old manifest
+    assert store.upsert(given.limit(0), path, "id") == 2 and now() == before | {(IDS[0], "a"): (9,)}
+    assert len(list((tmp_path / "accounts" / "rows").glob(f"version=*/analysis_id={IDS[1]}"))) == 1  # untouched, never written again
+
+
+def test_null_units_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="analysis_id is null"):
+        store.put_stored(spark.createDataFrame([(None, 1)], "analysis_id string, n int"), str(tmp_path / "t"))
+
+
+def test_clustered_tables_join_without_exchange(spark):
+    a = store.clustered(spark.range(500).selectExpr("id k", "id % 7 x"), "left_side", "k", 8)
+    b = store.clustered(spark.range(900).selectExpr("id % 300 k", "id y"), "right_side", "k", 8)
+    both = a.join(b.hint("merge"), "k").groupBy("k").agg({"y": "sum"})
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert both.count() == 300
+
+
 def test_delete_drops_only_the_ids(spark, tmp_path):
     rows = spark.createDataFrame([(i, k) for k, i in enumerate(IDS)], "analysis_id string, n int")
     store.write_graph({"account": rows, "posted": rows}, str(tmp_path))
