@@ -244,6 +244,30 @@ def _firsts(pattern: str) -> str:
     return f"list_filter([lower(x) FOR x IN regexp_extract_all(everything, {_str(pattern)}, 0, 'i')], lambda x, i: list_position([lower(y) FOR y IN regexp_extract_all(everything, {_str(pattern)}, 0, 'i')], x) = i)[1:6]"
 
 
+def _pct(x: str) -> str:
+    return f"(CAST(floor({x} * 100 + 0.5) AS BIGINT) || '%')"
+
+
+PARTS["ev"] = f"""SELECT c.*, [x FOR x IN [
+    CASE WHEN max_sim >= 0.5 THEN {_pct('max_sim')} || ' text similarity with another reply' END, CASE WHEN near_duplicate THEN 'Near-duplicate of another reply in this conversation' END,
+    CASE WHEN in_burst THEN within60 || ' similar replies posted within 60 seconds' END,
+    CASE WHEN reply_count > 1 AND self_similarity >= 0.8 THEN 'Posted the same reply ' || reply_count || ' times (' || {_pct('self_similarity')} || ' self-similarity)' END,
+    CASE WHEN phrase_accounts >= 3 THEN 'Uses a stock phrase shared by ' || phrase_accounts || ' accounts' END,
+    CASE WHEN regularity >= 0.85 THEN 'Similar replies arrive at evenly spaced intervals (' || {_pct('regularity')} || ' regularity)' END,
+    CASE WHEN lex < 0.75 THEN 'Low lexical variation (' || {_pct('lex')} || ')' END, CASE WHEN age < 180 THEN 'Account is ' || age || ' days old' END,
+    CASE WHEN {_SKEW} THEN 'Follows ' || following || ' accounts but has ' || followers || ' followers' END,
+    CASE WHEN posts_per_day >= 25 THEN 'Posts about ' || CAST(floor(posts_per_day + 0.5) AS BIGINT) || ' times per day' END,
+    CASE WHEN urgency > 0 THEN 'Pressure language (' || array_to_string({_firsts(signals.URGENCY)}, ', ') || ')' END,
+    CASE WHEN {_OFF} THEN 'Off-topic reply carrying a link' END, CASE WHEN {_LOUD} THEN 'Mostly upper-case text' END] IF x IS NOT NULL] AS for_,
+  [x FOR x IN [CASE WHEN age >= 1500 THEN 'Account history spans ' || printf('%.1f', age / 365.0::DOUBLE) || ' years' END, CASE WHEN age >= 730 AND age < 1500 THEN 'Account is more than two years old' END,
+    CASE WHEN max_sim < 0.35 THEN 'Reply language is distinct from every other reply' END, CASE WHEN within60 = 0 THEN 'No similar replies posted around the same time' END,
+    CASE WHEN lex >= 0.9 AND max_sim < 0.5 THEN 'Varied vocabulary (' || {_pct('lex')} || ' lexical diversity)' END,
+    CASE WHEN followers >= following AND age >= 365 THEN 'Established audience (' || followers || ' followers)' END] IF x IS NOT NULL] AS against,
+  [x FOR x IN [CASE WHEN coordinated > 0 THEN 'Coordinated text and timing with ' || coordinated || ' other account' || CASE WHEN coordinated = 1 THEN '' ELSE 's' END || ' (strongest link ' || {_pct('max_score')} || ')' END,
+    CASE WHEN component_size >= 3 THEN 'Member of a ' || component_size || '-account group averaging ' || {_pct('component_similarity')} || ' text similarity' END] IF x IS NOT NULL] AS shared
+  FROM c JOIN (SELECT conv_id, account_id, everything FROM sg) USING (conv_id, account_id)"""
+
+
 def _spam_sql() -> str:
     """All spam rules and categories, from the counts of text_signals."""
     pointers = ["check my bio", "check out my bio", "check my profile", "check out my profile", "link in bio", "link in my bio"]
@@ -339,20 +363,22 @@ SELECTS: dict[str, str] = {
     "account_details": f"""WITH q AS (SELECT x.conv_id, x.account_id AS xa, x.reply_id AS xr, y.account_id AS ya, y.reply_id AS yr, {_r3('sim')} AS sim, dt FROM te JOIN r x ON x.conv_id = te.conv_id AND x.pos = i
       JOIN r y ON y.conv_id = te.conv_id AND y.pos = j WHERE x.account_id <> y.account_id), u AS (SELECT conv_id, xa AS account_id, xr AS reply_id, ya AS other, yr AS other_reply, sim, dt FROM q UNION ALL SELECT conv_id, ya, yr, xa, xr, sim, dt FROM q),
       top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, account_id ORDER BY sim DESC, dt, reply_id, other_reply) AS place FROM u QUALIFY place <= 5),
-      near AS (SELECT conv_id, account_id, string_agg(other_reply, ',' ORDER BY place) AS "similar" FROM top GROUP BY ALL),
+      near AS (SELECT conv_id, account_id, string_agg(other_reply, ',' ORDER BY place) AS "similar", string_agg(CAST(round(sim * 1000) AS BIGINT) || ':' || dt, ',' ORDER BY place) AS similarities FROM top GROUP BY ALL),
       far AS (SELECT conv_id, account_id, count(DISTINCT other) AS reach FROM (SELECT conv_id, account_id, other FROM dc UNION SELECT x.conv_id, x.account_id, y.other FROM dc x JOIN dc y
         ON y.conv_id = x.conv_id AND y.account_id = x.other AND y.other <> x.account_id) GROUP BY ALL),
-      met AS (SELECT conv_id, account_id, string_agg(other, ',' ORDER BY score DESC, other) AS coordinated FROM dc GROUP BY ALL),
-      own AS (SELECT conv_id, account_id, string_agg(reply_id, ',' ORDER BY seconds_after, pos) AS replies FROM tm GROUP BY ALL)
-      SELECT c.conv_id, c.account_id, label, automation, cluster_id, coalesce(reach, 0) AS reach, coalesce(own.replies, '') AS replies, coalesce("similar", '') AS "similar", coalesce(met.coordinated, '') AS coordinated
+      met AS (SELECT conv_id, account_id, string_agg(other, ',' ORDER BY score DESC, other) AS coordinated, string_agg(CAST(round(score * 1000) AS BIGINT) || ':' || dt, ',' ORDER BY score DESC, other) AS scores FROM dc GROUP BY ALL),
+      own AS (SELECT conv_id, account_id, string_agg(reply_id, ',' ORDER BY seconds_after, pos) AS replies, string_agg(seconds_after, ',' ORDER BY seconds_after, pos) AS times FROM tm GROUP BY ALL)
+      SELECT c.conv_id, c.account_id, label, automation, cluster_id, coalesce(reach, 0) AS reach, coalesce(own.replies, '') AS replies, coalesce("similar", '') AS "similar", coalesce(met.coordinated, '') AS coordinated,
+      coalesce(times, '') AS times, coalesce(similarities, '') AS similarities, coalesce(scores, '') AS scores
       FROM c LEFT JOIN mb USING (conv_id, account_id) LEFT JOIN near USING (conv_id, account_id) LEFT JOIN far USING (conv_id, account_id) LEFT JOIN met USING (conv_id, account_id) LEFT JOIN own USING (conv_id, account_id)""",
-    "cluster_details": f"""WITH who AS (SELECT mb.conv_id, cluster_id, count(*) AS size, {_m3('automation')} AS automation, {_m3('coordination')} AS coordination, string_agg(account_id, ',' ORDER BY c.automation DESC, place) AS accounts
+    "cluster_details": f"""WITH who AS (SELECT mb.conv_id, cluster_id, count(*) AS size, {_m3('automation')} AS automation, {_m3('coordination')} AS coordination, string_agg(account_id, ',' ORDER BY c.automation DESC, place) AS accounts,
+          string_agg(CAST(round(c.automation * 1000) AS BIGINT), ',' ORDER BY c.automation DESC, place) AS automations
         FROM mb JOIN c USING (conv_id, account_id) GROUP BY ALL),
       inner_ AS (SELECT conv_id, cluster_id, count(*) AS k, {_m3('text_similarity')} AS similarity, {_m3('score')} AS score FROM ie GROUP BY ALL),
       uses AS (SELECT mb.conv_id, cluster_id, rank, q.text, count(*) AS n FROM mb JOIN r USING (conv_id, account_id) JOIN (SELECT conv_id, rank, text, unnest(rs) AS reply_id FROM pt) q USING (conv_id, reply_id) GROUP BY ALL),
       best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cluster_id ORDER BY n * len(string_split(text, ' ')) DESC, rank) AS place FROM uses QUALIFY place <= 3),
-      told AS (SELECT conv_id, cluster_id, string_agg(text, '|' ORDER BY place) AS phrases FROM best GROUP BY ALL)
-      SELECT who.conv_id, who.cluster_id, who.size, {_r3('coalesce(k, 0) / (who.size * (who.size - 1) / 2.0)::DOUBLE')} AS density, similarity, score, automation, coordination, accounts, coalesce(phrases, '') AS phrases
+      told AS (SELECT conv_id, cluster_id, string_agg(text, '|' ORDER BY place) AS phrases, string_agg(n, ',' ORDER BY place) AS uses FROM best GROUP BY ALL)
+      SELECT who.conv_id, who.cluster_id, who.size, {_r3('coalesce(k, 0) / (who.size * (who.size - 1) / 2.0)::DOUBLE')} AS density, similarity, score, automation, coordination, accounts, coalesce(phrases, '') AS phrases, automations, coalesce(told.uses, '') AS uses
       FROM who LEFT JOIN inner_ USING (conv_id, cluster_id) LEFT JOIN told USING (conv_id, cluster_id)""",
     "cluster_stats": f"""SELECT conv_id, cluster_id, similarity, score, first_seconds, span_seconds FROM (SELECT conv_id, cluster_id, {_m3('text_similarity')} AS similarity, {_m3('score')} AS score FROM ie GROUP BY ALL) JOIN
       (SELECT q.conv_id, cluster_id, min(seconds_after) AS first_seconds, max(seconds_after) - min(seconds_after) AS span_seconds FROM (SELECT conv_id, cluster_id, source_reply AS reply_id FROM ie UNION SELECT conv_id, cluster_id, target_reply FROM ie) q
@@ -387,6 +413,13 @@ SELECTS: dict[str, str] = {
     "label_counts": f"SELECT conv_id, label, n, {_r3('n::DOUBLE / sum(n) OVER (PARTITION BY conv_id)')} AS share FROM (SELECT conv_id, label, count(*) AS n FROM c GROUP BY ALL)",
     "sensitivity_relabel": f"SELECT conv_id, account_id, {_labels(0.4 + 0.2, 0.65 + 0.2)} AS at_0, {_labels(0.4, 0.65)} AS at_50, {_labels(0.4 - 0.2, 0.65 - 0.2)} AS at_100 FROM c",
     "coordinated_filter": "SELECT conv_id, account_id FROM g LEFT JOIN mb USING (conv_id, account_id) WHERE cluster_id IS NOT NULL OR coordinated > 0",
+    "classification_texts": """SELECT conv_id, account_id, array_to_string(for_, '|') AS signals_for, array_to_string(against, '|') AS signals_against, array_to_string(shared, '|') AS coordination_signals,
+      CASE WHEN automation < 0.4 THEN 'Signals are consistent with individual human activity' WHEN automation < 0.65 THEN 'Signals are mixed' ELSE 'Signals suggest automated behavior' END
+      || CASE WHEN coordination >= 0.65 THEN ', with strong coordination with other accounts.' WHEN coordination >= 0.4 THEN ', with some coordination with other accounts.' ELSE '.' END
+      || CASE WHEN has_metadata THEN '' ELSE ' Account metadata was unavailable, so only text, timing and graph signals were used.' END || ' Local heuristic; behavioral patterns are not proof of automation.' AS summary,
+      'LOCAL_HEURISTIC' AS source FROM ev""",
+    "common_signals": r"""WITH one AS (SELECT conv_id, category, unnest(list_distinct([regexp_replace(x, '\s*\(\d+%\)$', '') FOR x IN for_])) AS signal FROM ev), q AS (SELECT conv_id, category, signal, count(*) AS n FROM one GROUP BY ALL)
+      SELECT *, row_number() OVER (PARTITION BY conv_id, category ORDER BY n DESC, signal) AS place FROM q QUALIFY place <= 4""",
     "feed_groups": f"""SELECT conv_id, category, row_number() OVER (PARTITION BY conv_id ORDER BY {ORDER}) AS index, members, automation, {_r3('members::DOUBLE / sum(members) OVER (PARTITION BY conv_id)')} AS share
       FROM (SELECT conv_id, category, count(*) AS members, {_m3('automation')} AS automation FROM c GROUP BY ALL)""",
     "group_members": "SELECT conv_id, category, account_id, automation, row_number() OVER (PARTITION BY conv_id, category ORDER BY automation DESC, first_pos) AS place FROM c",
@@ -466,6 +499,12 @@ SELECTS: dict[str, str] = {
     "stream_merge": "SELECT doc_id % 32 || '-' || doc_id // 9600 AS conv_id, count(DISTINCT doc_id) AS items FROM documents WHERE trim(text) <> '' GROUP BY ALL",
     "stopped_capture": """WITH xd AS (SELECT doc_id % 32 || '-' || doc_id // 9600 AS conv_id, doc_id, text FROM documents), xs AS (SELECT conv_id, min(doc_id) AS stop FROM xd WHERE doc_id % 97 = 50 GROUP BY ALL)
       SELECT conv_id, count(DISTINCT doc_id) AS items FROM xd LEFT JOIN xs USING (conv_id) WHERE trim(text) <> '' AND doc_id <= coalesce(stop, doc_id) GROUP BY ALL""",
+    "live_status": """WITH scanned AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, turn AS seq, CASE WHEN turn % 5 = 3 THEN '' ELSE text END AS text FROM conversations WHERE turn IS NOT NULL
+        UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, turn + 1000000, 'again ' || text FROM conversations WHERE turn IS NOT NULL),
+      ends AS (SELECT conv_id, min(seq) + 3 AS stop FROM scanned WHERE turn = 0 AND CAST(conv_id AS BIGINT) % 5 = 2 GROUP BY conv_id),
+      seen AS (SELECT conv_id, turn, stop, bool_or(trim(coalesce(text, '')) <> '') AS told FROM scanned LEFT JOIN ends USING (conv_id) WHERE seq <= coalesce(stop, seq) GROUP BY ALL)
+      SELECT conv_id, CASE WHEN any_value(stop) IS NOT NULL OR count(*) FILTER (turn <> 0 AND told) >= 400 THEN 'FULL' ELSE 'COLLECTING' END AS status, least(400, count(*) FILTER (turn <> 0 AND told)) AS replies,
+      bool_or(turn = 0) AS has_post, count(*) FILTER (turn <> 0 AND NOT told) AS waiting, least(400, count(*) FILTER (turn <> 0 AND told)) AS taken FROM seen GROUP BY conv_id""",
     "cached_answers": f"SELECT conv_id, account_id, k * 4 % 101 / 100.0::DOUBLE AS automation, {_labels(0.4, 0.65, '(k * 4 % 101 / 100.0::DOUBLE)')} AS label, 'SCORER' AS source FROM a",
     "page_items": """SELECT CAST(conv_id AS VARCHAR) AS page, CASE WHEN conv_id % 4 = 2 THEN 'item' WHEN turn = 0 THEN 'post' ELSE 'reply' END AS role, CAST(turn AS INTEGER) AS item,
       CAST(CASE WHEN conv_id % 2 = 0 THEN conv_id * 1000 + turn ELSE 1704067200000 * 4194304 + conv_id * 1000 + turn END AS VARCHAR) AS id, role AS handle, text,

@@ -47,6 +47,15 @@ def listed(c: str | Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
+def listed_values(c: str, f: Callable[[Column], Column]) -> Column:
+    """The values of the structs in column c; of a null column none."""
+    return F.coalesce(F.array_join(F.transform(c, lambda x: f(x).cast("string")), ","), F.lit(""))
+
+
+def thousandths(x: Column) -> Column:
+    return F.round(x * 1000).cast("long")
+
+
 # -- text, similarity
 
 
@@ -323,7 +332,12 @@ def _(a):
     d = views.account_details(a)
     lists = (("replies", "reply_id"), ("similar", "other_reply"), ("coordinated", "other"))
     names = [listed(F.coalesce(F.col(x).getField(f), F.array().cast("array<string>"))).alias(x) for x, f in lists]
-    return d.select("conv_id", "account_id", "label", "automation", "cluster_id", "reach", *names)
+    shown = {
+        "times": ("replies", lambda x: x["seconds_after"]),
+        "similarities": ("similar", lambda x: F.concat_ws(":", thousandths(x["sim"]), x["dt"])),
+        "scores": ("coordinated", lambda x: F.concat_ws(":", thousandths(x["score"]), x["dt"])),
+    }
+    return d.select("conv_id", "account_id", "label", "automation", "cluster_id", "reach", *names, *[listed_values(x, f).alias(n) for n, (x, f) in shown.items()])
 
 
 @over("cluster_details")
@@ -333,6 +347,7 @@ def _(a):
     return d.select(
         "conv_id", "cluster_id", "size", "density", "similarity", "score", "automation", "coordination",
         listed(F.transform("accounts", lambda r: r["account_id"])).alias("accounts"), F.array_join(F.transform(told, lambda r: r["text"]), "|").alias("phrases"),
+        listed_values("accounts", lambda r: thousandths(r["automation"])).alias("automations"), listed_values("phrases", lambda r: r["uses"]).alias("uses"),
     )
 
 
@@ -429,7 +444,9 @@ def _(a):
 
 @over("classification_texts")
 def _(a):
-    return a.classified.select("conv_id", "account_id", "signals_for", "signals_against", "coordination_signals", "summary", "source")
+    """The wordings, each list's joined by bars."""
+    lists = [F.array_join(c, "|").alias(c) for c in ("signals_for", "signals_against", "coordination_signals")]
+    return a.classified.select("conv_id", "account_id", *lists, "summary", "source")
 
 
 @over("scorer_requests")
@@ -822,9 +839,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.select(conv, F.col("doc_id").alias("seq"), F.lit(False).alias("focal"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("handle"), "text", F.timestamp_seconds("doc_id").alias("created_at"))
 
 
-def _streamed(merged: DataFrame) -> DataFrame:
-    """What a finite stream merges, written where all tasks write."""
-    out = settle.fresh_path(merged.sparkSession, "merged")
+def _streamed(merged: DataFrame, out: str | None = None) -> DataFrame:
+    """What a finite stream merges, written where all tasks write; its checkpoint lies beside."""
+    out = out or settle.fresh_path(merged.sparkSession, "merged")
     merged.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return merged.sparkSession.read.parquet(out)
 
@@ -843,6 +860,20 @@ def stopped_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(capture.merge_scans(items, idle_ms=None, stops=stops)).groupBy("conv_id").agg(F.count("*").alias("items"))
 
 
+@query
+def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a capture's state has them, after two scans some of which the user stopped, joined with what it
+    wrote: what the state counts is what was taken."""
+    scans = _scans(spark, sf_dir)
+    folder = settle.fresh_path(spark, "scans")
+    scans.write.parquet(folder)
+    items = spark.readStream.schema(scans.schema).parquet(f"{folder}*")
+    stops = items.where("focal and conv_id % 5 = 2").select("conv_id", (F.col("seq") + 3).alias("seq"))
+    out = settle.fresh_path(spark, "merged")
+    taken = _streamed(capture.merge_scans(items, idle_ms=None, stops=stops), out).where("kind = 'reply'").groupBy("conv_id").agg(F.count("*").alias("taken"))
+    return capture.live_status(spark, f"{out}-state").join(taken, "conv_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+
 @query
 def typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed answers made of the documents' ids, mapped in tasks; every thirteenth breaks the contract."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from choralis.config import Config
@@ -184,3 +185,31 @@ def watch(items: DataFrame, folder: str, run: Callable[[DataFrame, int], None],
 def progress(df: DataFrame, name: str = "progress") -> DataFrame:
     """df with counters of its rows and conversations, which listeners and batch observers can poll."""
     return df.observe(name, F.count("*").alias("items"), F.approx_count_distinct("conv_id").alias("conversations"))
+
+
+def live_status(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """conv_id, status, replies, has_post, waiting (items seen without text) of the conversations that a capture of
+    `merge_scans` holds in the state of its checkpoint, as of its last whole batch; it may run or have stopped.
+
+    status is COLLECTING, or FULL once the conversation takes nothing more: at the cap, stopped by the user, idle, or out of
+    time. The rows come from the state stores in parallel; a conversation whose state has gone has none. A capture that
+    has not finished a batch is an error, as it has no state yet.
+    """
+
+    def size(c: str) -> Column:
+        return F.size(F.filter(F.split(c, SEP), lambda x: x != "")).cast("long")
+
+    held = spark.read.format("statestore").load(checkpoint).select("key.conv_id", "value.groupState.*")
+    status = F.when(F.col("full"), "FULL").otherwise("COLLECTING").alias("status")
+    return held.select("conv_id", status, size("ids").alias("replies"), F.col("post").isNotNull().alias("has_post"), size("skipped").alias("waiting"))
+
+
+def batches(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """batch, rows_in, items, conversations, state_rows, millis of the query's last batches (Spark keeps 100 by default),
+    which may run; items and conversations are null without `progress`."""
+    rows = []
+    for p in query.recentProgress:
+        seen = next((m.asDict() for m in p.observedMetrics.values()), {})
+        state = [o.numRowsTotal for o in p.stateOperators]
+        rows.append((p.batchId, p.numInputRows, seen.get("items"), seen.get("conversations"), sum(state) if state else None, p.batchDuration))
+    return spark.createDataFrame(rows, "batch long, rows_in long, items long, conversations long, state_rows long, millis long")

@@ -102,3 +102,24 @@ def test_quiet_conversations_are_analysed_anew(spark, tmp_path):
         for q in queries:
             q.stop()
     assert json.loads(queries[1].lastProgress.json if hasattr(queries[1].lastProgress, "json") else json.dumps(queries[1].lastProgress))["id"]
+
+
+def test_live_status_follows_the_state(spark, tmp_path):
+    items, stops, out = str(tmp_path / "items"), str(tmp_path / "stops"), str(tmp_path / "out")
+    scans(spark, items, [("a", 1, True, "p", "me", "post", 0), ("a", 2, False, "x", "u", "one", 1), ("a", 3, False, "y", "u", " ", 2), ("b", 1, False, "z", "v", "two", 3)])
+    spark.createDataFrame([("c", 1)], "conv_id string, seq long").write.parquet(stops)
+
+    def run():
+        merged = capture.merge_scans(read(spark, items, spark.read.parquet(items).schema), idle_ms=None, stops=read(spark, stops, "conv_id string, seq long"))
+        writer = capture.progress(merged).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q, {tuple(r) for r in capture.live_status(spark, f"{out}-state").collect()}
+
+    q, told = run()
+    assert told == {("a", "COLLECTING", 1, True, 1), ("b", "COLLECTING", 1, False, 0), ("c", "FULL", 0, False, 0)}
+    rows = capture.batches(spark, q).collect()
+    assert [(r.rows_in, r.items, r.state_rows) for r in rows if r.rows_in] == [(5, 3, 3)]
+    scans(spark, items, [("a", 4, False, "y", "u", "late", 4)])
+    spark.createDataFrame([("b", 9)], "conv_id string, seq long").write.mode("append").parquet(stops)
+    assert run()[1] == {("a", "COLLECTING", 2, True, 0), ("b", "FULL", 1, False, 0), ("c", "FULL", 0, False, 0)}
