@@ -721,6 +721,27 @@ def test_revealing_terms_in_whole_texts(spark, sent):
     assert got == {i: [m.span() for m in WORD.finditer(t or "") if private.term_of(m[0]) in told] for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_terms_need_support(spark, sent):
+    """Terms that share two different texts with an entity, as brute force; copies of a text are one."""
+    plain = documents(random.Random(17), 120)
+    texts = [*plain, f"{plain[0]} boss@one.org krypton", f"{plain[1]} boss@one.org Krypton, once", f"{plain[2]} y@two.org zirkon", f"{plain[2]} y@two.org zirkon", f"{plain[3]} alone@three.org argon", None, ""]
+    held = [({t[a:b].lower() for _, a, b in private.base_spans(t or "")}, {private.term_of(w) for w in WORD.findall(t or "")} - {""}) for t in texts]
+    d_t, d_e = Counter(t for _, w in held for t in w), Counter(e for s, _ in held for e in s)
+    d_et, of = Counter((e, t) for s, w in held for e in s for t in w if t not in s), defaultdict(set)
+    for text, (s, w) in zip(texts, held, strict=True):
+        for e in s:
+            for t in w - s:
+                of[e, t].add(text)
+    told = {t for (e, t), k in d_et.items() if len(of[e, t]) >= 2 and math.log2(len(texts) * k / (d_e[e] * d_t[t])) >= 0.8 * math.log2(len(texts) / d_e[e])}
+    assert "krypton" in told and not {"zirkon", "argon", "once"} & told
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s["a"], s["b"]) for s in r.terms] for r in private.find_private(docs, most_sent=sent, support=2).collect()}
+    assert got == {i: [m.span() for m in WORD.finditer(t or "") if private.term_of(m[0]) in told] for i, t in enumerate(texts)}
+    clean = {r.doc_id: r.sanitised for r in private.sanitise(docs, support=2).collect()}
+    assert "krypton" not in clean[120] and clean[122].endswith("zirkon") and "y@two.org" not in clean[122]
+
+
 def test_private_odd(odd, none):
     assert private.sanitise(odd).count() == 10 and private.sanitise(none).columns == [*none.columns, "sanitised"]
     rows = {r.doc_id: r for r in private.find_private(odd.select("doc_id", "text")).collect()}
