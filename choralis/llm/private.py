@@ -13,6 +13,8 @@ log2(N / d(e)) bits; a term t that shares d(e, t) documents with it reveals log2
 that reveals at least `share` of an entity's bits is marked as kind `term` wherever it occurs, also in documents without
 the entity. One meeting is no estimate: a word and an entity that each occur once reveal each other whole, whatever they
 are. With a `support` of 2 or more, a term must share that many different texts with the entity; copies are one text.
+Where it is `coarse`, the rungs of the ladders below (an address's domain, a network, ...) are protected too, unless they
+say little, so that terms which reveal these, by many identifiers, are found where no identifier comes twice.
 
 Sanitised texts. An identifier becomes the first rung of its kind's ladder (an address's domain, a network, a country
 code, an issuer; then the kind alone) that says little: one that at least N ** share documents have. Terms go.
@@ -286,9 +288,9 @@ def marked(docs: DataFrame, terms: DataFrame, most_sent: int = SENT_TERMS) -> Da
     return out.join(added, "row", "left").select("doc_id", "row", "spans", "extra", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")).alias("terms"))
 
 
-def learn_disclosure(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS, support: int = 1) -> tuple[DataFrame, list[str]]:
+def learn_disclosure(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS, support: int = 1, coarse: bool = False) -> tuple[DataFrame, list[str]]:
     """t, the hashes of the terms that reveal an entity of docs (doc_id, text) and share at least `support` different texts
-    with it, and the rungs that say little. There are fewer of these than rungs in all documents, at most two for each
+    with it, and the rungs that say little. `coarse`: rungs of ladders are entities too, but for these. There are fewer of these than rungs in all documents, at most two for each
     identifier, over N ** share.
 
     Entities and terms that fewer texts hold go before they meet, and so do common terms: as d(e, t) is at most d(e), a
@@ -296,9 +298,14 @@ def learn_disclosure(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_
     n = docs.count()
     holders = find_holders(docs).groupBy("text_hash").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("entities", "terms", "rungs")))
     holders = written(holders, "private-holders")
-    each = holders.select("text_hash", "n", F.explode("entities").alias("e"))
-    d_e = each.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < n)).drop("texts")
-    each = written(each.join(d_e, "e"), "private-entities")
+    little = max(2.0, n**share)
+    each = holders.select("text_hash", "n", F.explode("entities").alias("e"), F.lit(float(n)).alias("below"))
+    if coarse:
+        wide = holders.select("text_hash", "n", F.explode("rungs").alias("rung")).select("text_hash", "n", F.xxhash64("rung").alias("e"), F.lit(float(little)).alias("below"))
+        each = each.unionByName(wide)
+    d_e = each.groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"), F.min("below").alias("below"))
+    d_e = d_e.where((F.col("texts") >= support) & (F.col("n_e") < F.col("below"))).select("e", "n_e")
+    each = written(each.drop("below").join(d_e, "e"), "private-entities")
     own = holders.join(each.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", F.explode("terms").alias("t"))
     often = own.groupBy("t").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("t")
     d_t = written(term_frequency(docs, often, most_sent), "private-terms")
@@ -307,13 +314,13 @@ def learn_disclosure(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_
     met = own.join(rare, "t").join(each, "text_hash").groupBy("e", "n_e", "t", "n_t").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     bits = F.log2(F.lit(float(n)) / F.col("n_e"))
     told = met.where((F.col("texts") >= support) & (F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= share * bits))
-    rungs = holders.select("n", F.explode("rungs").alias("rung")).groupBy("rung").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, n**share))
+    rungs = holders.select("n", F.explode("rungs").alias("rung")).groupBy("rung").agg(F.sum("n").alias("n")).where(F.col("n") >= little)
     return written(told.select("t").distinct(), "private-told"), sorted(r.rung for r in rungs.collect())
 
 
-def find_private(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS, support: int = 1) -> DataFrame:
+def find_private(docs: DataFrame, share: float = 0.8, most_sent: int = SENT_TERMS, support: int = 1, coarse: bool = False) -> DataFrame:
     """doc_id, row, spans (base spans), extra and terms (spans of revealing terms) of docs (doc_id, text)."""
-    return marked(docs, learn_disclosure(docs, share, most_sent, support)[0], most_sent)
+    return marked(docs, learn_disclosure(docs, share, most_sent, support, coarse)[0], most_sent)
 
 
 def joined(spans: Column) -> Column:
@@ -333,9 +340,9 @@ def cleaned(text: str | None, spans: list[tuple[str, int, int]], rungs: set[str]
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, share: float = 0.8, support: int = 1) -> DataFrame:
+def sanitise(docs: DataFrame, share: float = 0.8, support: int = 1, coarse: bool = False) -> DataFrame:
     """docs (doc_id, text and others) with `sanitised`."""
-    terms, rungs = learn_disclosure(docs.select("doc_id", "text"), share, support=support)
+    terms, rungs = learn_disclosure(docs.select("doc_id", "text"), share, support=support, coarse=coarse)
     found = marked(docs.select("doc_id", "text"), terms)
     told = docs.sparkSession.sparkContext.broadcast(set(rungs))
     name = free_name("sanitised", docs.columns)

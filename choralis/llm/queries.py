@@ -98,7 +98,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     from choralis.llm.private import KINDS, find_private, joined
 
-    found = find_private(common.documents(spark, sf_dir).select("doc_id", "text"), support=2)
+    found = find_private(common.documents(spark, sf_dir).select("doc_id", "text"), support=2, coarse=True)
 
     def count(kind: str, spans: str = "spans") -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -740,6 +740,12 @@ def test_terms_need_support(spark, sent):
     assert got == {i: [m.span() for m in WORD.finditer(t or "") if private.term_of(m[0]) in told] for i, t in enumerate(texts)}
     clean = {r.doc_id: r.sanitised for r in private.sanitise(docs, support=2).collect()}
     assert "krypton" not in clean[120] and clean[122].endswith("zirkon") and "y@two.org" not in clean[122]
+    # no address comes twice here, but their domain does, and the firm's name gives it away
+    texts = [*plain, *(f"{plain[i]} u{i}@firm.org Firmware" for i in range(3)), "firmware without an address"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {texts[r.doc_id][x["a"] : x["b"]] for r in private.find_private(docs, most_sent=sent, support=2, coarse=True).collect() for x in r.terms}
+    assert {"Firmware", "firmware"} == {t for t in told if t.lower().startswith("firm")} and len(told) < 6
+    assert all(not r.terms for r in private.find_private(docs, most_sent=sent, support=2).collect())
 
 
 def test_private_odd(odd, none):
