@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from choralis.functions import signals
 from choralis.functions.exact import spark_pattern
+from choralis.operators import accounts as acc
+from choralis.operators import similarity
 from choralis.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +26,33 @@ def test_no_match_starts_with_another_character(spark):
         plain = F.regexp_extract_all("text", F.lit("(?i)" + spark_pattern(pattern)), F.lit(0))
         quick = F.regexp_extract_all("text", signals._any_case(pattern), F.lit(0))
         assert rows.where(plain != quick).count() == 0
+
+
+def _words(spark):
+    rows = [(f"c{k % 3}", k, " ".join(f"w{(k * a + a * a) % 37}" for a in range(1, 12))) for k in range(90)] + [("c1", 200, None), ("one", 0, "w1 w2")]
+    replies = spark.createDataFrame(rows, "conv_id string, pos int, text string")
+    return similarity.tokenised(replies.withColumn("reply_id", F.col("pos").cast("string")).withColumn("account_id", F.concat(F.lit("u"), F.col("pos") % 5))), replies
+
+
+def test_pairs_never_move_term_by_term(spark):
+    pairs = similarity.tfidf_pairs(_words(spark)[0])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in x and ("i#" in x or "j#" in x) for x in plan.splitlines())
+
+
+def test_long_conversations_are_compared_in_blocks(spark, monkeypatch):
+    words, replies = _words(spark)
+    who = replies.withColumn("account_id", F.concat(F.lit("u"), F.col("pos") % 5))
+
+    def found():
+        rows = similarity.tfidf_rows(words)
+        pairs = similarity.pairs_of(rows)
+        best = {(r.conv_id, r.pos): (r.best, r.best_pos) for r in similarity.best_of_rows(rows).collect()}
+        assert best == {(r.conv_id, r.pos): (r.best, r.best_pos) for r in similarity.best_of_pairs(pairs).collect()}
+        own = sorted(map(tuple, acc.self_similarity_of_rows(rows, who).collect()))
+        assert own == sorted(map(tuple, acc.self_similarity(pairs, who).collect())) and own
+        return sorted(map(tuple, pairs.collect())), best
+
+    whole = found()
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    assert found() == whole and len(whole[0]) > 100
