@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from choralis.config import Config
 from choralis.functions import signals
 from choralis.functions.exact import spark_pattern
 from choralis.operators import accounts as acc
-from choralis.operators import similarity
+from choralis.operators import phrases, similarity
 from choralis.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,26 @@ def test_long_conversations_are_compared_in_blocks(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(similarity, "BLOCK", 7)
     assert found() == whole and len(whole[0]) > 100
+
+
+def test_embedding_pairs_take_groups_that_grow(spark, tmp_path):
+    spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 7 + F.lit(0.5)).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.conv_id, r.i, r.j) for r in queries.embedding_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(k, i, j) for k in range(64) for j in range(4) for i in range(j) if k + 64 * j < 200}
+
+
+def test_counts_of_words_move_no_text(spark):
+    for name in ("lexical_diversity", "shingle_counts"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window [" in plan and "parquet" in plan and not any("text#" in x for x in plan[: plan.index("Window [")].splitlines())
+        assert "words-" not in plan  # nothing is written either
+
+
+def test_sets_of_replies_are_keys_by_their_digest(spark):
+    words = [("c", k, f"r{k:03d}", f"u{k % 5}", "a stock phrase of nine words that all repeat".split()) for k in range(40)]
+    rows = spark.createDataFrame(words, "conv_id string, pos int, reply_id string, account_id string, words array<string>")
+    found = phrases.patterns(rows, Config())
+    got = found.collect()
+    assert [(r.rank, r.text, r.account_count, len(r.reply_set)) for r in got] == [(1, "a stock phrase of nine words that all repeat", 5, 40)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "set#" in plan and not any("Exchange" in x and "reply_set#" in x for x in plan.splitlines())
