@@ -80,3 +80,29 @@ def test_sets_of_replies_are_keys_by_their_digest(spark):
     assert [(r.rank, r.text, r.account_count, len(r.reply_set)) for r in got] == [(1, "a stock phrase of nine words that all repeat", 5, 40)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "set#" in plan and not any("Exchange" in x and "reply_set#" in x for x in plan.splitlines())
+
+
+def _moved(df):
+    """The lines of the plan that move rows, before it runs."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+
+
+def test_runs_of_words_move_with_their_reply_only(spark):
+    said = [(f"c{k % 2}", k, f"r{k}", f"u{k % 4}", f"w{k % 4} w{k % 3} a stock of phrases w{k % 5} a stock of w{k}".split()[: k % 12]) for k in range(60)]
+    words = spark.createDataFrame(said, "conv_id string, pos int, reply_id string, account_id string, words array<string>")
+    found = phrases.candidate_trigrams(words, Config(min_phrase_accounts=2))
+    assert len(_moved(found)) == 1  # the words, by conversation
+    by = {}
+    for r in phrases.trigrams(words).collect():
+        by.setdefault((r.conv_id, r.trigram), []).append(r)
+    want = sorted(tuple(r) for rows in by.values() if len({r.account_id for r in rows}) >= 2 for r in rows)
+    assert sorted(map(tuple, found.select("conv_id", "pos", "reply_id", "account_id", "at", "trigram").collect())) == want and want
+
+
+def test_phrases_are_put_together_from_their_trigrams(spark):
+    said = {"a": "one two three four five six of the and in nine ten", "b": "nought one two three four five six of the and in nine ten eleven"}
+    words = [("c", k, f"r{k}", f"u{k}", said["a" if k else "b"].split()) for k in range(4)]
+    rows = spark.createDataFrame(words, "conv_id string, pos int, reply_id string, account_id string, words array<string>")
+    got = [r.text for r in phrases.patterns(rows, Config()).collect()]
+    # "of the and" and "the and in" carry no content, but runs up to three words apart cover them
+    assert got == [said["a"]]
