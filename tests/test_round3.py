@@ -106,3 +106,13 @@ def test_phrases_are_put_together_from_their_trigrams(spark):
     got = [r.text for r in phrases.patterns(rows, Config()).collect()]
     # "of the and" and "the and in" carry no content, but runs up to three words apart cover them
     assert got == [said["a"]]
+
+
+def test_threshold_join_moves_no_term_that_one_reply_has(spark):
+    words, _ = _words(spark)
+    weights = similarity.ordered_weights(words)
+    assert len(_moved(weights)) == 2  # hashes by conversation, and its number of replies
+    often = words.select("conv_id", "pos", F.explode(F.array_distinct("words")).alias("x")).groupBy("conv_id", F.xxhash64("x").alias("t")).count().where("count > 1")
+    held = weights.select("conv_id", "pos", F.explode("terms.t").alias("t"))
+    assert held.join(often, ["conv_id", "t"], "left_anti").count() == 0 and held.count()
+    assert len(_moved(similarity._indexed(similarity.kept(weights, "test-weights"), 0.72))) == 0
