@@ -166,7 +166,7 @@ def _members_of(docs: DataFrame, reps: DataFrame, sent_keys: int = SENT_KEYS) ->
 
     rows = docs.select(row_key("doc_id", "text").alias("row"), "text")
     if reps.count() <= sent_keys:
-        wanted = np.sort(np.array([r[0] for r in reps.select("row").collect()], dtype=np.int64))
+        wanted = np.sort(reps.select("row").toArrow()["row"].to_numpy())  # 8 bytes a key in the driver too, and no row objects
         held = docs.sparkSession.sparkContext.broadcast(wanted)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

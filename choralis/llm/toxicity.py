@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import chunks, least_hashes, map_arrow, schema_without, without
+from choralis.llm.common import chunks, least_hashes, lean_worker, map_arrow, schema_without, without
 
 ROUNDS = 50
 TOKEN_PY = re.compile(r"[^\W_]+")
@@ -146,8 +146,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, wi
     texts of each class, of max_chars characters together besides a single longer text; nothing: the highest score that a
     text without evidence may get."""
     told = training_texts(docs, labels, max_docs, max_chars)
-    rows = [(r.text, r.toxic, r.fold) for r in told.toLocalIterator()]  # at most 2 * max_docs texts
-    return fit_toxicity(rows, window, spread, rare, rare_pair, nothing)
+    with lean_worker():  # the driver lives on as a worker does
+        return _fitted(told, window, spread, rare, rare_pair, nothing)
+
+
+def _fitted(told: DataFrame, *settings: float) -> ToxicModel:
+    """The model of training_texts; their texts and counts go with this call."""
+    return fit_toxicity([(r.text, r.toxic, r.fold) for r in told.toLocalIterator()], *settings)  # at most 2 * max_docs texts
 
 
 def _held(n: np.ndarray, total: np.ndarray | float, expected: np.ndarray, spread: float, rare: float) -> np.ndarray:

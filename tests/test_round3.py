@@ -116,3 +116,34 @@ def test_threshold_join_moves_no_term_that_one_reply_has(spark):
     held = weights.select("conv_id", "pos", F.explode("terms.t").alias("t"))
     assert held.join(often, ["conv_id", "t"], "left_anti").count() == 0 and held.count()
     assert len(_moved(similarity._indexed(similarity.kept(weights, "test-weights"), 0.72))) == 0
+
+
+def test_the_driver_gives_back_what_it_learnt_from(spark, monkeypatch):
+    from contextlib import contextmanager
+
+    from choralis.llm import common, toxicity
+    from choralis.llm.queries import labels
+
+    seen = []
+
+    @contextmanager
+    def lean():
+        seen.append("begins")
+        yield
+        seen.append("ends")
+
+    fit = toxicity.fit_toxicity
+    monkeypatch.setattr(toxicity, "lean_worker", lean)
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *a: seen.append("fits") or fit(*a))
+    toxicity.learn_toxicity(common.documents(spark, SF).select("doc_id", "text"), labels(spark, SF))
+    assert seen == ["begins", "fits", "ends"]
+
+
+def test_keys_reach_the_driver_without_row_objects(spark, monkeypatch):
+    from choralis.llm import minhash
+
+    docs = spark.createDataFrame([(k, f"a text of some words {k // 2}") for k in range(8)], "doc_id long, text string")
+    frame = type(docs)
+    monkeypatch.setattr(frame, "collect", lambda self: pytest.fail("rows were collected"))
+    reps = minhash.sketch(docs).where("doc_id % 2 = 0").select("row", "node")
+    assert minhash._members_of(docs, reps).toArrow().num_rows == 4
