@@ -59,6 +59,30 @@ def test_long_conversations_are_compared_in_blocks(spark, monkeypatch):
     assert found() == whole and len(whole[0]) > 100
 
 
+def test_pairs_of_documents_move_once_and_are_not_written(spark):
+    pairs = queries.QUERIES["tfidf_pairs"](spark, SF)
+    assert pairs.count() and all(SF in x for x in pairs.inputFiles())
+    pairs.collect()
+    final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([x for x in final.splitlines() if "Exchange hashpartitioning(rest" in x]) == 1  # by which conversations are dealt
+
+
+@pytest.mark.parametrize("block", [400, 7])
+def test_rows_keep_what_is_similar_or_asked_for(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    words, replies = _words(spark)
+    who = replies.withColumn("account_id", F.concat(F.lit("u"), F.col("pos") % 5))
+    pairs = {(r.conv_id, r.i, r.j): r.sim for r in similarity.tfidf_pairs(words).collect()}
+    at = {(r.conv_id, r.pos) for r in replies.collect()}
+    rows = similarity.tfidf_rows(words, 0.4, F.array(F.lit(200) - F.col("pos"), F.lit(3)))
+    asked = {(c, *sorted((p, q))) for c, p in at for q in (200 - p, 3)}
+    assert {(r.conv_id, r.i, r.j): r.sim for r in similarity.pairs_of(rows).collect()} == {k: s for k, s in pairs.items() if s >= 0.4 or k in asked}
+    assert any(k in asked and s < 0.4 for k, s in pairs.items()) and any(s < 0.4 and k not in asked for k, s in pairs.items())
+    assert sorted(map(tuple, acc.self_similarity_of_own(rows, who).collect())) == sorted(map(tuple, acc.self_similarity(similarity.tfidf_pairs(words), who).collect()))
+    best = similarity.best_of_pairs(similarity.tfidf_pairs(words))
+    assert sorted(map(tuple, similarity.best_of_rows(rows).collect())) == sorted(map(tuple, best.collect()))
+
+
 def test_embedding_pairs_take_groups_that_grow(spark, tmp_path):
     spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 7 + F.lit(0.5)).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r.conv_id, r.i, r.j) for r in queries.embedding_pairs(spark, str(tmp_path)).collect()}
