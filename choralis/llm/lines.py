@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, most_broadcast: int = BROAD
     rows = written(line_rows(whole), "line-keys")
     gone = _gone(rows, written(boilerplate(rows, min_sites, most_broadcast), "line-boilerplate"), most_broadcast)
     gone = written(gone, "line-gone")
-    joined = whole.select("whole", "row").join(gone, "row", "left")
+    # texts meet by their keys at any size, for a broadcast would only do where `gone` is small
+    joined = whole.select("whole", "row").join(gone.hint("merge"), "row", "left")
     plain = joined.where("copies is null or copies = 1").select("whole", "gone")
     # rows that agree in all columns and hold a place that stays: one of them keeps it
     twins = whole.select("whole", "row").join(gone.where("copies > 1"), "row")

@@ -285,7 +285,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sent_keys: int = SENT
     one = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row", "bands")).alias("r"))
     one = one.select("node", "r.row", F.explode("r.bands").alias("band"))
     shared = one.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    near = written(one.join(shared, "band").select("band", "node", "row", "n"), "near-candidates")
+    near = written(one.join(shared.hint("merge"), "band").select("band", "node", "row", "n"), "near-candidates")
     reps = near.groupBy("node", "row").agg(F.sum("n").alias("meets"))
     sets = written(_members_of(docs, reps, sent_keys), "near-sets")
     ranked = near.select("band", "node").join(reps.select("node", "meets"), "node")
@@ -319,7 +319,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     kept = first.unionByName(found.where("node is null").select("row")).distinct()
     often = found.groupBy("row").agg(F.count("*").alias("n"))
     kept = written(kept.join(often, "row"), "near-kept")
-    plain = whole.join(kept.where("n = 1").select("row"), "row", "left_semi")
+    # texts meet by their keys at any size, for a broadcast would only do where few are kept
+    plain = whole.join(kept.where("n = 1").select("row").hint("merge"), "row", "left_semi")
     # of rows that repeat, each task passes one on
     twins = whole.join(kept.where("n > 1").select("row"), "row", "left_semi").groupBy("row").agg(F.first("whole").alias("whole"))
     return plain.select("whole.*").unionByName(twins.select("whole.*"))

@@ -171,3 +171,14 @@ def test_keys_reach_the_driver_without_row_objects(spark, monkeypatch):
     monkeypatch.setattr(frame, "collect", lambda self: pytest.fail("rows were collected"))
     reps = minhash.sketch(docs).where("doc_id % 2 = 0").select("row", "node")
     assert minhash._members_of(docs, reps).toArrow().num_rows == 4
+
+
+def test_texts_meet_by_their_keys_at_any_size(spark):
+    from choralis.llm.lines import dedup_lines
+    from choralis.llm.minhash import keep_one
+
+    docs = spark.createDataFrame([(k, f"a line that all have\nand words of its own {k * k}", f"s{k}") for k in range(6)], "doc_id long, text string, source string")
+    for made in (dedup_lines(docs), keep_one(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin" in x for x in plan.splitlines())  # that a small table has, too, so work grows in proportion
+    assert sorted(r.n_removed for r in dedup_lines(docs).collect()) == [0, 1, 1, 1, 1, 1] and keep_one(docs).count() == 6
