@@ -131,9 +131,9 @@ def op12_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from choralis.llm.ranked import build_index, search
+    from choralis.llm.ranked import build_index, search, written_index
 
-    index = common.written(build_index(common.documents(spark, sf_dir)), "ranked-index")
+    index = written_index(build_index(common.documents(spark, sf_dir)))
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -111,6 +111,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, INDEX)
 
 
+def written_index(index: DataFrame) -> DataFrame:
+    """index as a table with a row group for each block. Readers take a group's rows into memory together and writers hold
+    them till it ends, so a task has one block at a time, however many blocks its file has."""
+    return written(index, "ranked-index", {"parquet.block.row.count.limit": "1"})
+
+
 # -- treaps
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from choralis.llm import ranked
@@ -106,3 +107,13 @@ def test_query_reads_the_tables_by_name(spark, tmp_path):
     rows = op13_ranked(spark, str(tmp_path))
     assert rows.columns == ["item_id", "rank", "doc_id", "score"]
     assert Counter(map(tuple, rows.collect())) == looped(docs, items)
+
+
+def test_a_reader_holds_one_block_at_a_time(spark):
+    docs, items = corpus(random.Random(5), 300)
+    index = ranked.written_index(ranked.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block=400))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 3 * len(files) and set(groups) == {1}
+    q = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, ranked.search(index, q).collect())) == looped(docs, items)
