@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config
 from choralis.operators import coordination, intervals, similarity
+from choralis.plans.analysis import Analysis
 
 
 def test_interval_join_meets_each_pair_once(spark):
@@ -97,3 +98,25 @@ def test_coordination_by_time_alone_equals_the_unpruned_plan(spark, spoken):
     pairs = similarity.kept(similarity.tfidf_pairs(words), "test-pairs")
     fast, slow = (Counter(map(tuple, coordination.coordination_edges(pairs, r, accounts, none, config, prune).collect())) for prune in (True, False))
     assert fast == slow and len(fast) > 50
+
+
+def test_only_long_conversations_need_an_index_of_terms(spark, spoken, monkeypatch):
+    replies, _, _, pairs = spoken
+    accounts = replies.select("conv_id", "account_id", *[F.lit(1).alias(c) for c in ("account_age_days", "followers", "following", "total_posts")])
+    indexed, index = [], similarity.ordered_weights
+    monkeypatch.setattr(similarity, "ordered_weights", lambda words: indexed.append({r.conv_id for r in words.select("conv_id").distinct().collect()}) or index(words))
+    for block, long in ((similarity.BLOCK, {"big"}), (450, None)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        a = Analysis(replies.limit(0), replies, accounts)
+        best = {}
+        for r in pairs:
+            for i, j in ((r.i, r.j), (r.j, r.i)):
+                best[r.conv_id, i] = max(best.get((r.conv_id, i), (-1, 0)), (r.sim, -j))
+        got = {(r.conv_id, r.pos): (r.best, -r.best_pos) for r in a.matches.collect()}
+        assert got.keys() == best.keys()
+        assert all(math.isclose(got[k][0], best[k][0], abs_tol=1e-11) and got[k][1] == best[k][1] for k in got)
+        close = {(r.conv_id, r.i, r.j): r.sim for r in a.close(0.545).collect()}
+        want = {(r.conv_id, r.i, r.j): r.sim for r in pairs if r.sim >= 0.545}
+        assert close.keys() == want.keys() and all(math.isclose(close[k], want[k], abs_tol=1e-11) for k in close)
+        assert indexed == ([long] if long else [])
+        indexed.clear()
