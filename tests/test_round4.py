@@ -2,10 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from choralis.config import Config
 from choralis.functions import signals
+from choralis.operators import phrases, similarity
 from choralis.operators.timing import regularity
 from choralis.plans import fixtures
 
@@ -41,3 +44,22 @@ def test_texts_that_match_no_list_are_searched_once(spark):
         assert {n: r.s[n] for n in every} == {n: r.w[n] for n in every} and r.s.thread_hook == r.hook, r.t
         assert r.any == any(r.w[n] for n in every), r.t
     assert 20 < sum(bool(r["any"]) for r in got) < len(got) - 20
+
+
+def test_runs_of_a_short_conversation_meet_whole_and_of_a_long_one_in_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    kinds = [f"w{k}" for k in range(12)] + ["the", "of", "é", "ß"]
+    rows = [(None if c == 2 else f"c{c}", k, f"r{k}", None if k % 9 == 0 else f"u{k % 5}", rng.choices(kinds, k=rng.randrange(40))) for c in range(4) for k in range(30 if c else 90)]
+    words = spark.createDataFrame([*rows, ("c1", 99, "r99", "u1", None)], "conv_id string, pos int, reply_id string, account_id string, words array<string>")
+    every = {}
+    for r in phrases.trigrams(words).collect():
+        every.setdefault((r.conv_id, r.trigram), []).append(r)
+    want = Counter(tuple(r) for found in every.values() if len({r.account_id for r in found}) >= 3 for r in found)
+    windows, long = phrases._met_in_windows, []
+    monkeypatch.setattr(phrases, "_met_in_windows", lambda w, c: long.append({r.conv_id for r in w.select("conv_id").distinct().collect()}) or windows(w, c))
+    cols = ["conv_id", "pos", "reply_id", "account_id", "at", "trigram"]
+    for block, held in ((400, []), (40, [{"c0"}]), (7, [{"c0", "c1", None, "c3"}])):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        assert Counter(map(tuple, phrases.candidate_trigrams(words, Config()).select(*cols).collect())) == want and len(want) > 100
+        assert long == held
+        long.clear()
