@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from choralis.config import Config
 from choralis.functions import signals
-from choralis.operators import phrases, similarity
+from choralis.operators import answers, classify, phrases, similarity
 from choralis.operators.timing import regularity
-from choralis.plans import fixtures
+from choralis.plans import fixtures, queries
 
 
 def test_regularity_computes_its_times_and_their_mean_once(spark):
@@ -63,3 +63,18 @@ def test_runs_of_a_short_conversation_meet_whole_and_of_a_long_one_in_windows(sp
         assert Counter(map(tuple, phrases.candidate_trigrams(words, Config()).select(*cols).collect())) == want and len(want) > 100
         assert long == held
         long.clear()
+
+
+def test_answers_meet_their_requests_by_key(spark, tmp_path):
+    a = queries.analysis(spark, "/root/testdata/sf0.001")
+    cache = answers.AnswerCache(str(tmp_path / "answers"))
+    once = classify.scored(a.requests, a.config, queries._by_name, cache=cache)
+    again = classify.scored(a.requests, a.config, queries._unasked, cache=cache)
+    cols = ["conv_id", "account_id", "automation", "label", "source", "summary"]
+    plain = Counter(map(tuple, classify.scored(a.requests, a.config, queries._by_name).select(*cols).collect()))
+    for got in (once, again):
+        assert Counter(map(tuple, got.select(*cols).collect())) == plain and plain
+        plan = got.select(*cols)._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.splitlines() if "Exchange" in x]
+        assert moved and not any("payload" in x or "text" in x for x in moved)
+    assert "payload" not in cache.entries(spark, classify.ANSWER).columns
